@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notewright.llm import simhash
+from notewright.llm import decontamination, mixing, simhash, weak_supervision
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +18,27 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_docs(spark, sf_dir))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, as (doc_id, item_id) pairs with how much of it."""
+    return decontamination.find_leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and the weakly supervised verdict for every document."""
+    return weak_supervision.judge_quality(_docs(spark, sf_dir))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's block, slot and position in the mix of sources, at square-root weights."""
+    docs = _docs(spark, sf_dir).select("doc_id", "source")
+    return mixing.mix_sources(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_source_mixing": op5_source_mixing,
 }
 
 ORACLES: dict[str, str] = {}
