@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notewright.llm import decontamination, mixing, simhash, weak_supervision
+from notewright.llm import decontamination, mixing, pii, simhash, weak_supervision
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +34,17 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts, the digest of the base spans, and all spans."""
+    return pii.span_digest(pii.find_personal_data(_docs(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_source_mixing": op5_source_mixing,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {}
