@@ -96,7 +96,7 @@ def mix_sources(
     source_col: str = "source",
     block_rows: int = BLOCK_ROWS,
     alpha: float = ALPHA,
-    bucket_rows: int = 20_000,
+    bucket_rows: int = 5_000,
 ) -> DataFrame:
     """All rows of ``docs`` with ``mix_block`` (in its source), ``mix_slot`` and ``mix_position`` (0 to n-1).
 

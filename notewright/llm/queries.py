@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notewright.llm import decontamination, mixing, pii, simhash, weak_supervision
+from notewright.llm import decontamination, mixing, pii, quality_trees, simhash, toxicity, weak_supervision
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,16 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned outside the held-out fold."""
+    return toxicity.score_toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned outside the held-out fold."""
+    return quality_trees.score_quality(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts, the digest of the base spans, and all spans."""
     return pii.span_digest(pii.find_personal_data(_docs(spark, sf_dir)))
@@ -44,6 +54,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_source_mixing": op5_source_mixing,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_pii": op10_pii,
 }
 
