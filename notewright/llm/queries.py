@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notewright.llm import decontamination, mixing, pii, quality_trees, simhash, toxicity, weak_supervision
+from notewright.llm import decontamination, html_extraction, mixing, pii, quality_trees, simhash, toxicity, weak_supervision
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extraction.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned outside the held-out fold."""
     return toxicity.score_toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_source_mixing": op5_source_mixing,
+    "op6_html_extraction": op6_html_extraction,
     "op8_toxicity": op8_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_pii": op10_pii,
