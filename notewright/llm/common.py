@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,16 +48,14 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_arrow(df: DataFrame, schema: str, body: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], setup: Callable[[], None] | None = None) -> DataFrame:
-    """``mapInArrow`` with one batch in, any batches out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from body(batch)
-
-    return df.mapInArrow(run, schema)
-
-
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)
+
+
+def one_blas_thread() -> None:
+    """Keeps numpy's bundled OpenBLAS to one thread on the driver, where small products only lose by more."""
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/libscipy_openblas64_*.so"):
+        setter = getattr(ctypes.CDLL(str(path)), "scipy_openblas_set_num_threads64_", None)
+        if setter is not None:
+            setter(1)

@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from notewright.llm.common import durable, text_bytes
 from notewright.llm.graph import connected_components
@@ -173,3 +174,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
         F.coalesce("n_same", F.lit(0)).cast("long").alias("n_same"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, the one of least id; rows with a null id are all kept.
+
+    Of repeated rows with that least id one is kept: the least by the hash of its text. Only ids travel: the rows to
+    drop are found by id and taken away, so that a text is moved at most once.
+    """
+    ids = simhash_groups(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
+    rest = docs.join(ids, docs[id_col].cast("long") == ids["__drop"], "left_anti")
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if not again:
+        return rest
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    ranked = rest.withColumn("__n", F.row_number().over(order))
+    return ranked.where((F.col("__n") == 1) | F.col(id_col).isNull()).drop("__n")
