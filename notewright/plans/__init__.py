@@ -1 +1,4 @@
-"""plans of the engine."""
+"""Queries of the engine, registered by module."""
+
+from notewright.plans import note_queries, record_queries, store_queries, text_queries  # noqa: F401
+from notewright.plans.registry import ORACLES, QUERIES  # noqa: F401
