@@ -1,13 +1,14 @@
 """Suffix-array dedup: bytes covered by a 50-byte string that also starts in a document with a smaller id.
 
-Every 50-byte string holds an anchor, the least hash among its 24-byte pieces, and equal strings hold equal ones.
-So the corpus falls apart, without loss, into the surroundings of the anchors that occur twice or more: two equal
-strings are always found around their common anchor. The surroundings are grouped by anchor, equal ones are taken
-together, and the rest of a group is searched by merging Burrows-Wheeler transforms of its shards.
+Every 50-byte string has an anchor, the least hash among its 24-byte pieces, and equal strings have equal ones. So
+the corpus falls apart, without loss, into the surroundings of the anchors that occur in two documents or more: two
+equal strings always lie around equal anchors. Surroundings are grouped by anchor, equal ones are taken together,
+and the rest of a group is searched by merging Burrows-Wheeler transforms of its shards.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -23,12 +24,14 @@ LENGTH, PIECE = 50, 24
 SPAN = LENGTH - PIECE
 #: Of the bytes beside an anchor a shared string holds at least half on one side.
 SIDE = SPAN // 2
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
+#: Low bits that hold a position while the least hash of a window is sought; a text may have 2 ** 28 bytes.
+PLACE_BITS = 28
 #: Bits of the filter of repeated anchors. It lets through some others, which cost time and change nothing.
 FILTER_BITS = 27
-SHARD_BYTES, BUFFER_BYTES = 1 << 19, 4 << 20
+SHARD_BYTES, BUFFER_ROWS = 1 << 19, 60_000
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SIDES = np.random.default_rng(17).integers(0, 1 << 63, (2, SIDE)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def piece_hashes(data: np.ndarray) -> np.ndarray:
@@ -46,41 +49,47 @@ def piece_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def _slide(h: np.ndarray, width: int, choose: np.ufunc) -> np.ndarray:
+def _least(h: np.ndarray, width: int) -> np.ndarray:
     have, m = 1, h
     while 2 * have <= width:
-        m = choose(m[:-have], m[have:])
+        m = np.minimum(m[:-have], m[have:])
         have *= 2
     rest = width - have
-    return choose(m[: len(m) - rest], m[rest:]) if rest else m
+    return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors in texts laid end to end; a text under LENGTH bytes has none."""
+def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, low, high) of the anchors in texts laid end to end: the strings that start at low to high
+    have this anchor, the leftmost of least hash. A text under LENGTH bytes has none."""
+    none = np.empty(0, np.int64)
     if len(data) < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return none, none.astype(np.uint64), none, none
     h = piece_hashes(data)
-    ends = np.repeat(np.cumsum(lengths), lengths)
-    places = np.arange(len(data))
-    h[(places + PIECE > ends)[: len(h)]] = _LAST
-    windows = SPAN + 1
-    least = _slide(h, windows, np.minimum)
-    least[(places + LENGTH > ends)[: len(least)]] = 0
-    zero = np.zeros(windows - 1, np.uint64)
-    most = _slide(np.concatenate((zero, least, zero)), windows, np.maximum)
-    at = np.flatnonzero((h == most[: len(h)]) & (h != _LAST))
-    return at, h[at]
+    place = np.uint64((1 << PLACE_BITS) - 1)
+    packed = (h & ~place) | np.arange(len(h), dtype=np.uint64)
+    at = (_least(packed, SPAN + 1) & place).astype(np.int64)
+    ends = np.cumsum(lengths)
+    inside = np.ones(len(at), bool)
+    for end in ends[:-1].tolist():
+        inside[max(0, end - LENGTH + 1) : end] = False
+    starts = np.flatnonzero(inside)
+    at = at[starts]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else none
+    last = np.append(first[1:] - 1, len(at) - 1) if len(first) else none
+    return at[first], h[at[first]], starts[first], starts[last]
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     part: list[bytes] = []
     size, first = 0, 0
     for i, t in enumerate(texts):
+        if len(t) >= 1 << PLACE_BITS:
+            raise ValueError("a text is too long for one task")
+        if part and size + len(t) > CHUNK_BYTES:
+            yield first, part
+            part, size, first = [], 0, i
         part.append(t)
         size += len(t)
-        if size >= CHUNK_BYTES:
-            yield first, part
-            part, size, first = [], 0, i + 1
     if part:
         yield first, part
 
@@ -92,7 +101,7 @@ def repeated_anchors(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for _, part in _chunks(text_bytes(batch.column(0))):
                 lengths = np.fromiter(map(len, part), np.int64, len(part))
-                at, h = anchors(np.frombuffer(b"".join(part), np.uint8), lengths)
+                at, h, _, _ = anchors(np.frombuffer(b"".join(part), np.uint8), lengths)
                 owner = np.searchsorted(np.cumsum(lengths), at, side="right")
                 order = np.lexsort((h, owner))
                 h, owner = h[order], owner[order]
@@ -109,8 +118,14 @@ def repeated_anchors(docs: DataFrame) -> np.ndarray:
     return table.view(np.uint64)
 
 
+def free_shuffles(docs: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of work that is done: its cleaner waits for garbage collection."""
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+
+
 def surroundings(docs: DataFrame, keep: np.ndarray) -> DataFrame:
-    """(h, piece, doc_id, start): the bytes around each anchor that the filter holds, SPAN on both sides."""
+    """(h, piece, doc_id, start, anchor): the strings of each anchor that the filter holds, as one piece of text."""
     sent = docs.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,23 +135,19 @@ def surroundings(docs: DataFrame, keep: np.ndarray) -> DataFrame:
             for first, part in _chunks(text_bytes(batch.column(1))):
                 lengths = np.fromiter(map(len, part), np.int64, len(part))
                 joined = b"".join(part)
-                at, h = anchors(np.frombuffer(joined, np.uint8), lengths)
-                low = h & np.uint64((1 << FILTER_BITS) - 1)
-                hit = (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
-                at, h = at[hit], h[hit]
+                at, h, low, high = anchors(np.frombuffer(joined, np.uint8), lengths)
+                place = h & np.uint64((1 << FILTER_BITS) - 1)
+                hit = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                at, h, low, high = at[hit], h[hit], low[hit], high[hit] + LENGTH
                 ends = np.cumsum(lengths)
                 owner = np.searchsorted(ends, at, side="right")
-                begins = ends - lengths
-                low_at, high_at = np.maximum(at - SPAN, begins[owner]), np.minimum(at + PIECE + SPAN, ends[owner])
-                pieces = [joined[a:b] for a, b in zip(low_at.tolist(), high_at.tolist())]
-                start = low_at - begins[owner]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h.view(np.int64)),
-                        pa.array(pieces, pa.binary()),
+                        pa.array([joined[a:b] for a, b in zip(low.tolist(), high.tolist())], pa.binary()),
                         pa.array(ids[first + owner], pa.int64()),
-                        pa.array(start.astype(np.int32)),
-                        pa.array((at - low_at).astype(np.int8)),
+                        pa.array((low - (ends - lengths)[owner]).astype(np.int32)),
+                        pa.array((at - low).astype(np.int8)),
                     ],
                     ["h", "piece", "doc_id", "start", "anchor"],
                 )
@@ -144,154 +155,164 @@ def surroundings(docs: DataFrame, keep: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "h long, piece binary, doc_id long, start int, anchor byte")
 
 
-class Search:
-    """Takes the rows of whole anchors, sorted by anchor, piece and document; gives the covered ranges."""
-
-    def __init__(self) -> None:
-        self.clear()
-
-    def clear(self) -> None:
-        self.pieces: list[bytes] = []
-        self.keys: list[int] = []
-        self.least: list[int] = []
-        self.place: list[int] = []
-        self.rows: list[tuple[int, int, int]] = []
-        self.size = 0
-
-    def add(self, h: int, piece: bytes, doc: int, start: int, anchor: int) -> None:
-        if not self.pieces or self.keys[-1] != h or self.pieces[-1] != piece:
-            self.pieces.append(piece)
-            self.keys.append(h)
-            self.least.append(doc)
-            self.place.append(anchor)
-            self.size += len(piece)
-        self.rows.append((len(self.pieces) - 1, doc, start))
-
-    def candidates(self) -> np.ndarray:
-        """Pieces that share with another piece of their anchor SIDE bytes on one side of it."""
-        keys = np.array(self.keys, np.int64)
-        wanted = np.zeros(len(keys), bool)
-        again = np.flatnonzero(keys[1:] == keys[:-1])
-        many = np.zeros(len(keys), bool)
-        many[again] = many[again + 1] = True
-        groups: dict[tuple, int] = {}
-        for i in np.flatnonzero(many).tolist():
-            p, a, h = self.pieces[i], self.place[i], self.keys[i]
-            sides = []
-            if a >= SIDE:
-                sides.append((h, 0, p[a - SIDE : a]))
-            if len(p) - a - PIECE >= SIDE:
-                sides.append((h, 1, p[a + PIECE : a + PIECE + SIDE]))
-            for s in sides:
-                other = groups.setdefault(s, i)
-                if other != i:
-                    wanted[other] = wanted[i] = True
-        return np.flatnonzero(wanted)
-
-    def ranges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(doc, start, end) of covered bytes, from all rows taken since the last call."""
-        if not self.rows:
-            none = np.empty(0, np.int64)
-            return none, none, none
-        rows = np.array(self.rows, np.int64)
-        piece, doc, start = rows.T
-        least = np.array(self.least, np.int64)
-        size = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces))
-        later = (doc > least[piece]) & (size[piece] >= LENGTH)
-        out = [(doc[later], start[later], start[later] + size[piece[later]])]
-        chosen = self.candidates()
-        chosen = chosen[size[chosen] >= LENGTH]
-        if len(chosen):
-            found, low, high = self._merge(chosen, least)
-            # ranges inside a piece belong to the rows of its least document
-            mine = np.flatnonzero(doc == least[piece])
-            order = np.argsort(piece[mine], kind="stable")
-            mine = mine[order]
-            begin, end = np.searchsorted(piece[mine], found, "left"), np.searchsorted(piece[mine], found, "right")
-            n = end - begin
-            which = mine[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            out.append((doc[which], start[which] + np.repeat(low, n), start[which] + np.repeat(high, n)))
-        self.clear()
-        return tuple(np.concatenate(x) for x in zip(*out))
-
-    def _merge(self, chosen: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(piece, low, high): parts of the chosen pieces that also start in a piece of a smaller document."""
-        shards, origin, spot, at = [], [], [], 0
-        while at < len(chosen):
-            size, end = 0, at
-            while end < len(chosen) and size < SHARD_BYTES:
-                size += len(self.pieces[chosen[end]]) + 1
-                end += 1
-            part = [self.pieces[i] for i in chosen[at:end]]
-            lengths = np.fromiter(map(len, part), np.int64, len(part))
-            flat = np.frombuffer(b"".join(x + b"\0" for x in part), np.uint8).astype(np.int16) + np.int16(1)
-            ends = np.cumsum(lengths + 1) - 1
-            flat[ends] = 0
-            owner = np.repeat(np.arange(len(part)), lengths + 1)
-            shard = build_shard(flat, ends[owner] - np.arange(len(flat)))
-            shards.append(shard)
-            origin.append(chosen[at:end][owner[shard.start]])
-            spot.append(shard.start - (ends - lengths)[owner[shard.start]])
-            at = end
-        rows, group, _ = repeated_intervals(shards, LENGTH)
-        if not len(rows):
-            none = np.empty(0, np.int64)
-            return none, none, none
-        piece, place = np.concatenate(origin)[rows], np.concatenate(spot)[rows]
-        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... n[0] of them, then those of the next."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _edges(*keys: np.ndarray) -> np.ndarray:
+    """True where any key differs from the row before."""
+    fresh = np.ones(len(keys[0]), bool)
+    fresh[1:] = False
+    for k in keys:
+        fresh[1:] |= k[1:] != k[:-1]
+    return fresh
+
+
+def candidates(h: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Of pieces sorted by anchor, those that share with another piece of their anchor SIDE bytes on one side of it."""
+    wanted = np.zeros(len(h), bool)
+    same = h[1:] == h[:-1]
+    many = np.zeros(len(h), bool)
+    many[1:] |= same
+    many[:-1] |= same
+    for side, offset in enumerate((-SIDE, PIECE)):
+        fits = many & ((anchor >= SIDE) if side == 0 else (size - anchor - PIECE >= SIDE))
+        rows = np.flatnonzero(fits)
+        if len(rows):
+            beside = data[(begin[rows] + anchor[rows] + offset)[:, None] + np.arange(SIDE)]
+            key = h[rows].view(np.uint64) * _STEPS[0] + ((beside.astype(np.uint64) + np.uint64(1)) * _SIDES[side]).sum(axis=1, dtype=np.uint64)
+            _, at, n = np.unique(key, return_inverse=True, return_counts=True)
+            wanted[rows[n[at] > 1]] = True
+    return np.flatnonzero(wanted)
+
+
+def merged_matches(text: list[np.ndarray], owner: list[np.ndarray], place: list[np.ndarray], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, low, high): parts of pieces that also start in a piece of a smaller document.
+
+    ``text``: shards of pieces, characters plus one, each piece with a zero after it; ``owner``, ``place``: the piece
+    of each character, and its place there; ``least``: the smallest document of each piece.
+    """
+    shards, origin, spot = [], [], []
+    for t, o, p in zip(text, owner, place):
+        ends = np.flatnonzero(t == 0)
+        left = ends[np.searchsorted(ends, np.arange(len(t)))] - np.arange(len(t))
+        shard = build_shard(t, left)
+        shards.append(shard)
+        origin.append(o[shard.start])
+        spot.append(p[shard.start])
+    rows, group, _ = repeated_intervals(shards, LENGTH)
+    piece, at = np.concatenate(origin)[rows], np.concatenate(spot)[rows]
+    if len(piece):
+        first = np.flatnonzero(_edges(group))
         smallest = np.repeat(np.minimum.reduceat(least[piece], first), np.diff(np.append(first, len(group))))
         covered = least[piece] > smallest
-        piece, place = piece[covered], place[covered]
-        order = np.lexsort((place, piece))
-        piece, place = piece[order], place[order]
-        if not len(piece):
-            return piece, place, place
-        fresh = np.flatnonzero(np.concatenate(([True], (piece[1:] != piece[:-1]) | (place[1:] > place[:-1] + LENGTH))))
-        last = np.concatenate((fresh[1:] - 1, [len(piece) - 1]))
-        return piece[fresh], place[fresh], place[last] + LENGTH
+        piece, at = piece[covered], at[covered]
+    if not len(piece):
+        return piece, at, at
+    order = np.lexsort((at, piece))
+    piece, at = piece[order], at[order]
+    fresh = _edges(piece)
+    fresh[1:] |= at[1:] > at[:-1] + LENGTH
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:] - 1, len(piece) - 1)
+    return piece[first], at[first], at[last] + LENGTH
+
+
+def search(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, low, high) of covered bytes, from all rows of some anchors, sorted by anchor, piece and document."""
+    h, f, doc = (rows.column(i).to_numpy() for i in range(3))
+    start, anchor = rows.column(3).to_numpy().astype(np.int64), rows.column(4).to_numpy().astype(np.int64)
+    pieces = rows.column(5)
+    offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
+    data = np.frombuffer(pieces.buffers()[2], np.uint8)
+    size = np.diff(offsets)
+    fresh = _edges(h, f, size)
+    group, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    least = doc[first]
+    later = doc > least[group]
+    out = [(doc[later], start[later], start[later] + size[later])]
+    chosen = candidates(h[first], data, offsets[first], size[first], anchor[first])
+    if len(chosen):
+        text, owner, place = [], [], []
+        bounds = np.searchsorted(np.cumsum(size[first[chosen]] + 1), np.arange(SHARD_BYTES, int((size[first[chosen]] + 1).sum()) + SHARD_BYTES, SHARD_BYTES))
+        for a, b in zip(np.concatenate(([0], bounds[:-1])).tolist(), bounds.tolist()):
+            part = chosen[a:b] if b < bounds[-1] else chosen[a:]
+            if not len(part):
+                continue
+            n = size[first[part]]
+            flat = np.zeros(int(n.sum()) + len(part), np.int16)
+            own = np.repeat(np.arange(len(part)), n + 1)
+            inside = np.arange(len(flat)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
+            real = inside < n[own]
+            flat[real] = data[_spread(offsets[first[part]], n)].astype(np.int16) + np.int16(1)
+            text.append(flat)
+            owner.append(part[own])
+            place.append(inside)
+            if b >= bounds[-1]:
+                break
+        found, low, high = merged_matches(text, owner, place, least)
+        if len(found):
+            # parts of a piece belong to the rows of its smallest document, which stand first in its group
+            count = np.bincount(group[~later], minlength=len(first))
+            n = count[found]
+            which = _spread(first[found], n)
+            out.append((doc[which], start[which] + np.repeat(low, n), start[which] + np.repeat(high, n)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def united(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ranges with those of one document that touch made one."""
+    if not len(doc):
+        return doc, low, high
+    order = np.lexsort((low, doc))
+    doc, low, high = doc[order], low[order], high[order]
+    turn = _edges(doc)
+    # documents are set apart by a stride beyond any length, so that one running maximum serves them all
+    base = np.cumsum(turn) << 33
+    reach = np.maximum.accumulate(high + base) - base
+    fresh = turn.copy()
+    fresh[1:] |= low[1:] > reach[:-1]
+    first = np.flatnonzero(fresh)
+    return doc[first], low[first], reach[np.append(first[1:] - 1, len(doc) - 1)]
 
 
 def covered_ranges(around: DataFrame) -> DataFrame:
     """(doc_id, low, high): ranges of bytes to remove, overlapping ones included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search, last = Search(), None
-
-        def out() -> pa.RecordBatch:
-            doc, low, high = search.ranges()
-            # ranges of a document that touch are joined here already
-            order = np.lexsort((low, doc))
-            doc, low, high = doc[order], low[order], high[order]
-            if len(doc):
-                _, at = np.unique(doc, return_index=True)
-                turn = np.zeros(len(doc), np.int64)
-                turn[at] = 1
-                # reach so far inside each document: documents are set apart by a stride beyond any length
-                stride = np.int64(1) << 33
-                base = np.cumsum(turn) * stride
-                reach = np.maximum.accumulate(high + base) - base
-                fresh = np.concatenate(([True], (turn[1:] == 1) | (low[1:] > reach[:-1])))
-                begin = np.flatnonzero(fresh)
-                end = np.concatenate((begin[1:] - 1, [len(doc) - 1]))
-                doc, low, high = doc[begin], low[begin], reach[end]
+        held: list[pa.RecordBatch] = []
+
+        def out(rows: pa.RecordBatch) -> pa.RecordBatch:
+            doc, low, high = united(*search(rows))
             return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["doc_id", "low", "high"])
 
-        for batch in batches:
-            for h, piece, doc, start, anchor in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if h != last and search.size >= BUFFER_BYTES:
-                    yield out()
-                last = h
-                search.add(h, piece, doc, start, anchor)
-        yield out()
+        def whole() -> pa.RecordBatch:
+            return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    dealt = around.repartition("h").sortWithinPartitions("h", "piece", "doc_id", "start")
-    return dealt.mapInArrow(run, "doc_id long, low int, high int")
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= BUFFER_ROWS:
+                rows = whole()
+                h = rows.column(0).to_numpy()
+                cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
+                if cut:
+                    yield out(rows.slice(0, cut))
+                held = [rows.slice(cut)]
+        if held:
+            yield out(whole())
+
+    dealt = around.repartition("h").withColumn("f", F.xxhash64("piece")).select("h", "f", "doc_id", "start", "anchor", "piece")
+    return dealt.sortWithinPartitions("h", "f", F.length("piece"), "doc_id", "start").mapInArrow(run, "doc_id long, low int, high int")
 
 
 def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ranges): for each document with something to remove, its ranges, unsorted and with overlaps."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    ranges = covered_ranges(surroundings(narrow, repeated_anchors(narrow)))
+    keep = repeated_anchors(narrow)
+    free_shuffles(docs)
+    ranges = covered_ranges(surroundings(narrow, keep))
     return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
 
