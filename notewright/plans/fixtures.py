@@ -35,7 +35,7 @@ MENTIONS_SQL = f"""select subject, (doc * 10 + line) * 1000000 + part as seq, ca
  from (select *, case line % 7 when 0 then 'diagnosis' when 1 then 'medication' when 2 then 'imaging' when 3 then 'lab' when 4 then 'surgery' when 5 then 'follow_up' else 'plan' end as category
  from ({BASE}) b) m"""
 
-BOXES_SQL = f"""select doc, line as page, (part * 1000 + subject) as block_id, cast((part % 40) * 20 as double) as top, cast((part % 40) * 20 + 10 + q % 30 as double) as bottom,
+BOXES_SQL = f"""select doc, line as page, ((part * 10000 + subject) * 10 + line) as block_id, cast((part % 40) * 20 as double) as top, cast((part % 40) * 20 + 10 + q % 30 as double) as bottom,
  part as reading_order, cast(q * 4 as double) as x0, cast(q * 4 + 60 + part % 200 as double) as x1, 600.0 as width, 800.0 as height,
  concat('block ', part, case part % 9 when 0 then ' signature' when 1 then ' dose table' else '' end) as text from ({BASE}) b"""
 
