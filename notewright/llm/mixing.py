@@ -159,7 +159,7 @@ def mix_sources(
     return slotted.withColumn("mix_position", position.cast("long")).select(*kept.columns, "mix_block", "mix_slot", "mix_position")
 
 
-def in_mixed_order(mixed: DataFrame, shard_rows: int = 50_000) -> DataFrame:
+def in_mixed_order(mixed: DataFrame, shard_rows: int = 4_000) -> DataFrame:
     """The mixed rows laid out for a reader: each task holds whole shards of consecutive positions, in order."""
     shard = F.floor(F.col("mix_position") / F.lit(shard_rows))
     return mixed.repartition(shard).sortWithinPartitions("mix_position")
