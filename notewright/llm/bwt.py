@@ -19,12 +19,13 @@ PACK = 7
 class Shard:
     """``start``: position in the shard's text of the suffix of each row; ``before``: the character before it, plus
     one, zero at the start of a string; ``first``: its first character, plus one, zero at the end of a string;
-    ``to_first``: the row of the suffix that is longer by that character."""
+    ``to_first``: the row of the suffix that is longer by that character; ``left``: its length."""
 
     start: np.ndarray
     before: np.ndarray
     first: np.ndarray
     to_first: np.ndarray
+    left: np.ndarray
 
 
 def build_shard(text: np.ndarray, left: np.ndarray) -> Shard:
@@ -52,7 +53,7 @@ def build_shard(text: np.ndarray, left: np.ndarray) -> Shard:
     before = np.where(start > 0, text[start - 1], 0).astype(np.int16)
     to_first = np.empty(n, np.int64)
     to_first[np.argsort(before, kind="stable")] = np.arange(n)
-    return Shard(start, before, text[start], to_first)
+    return Shard(start, before, text[start], to_first, left[start])
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
@@ -72,7 +73,7 @@ def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.
     before = np.concatenate([s.before for s in shards])
     first = np.concatenate([s.first for s in shards])
     to_first = np.concatenate([s.to_first + o for s, o in zip(shards, offset)])
-    common = np.zeros(len(before), np.uint8)
+    common = np.minimum(np.concatenate([s.left for s in shards]), depth).astype(np.uint8)
     rows = np.flatnonzero(first > 0)
     rows = rows[np.argsort(first[rows], kind="stable")]
     group = np.cumsum(np.concatenate(([0], first[rows][1:] != first[rows][:-1]))) if len(rows) else rows
@@ -89,7 +90,6 @@ def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.
         rows, group = _repeated(rows, group, common, k)
         if not len(rows):
             break
-    common[rows] = depth
     return rows, group, common
 
 

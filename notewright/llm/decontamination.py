@@ -176,8 +176,13 @@ def bit_table(hashes: DataFrame) -> np.ndarray:
     return table.view(np.uint64)
 
 
-def _distinct_size(pairs: Column, part: str | None = None) -> Column:
-    return F.size(F.array_distinct(pairs if part is None else F.transform(pairs, lambda x: x[part])))
+def _one_to_one(pairs: Column) -> Column:
+    """Whether slot values of the item and of the document map one to one."""
+    def sizes(part: str) -> Column:
+        return F.size(F.array_distinct(F.transform(pairs, lambda x: x[part])))
+
+    n = F.size(F.array_distinct(pairs))
+    return (n == sizes("i")) & (n == sizes("d"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -196,11 +201,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     right = items.select(
         F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "width", "hash", F.col("slots").alias("item_slots"), F.col("n_tokens").alias("item_tokens")
     )
-    pairs = found.select(F.col("id").alias("doc_id"), "width", "hash", "slots").distinct().join(right, ["width", "hash"])
+    pairs = found.select(F.col("id").alias("doc_id"), "pos", "width", "hash", "slots").join(right, ["width", "hash"])
     both = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"] != 0)
-    pairs = pairs.withColumn("both", both)
-    one_to_one = (_distinct_size(F.col("both")) == _distinct_size(F.col("both"), "i")) & (_distinct_size(F.col("both")) == _distinct_size(F.col("both"), "d"))
-    good = pairs.where(one_to_one).withColumn("changed", F.exists("both", lambda x: x["i"] != x["d"]))
+    pairs = pairs.withColumns({"both": both, "shift": F.col("pos") - F.col("item_pos")})
+    # windows at one shift are one reading of the item: its slots must agree all along, or else only windows without any count
+    window = F.struct("item_pos", "width", (F.size("both") > 0).alias("slotted"), F.exists("both", lambda x: x["i"] != x["d"]).alias("changed"))
+    readings = pairs.where(_one_to_one(F.col("both"))).groupBy("doc_id", "item_id", "item_tokens", "shift").agg(
+        F.array_distinct(F.flatten(F.collect_list("both"))).alias("values"), F.collect_list(window).alias("windows")
+    )
+    sound = readings.withColumn("sound", _one_to_one(F.col("values")))
+    good = sound.select("doc_id", "item_id", "item_tokens", F.explode(F.filter("windows", lambda w: F.col("sound") | ~w["slotted"])).alias("w")).select("doc_id", "item_id", "item_tokens", "w.*")
     # one row for each window of the item first, so that a document that repeats it adds nothing to the lists
     hits = good.groupBy("doc_id", "item_id", "item_pos", "width", "item_tokens").agg(F.count("*").alias("n"), F.min("changed").alias("changed"))
     spans = F.array_distinct(F.flatten(F.collect_list(F.sequence("item_pos", F.col("item_pos") + F.col("width") - 1))))

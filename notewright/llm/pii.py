@@ -191,13 +191,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return F.when(x["s"] < state["at"], state).otherwise(F.struct((-x["e"]).alias("at"), text.alias("out")))
 
     rebuilt = F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.length(text_col))))
-    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(rebuilt)
+    joined = joined.withColumn("__text", F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(rebuilt))
     columns = []
     for c in docs.columns:
         if c == text_col:
-            columns.append(text.alias(c))
+            columns.append(F.col("__text").alias(c))
         elif c == "n_chars":
-            columns.append(F.when(F.col("__spans").isNull(), F.col(c)).otherwise(F.length(rebuilt)).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(F.col("__spans").isNull(), F.col(c)).otherwise(F.length("__text")).cast(docs.schema[c].dataType).alias(c))
         else:
             columns.append(F.col(c))
     return joined.select(*columns)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,9 +120,12 @@ def repeated_anchors(docs: DataFrame) -> np.ndarray:
 
 
 def free_shuffles(docs: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of work that is done: its cleaner waits for garbage collection."""
+    """Lets Spark delete the shuffle files of work that is done: its cleaner waits for garbage collection, and the
+    last references go only a moment after the result has come."""
     gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        docs.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def surroundings(docs: DataFrame, keep: np.ndarray) -> DataFrame:
