@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -30,3 +34,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_me
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data folder; Spark reads it, so any store Spark knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers through Spark's own file server, once for each Spark context, so
+    that functions in it run wherever the driver was started from."""
+    context = spark.sparkContext
+    if getattr(context, "_notewright_shipped", False):
+        return spark
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="notewright-")) / "notewright.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._notewright_shipped = True
+    return spark
