@@ -129,14 +129,22 @@ def free_shuffles(docs: DataFrame) -> None:
 
 
 def surroundings(docs: DataFrame, keep: np.ndarray) -> DataFrame:
-    """(h, piece, doc_id, start, anchor): the strings of each anchor that the filter holds, as one piece of text."""
+    """(h, piece, doc_id, start, size, anchor): the strings of each anchor that the filter holds, as one piece of text.
+
+    Of equal pieces in a batch only those of the smallest document keep their text: the others are covered for sure,
+    and go along as plain ranges, without text and dealt out evenly. So a piece that very many documents hold sends
+    no more rows to the task of its anchor than there are batches.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, part in _chunks(text_bytes(batch.column(1))):
+            order = np.argsort(ids, kind="stable")
+            ids, texts = ids[order], text_bytes(batch.column(1))
+            seen: dict[bytes, int] = {}
+            for begin, part in _chunks([texts[i] for i in order.tolist()]):
                 lengths = np.fromiter(map(len, part), np.int64, len(part))
                 joined = b"".join(part)
                 at, h, low, high = anchors(np.frombuffer(joined, np.uint8), lengths)
@@ -145,18 +153,24 @@ def surroundings(docs: DataFrame, keep: np.ndarray) -> DataFrame:
                 at, h, low, high = at[hit], h[hit], low[hit], high[hit] + LENGTH
                 ends = np.cumsum(lengths)
                 owner = np.searchsorted(ends, at, side="right")
+                doc = ids[begin + owner]
+                pieces = [joined[a:b] for a, b in zip(low.tolist(), high.tolist())]
+                first = np.fromiter(map(seen.setdefault, pieces, doc.tolist()), np.int64, len(pieces))
+                covered = first < doc
+                dealt = np.where(covered, h ^ (doc.astype(np.uint64) * _STEPS[1]), h)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(h.view(np.int64)),
-                        pa.array([joined[a:b] for a, b in zip(low.tolist(), high.tolist())], pa.binary()),
-                        pa.array(ids[first + owner], pa.int64()),
+                        pa.array(dealt.view(np.int64)),
+                        pa.array([None if c else p for c, p in zip(covered.tolist(), pieces)], pa.binary()),
+                        pa.array(doc, pa.int64()),
                         pa.array((low - (ends - lengths)[owner]).astype(np.int32)),
+                        pa.array((high - low).astype(np.int32)),
                         pa.array((at - low).astype(np.int8)),
                     ],
-                    ["h", "piece", "doc_id", "start", "anchor"],
+                    ["h", "piece", "doc_id", "start", "size", "anchor"],
                 )
 
-    return docs.mapInArrow(run, "h long, piece binary, doc_id long, start int, anchor byte")
+    return docs.mapInArrow(run, "h long, piece binary, doc_id long, start int, size int, anchor byte")
 
 
 def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -287,14 +301,22 @@ def covered_ranges(around: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def out(rows: pa.RecordBatch) -> pa.RecordBatch:
-            doc, low, high = united(*search(rows))
+        def out(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+            doc, low, high = united(doc, low, high)
             return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["doc_id", "low", "high"])
 
+        def plain(rows: pa.RecordBatch) -> pa.RecordBatch:
+            doc, low, size = (rows.column(i).to_numpy().astype(np.int64) for i in (2, 3, 6))
+            return out(doc, low, low + size)
+
         def whole() -> pa.RecordBatch:
             return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
         for batch in batches:
+            ready = batch.column(5).is_null()
+            if ready.true_count:
+                yield plain(batch.filter(ready))
+                batch = batch.filter(batch.column(5).is_valid())
             if batch.num_rows:
                 held.append(batch)
             if sum(b.num_rows for b in held) >= BUFFER_ROWS:
@@ -302,13 +324,20 @@ def covered_ranges(around: DataFrame) -> DataFrame:
                 h = rows.column(0).to_numpy()
                 cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
                 if cut:
-                    yield out(rows.slice(0, cut))
-                held = [rows.slice(cut)]
+                    yield out(*search(rows.slice(0, cut)))
+                    held = [rows.slice(cut)]
+                else:
+                    # one anchor fills the buffer: rows that an equal piece covers go at once, distinct pieces stay
+                    f, doc, size = rows.column(1).to_numpy(), rows.column(2).to_numpy(), rows.column(6).to_numpy()
+                    fresh = _edges(f, size)
+                    covered = doc > doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+                    yield plain(rows.filter(pa.array(covered)))
+                    held = [rows.filter(pa.array(~covered))]
         if held:
-            yield out(whole())
+            yield out(*search(whole()))
 
-    dealt = around.repartition("h").withColumn("f", F.xxhash64("piece")).select("h", "f", "doc_id", "start", "anchor", "piece")
-    return dealt.sortWithinPartitions("h", "f", F.length("piece"), "doc_id", "start").mapInArrow(run, "doc_id long, low int, high int")
+    dealt = around.repartition("h").withColumn("f", F.xxhash64("piece")).select("h", "f", "doc_id", "start", "anchor", "piece", "size")
+    return dealt.sortWithinPartitions("h", "f", "size", "doc_id", "start").mapInArrow(run, "doc_id long, low int, high int")
 
 
 def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
