@@ -239,7 +239,7 @@ def seg_candidate_crops(spark, sf_dir):
     return crops.select("doc", F.col("box_id").alias("block_id"), F.col("rank").cast("long").alias("rank"), "x0", "y0", "x1", "y1")
 
 
-@query("""select l_orderkey as doc, zone, round(x0 * 600.0, 2) as x0, round(y1 * 800.0, 2) as y1 from (select distinct l_orderkey from lineitem) d
+@query("""select l_orderkey as doc, zone, round(x0 * 600.0, 2)::double as x0, round(y1 * 800.0, 2)::double as y1 from (select distinct l_orderkey from lineitem) d
  cross join (values ('top', 0.0, 0.0, 1.0, 0.2), ('middle', 0.0, 0.2, 1.0, 0.7), ('photo', 0.06, 0.24, 0.25, 0.43)) z(zone, x0, y0, x1, y1)""")
 def seg_page_zones(spark, sf_dir):
     pages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc")).distinct().select("doc", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
