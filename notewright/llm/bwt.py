@@ -3,7 +3,7 @@
 Each shard's suffixes are sorted once. Merging never sorts suffixes again: starting from the interleave by the first
 character, each round moves every row by its shard's last-to-first mapping and keeps the rows of equal character in
 their order, which refines the interleave from prefixes of length k to k + 1. Rows whose prefix occurs only once
-leave the work; the round in which a row leaves is its longest common prefix with any other row.
+leave the work; the last round that a row is in gives its longest common prefix with any other row.
 """
 
 from __future__ import annotations
@@ -19,13 +19,12 @@ PACK = 7
 class Shard:
     """``start``: position in the shard's text of the suffix of each row; ``before``: the character before it, plus
     one, zero at the start of a string; ``first``: its first character, plus one, zero at the end of a string;
-    ``to_first``: the row of the suffix that is longer by that character; ``left``: its length."""
+    ``to_first``: the row of the suffix that is longer by that character."""
 
     start: np.ndarray
     before: np.ndarray
     first: np.ndarray
     to_first: np.ndarray
-    left: np.ndarray
 
 
 def build_shard(text: np.ndarray, left: np.ndarray) -> Shard:
@@ -53,7 +52,7 @@ def build_shard(text: np.ndarray, left: np.ndarray) -> Shard:
     before = np.where(start > 0, text[start - 1], 0).astype(np.int16)
     to_first = np.empty(n, np.int64)
     to_first[np.argsort(before, kind="stable")] = np.arange(n)
-    return Shard(start, before, text[start], to_first, left[start])
+    return Shard(start, before, text[start], to_first)
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
@@ -73,7 +72,7 @@ def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.
     before = np.concatenate([s.before for s in shards])
     first = np.concatenate([s.first for s in shards])
     to_first = np.concatenate([s.to_first + o for s, o in zip(shards, offset)])
-    common = np.minimum(np.concatenate([s.left for s in shards]), depth).astype(np.uint8)
+    common = np.zeros(len(before), np.uint8)
     rows = np.flatnonzero(first > 0)
     rows = rows[np.argsort(first[rows], kind="stable")]
     group = np.cumsum(np.concatenate(([0], first[rows][1:] != first[rows][:-1]))) if len(rows) else rows
@@ -94,10 +93,11 @@ def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.
 
 
 def _repeated(rows: np.ndarray, group: np.ndarray, common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Without rows that are alone in their group; they share no more than ``depth`` - 1 characters with another."""
+    """Without rows that are alone in their group; all others share ``depth`` characters at least with another."""
     if not len(rows):
         return rows, group
     edge = np.concatenate(([True], group[1:] != group[:-1], [True]))
-    alone = edge[:-1] & edge[1:]
-    common[rows[alone]] = depth - 1
-    return rows[~alone], group[~alone]
+    several = ~(edge[:-1] & edge[1:])
+    rows, group = rows[several], group[several]
+    common[rows] = depth
+    return rows, group
