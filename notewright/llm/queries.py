@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from notewright.llm import decontamination, html_extraction, language_model, mixing, pii, quality_trees, simhash, suffix_dedup, toxicity, weak_supervision
+from notewright.llm.oracles import ORACLES  # noqa: F401
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +77,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_pii": op10_pii,
 }
-
-ORACLES: dict[str, str] = {}

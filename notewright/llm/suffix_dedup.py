@@ -29,25 +29,31 @@ CHUNK_BYTES = 1 << 18
 #: Low bits that hold a position while the least hash of a window is sought; a text may have 2 ** 28 bytes.
 PLACE_BITS = 28
 #: Bits of the filter of repeated anchors. It lets through some others, which cost time and change nothing.
-FILTER_BITS = 27
+FILTER_BITS = 28
 SHARD_BYTES, BUFFER_ROWS = 1 << 19, 60_000
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _SIDES = np.random.default_rng(17).integers(0, 1 << 63, (2, SIDE)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def piece_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each PIECE bytes of ``data``."""
-    h = data.astype(np.uint64) + np.uint64(1)
-    parts = {1: h}
+def gram_hashes(data: np.ndarray) -> dict[int, np.ndarray]:
+    """Polynomial hashes of the strings of 1, 2, 4, 8 and 16 bytes that start at each byte."""
+    parts = {1: data.astype(np.uint64) + np.uint64(1)}
     for width, step in zip((1, 2, 4, 8), _STEPS):
         a = parts[width]
         parts[2 * width] = a[:-width] * step + a[width:]
-    n = len(data) - PIECE + 1
-    h = parts[16][:n] * _STEPS[4] + parts[8][16 : 16 + n]
-    h ^= h >> np.uint64(31)
+    return parts
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    return h
+    return h ^ (h >> np.uint64(29))
+
+
+def piece_hashes(parts: dict[int, np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each PIECE bytes."""
+    n = len(parts[1]) - PIECE + 1
+    return _mixed(parts[16][:n] * _STEPS[4] + parts[8][16 : 16 + n])
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -59,25 +65,50 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, hashes, low, high) of the anchors in texts laid end to end: the strings that start at low to high
-    have this anchor, the leftmost of least hash. A text under LENGTH bytes has none."""
+def _edges(*keys: np.ndarray) -> np.ndarray:
+    """True where any key differs from the row before."""
+    fresh = np.ones(len(keys[0]), bool)
+    fresh[1:] = False
+    for k in keys:
+        fresh[1:] |= k[1:] != k[:-1]
+    return fresh
+
+
+def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(positions, hashes, low, high, left, right) of the anchors in texts laid end to end.
+
+    The strings that start at low to high have this anchor, the leftmost of least hash. ``left`` and ``right`` hash
+    it with the SIDE bytes before it and after it, zero where none of these strings holds them all: equal strings
+    agree on the one side or the other. A text under LENGTH bytes has no anchor.
+    """
     none = np.empty(0, np.int64)
     if len(data) < LENGTH:
-        return none, none.astype(np.uint64), none, none
-    h = piece_hashes(data)
+        return none, none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(np.uint64)
+    parts = gram_hashes(data)
+    h = piece_hashes(parts)
     place = np.uint64((1 << PLACE_BITS) - 1)
     packed = (h & ~place) | np.arange(len(h), dtype=np.uint64)
     at = (_least(packed, SPAN + 1) & place).astype(np.int64)
-    ends = np.cumsum(lengths)
     inside = np.ones(len(at), bool)
-    for end in ends[:-1].tolist():
+    for end in np.cumsum(lengths)[:-1].tolist():
         inside[max(0, end - LENGTH + 1) : end] = False
     starts = np.flatnonzero(inside)
     at = at[starts]
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else none
+    first = np.flatnonzero(_edges(at)) if len(at) else none
     last = np.append(first[1:] - 1, len(at) - 1) if len(first) else none
-    return at[first], h[at[first]], starts[first], starts[last]
+    at, low, high = at[first], starts[first], starts[last]
+    hashes = h[at]
+
+    def beside(start: np.ndarray, holds: np.ndarray, step: np.uint64) -> np.ndarray:
+        key = np.zeros(len(at), np.uint64)
+        i = start[holds]
+        side = (parts[8][i] * _STEPS[1] + parts[4][i + 8]) * _STEPS[2] + parts[1][i + 12]
+        key[holds] = _mixed(hashes[holds] * step + side) | np.uint64(1)
+        return key
+
+    left = beside(at - SIDE, low <= at - SIDE, _STEPS[0])
+    right = beside(at + PIECE, high >= at - SIDE, _STEPS[3])
+    return at, hashes, low, high, left, right
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -96,29 +127,35 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def repeated_anchors(docs: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits with those of all anchors that occur in two rows or more, of any number."""
+    """A filter of FILTER_BITS bits with those of all anchors and sides that occur in two rows or more, of any number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, part in _chunks(text_bytes(batch.column(0))):
                 lengths = np.fromiter(map(len, part), np.int64, len(part))
-                at, h, _, _ = anchors(np.frombuffer(b"".join(part), np.uint8), lengths)
+                at, _, _, _, left, right = anchors(np.frombuffer(b"".join(part), np.uint8), lengths)
                 owner = np.searchsorted(np.cumsum(lengths), at, side="right")
+                h, owner = np.concatenate((left, right)), np.concatenate((owner, owner))
+                h, owner = h[h != 0], owner[h != 0]
                 order = np.lexsort((h, owner))
                 h, owner = h[order], owner[order]
-                once = np.ones(len(h), bool)
-                once[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64))], ["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[_edges(h, owner)].view(np.int64))], ["h"])
 
     twice = docs.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    low = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = twice.select(F.shiftright(low, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b"))
+    # the lowest bit of a key is always one; the bits above it choose the place
+    low = F.shiftrightunsigned("h", 1).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = twice.select(F.shiftright(low, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 1) & 63 as int))").alias("b"))
     packed = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     table[packed.column("w").to_numpy()] = packed.column("b").to_numpy()
     return table.view(np.uint64)
 
 
+def _held(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    place = (key >> np.uint64(1)) & np.uint64((1 << FILTER_BITS) - 1)
+    return (key != 0) & ((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1)
+
+
 def free_shuffles(docs: DataFrame) -> None:
     """Lets Spark delete the shuffle files of work that is done: its cleaner waits for garbage collection, and the
     last references go only a moment after the result has come."""
@@ -129,7 +166,7 @@ def free_shuffles(docs: DataFrame) -> None:
 
 
 def surroundings(docs: DataFrame, keep: np.ndarray) -> DataFrame:
-    """(h, piece, doc_id, start, size, anchor): the strings of each anchor that the filter holds, as one piece of text.
+    """(h, piece, doc_id, start, size, anchor): the strings of each anchor whose sides the filter holds, as one piece.
 
     Of equal pieces in a batch only those of the smallest document keep their text: the others are covered for sure,
     and go along as plain ranges, without text and dealt out evenly. So a piece that very many documents hold sends
@@ -147,9 +184,11 @@ def surroundings(docs: DataFrame, keep: np.ndarray) -> DataFrame:
             for begin, part in _chunks([texts[i] for i in order.tolist()]):
                 lengths = np.fromiter(map(len, part), np.int64, len(part))
                 joined = b"".join(part)
-                at, h, low, high = anchors(np.frombuffer(joined, np.uint8), lengths)
-                place = h & np.uint64((1 << FILTER_BITS) - 1)
-                hit = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                at, h, low, high, left, right = anchors(np.frombuffer(joined, np.uint8), lengths)
+                # only strings with a side that another row has too
+                left, right = _held(bits, left), _held(bits, right)
+                low, high = np.where(left, low, np.maximum(low, at - SIDE)), np.where(right, high, np.minimum(high, at - SIDE))
+                hit = left | right
                 at, h, low, high = at[hit], h[hit], low[hit], high[hit] + LENGTH
                 ends = np.cumsum(lengths)
                 owner = np.searchsorted(ends, at, side="right")
@@ -178,15 +217,6 @@ def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _edges(*keys: np.ndarray) -> np.ndarray:
-    """True where any key differs from the row before."""
-    fresh = np.ones(len(keys[0]), bool)
-    fresh[1:] = False
-    for k in keys:
-        fresh[1:] |= k[1:] != k[:-1]
-    return fresh
-
-
 def candidates(h: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     """Of pieces sorted by anchor, those that share with another piece of their anchor SIDE bytes on one side of it."""
     wanted = np.zeros(len(h), bool)
