@@ -48,13 +48,21 @@ def drop_noise_lines(c: Column) -> Column:
     return F.array_join(F.filter(_lines(c), lambda x: ~F.lower(x).rlike(noise)), "\n")
 
 
+def with_value(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_lines(c: Column) -> Column:
-    """Each line once, by its lower-cased words, the first spelling kept and blank lines dropped."""
+    """Each line once, by its lower-cased words, the first spelling kept and blank lines dropped.
+
+    Lines are sorted by key and place, the first of each key kept and put back in place: n log n in the lines.
+    """
     bare = F.filter(F.transform(_lines(c), strip), lambda x: x != "")
-    keyed = F.transform(bare, lambda x: F.struct(F.lower(F.regexp_replace(x, r"\s+", " ")).alias("k"), x.alias("v")))
-    keys = F.transform(keyed, lambda x: x["k"])
-    kept = F.filter(keyed, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
-    return F.array_join(F.transform(kept, lambda x: x["v"]), "\n")
+    keyed = F.transform(bare, lambda x, i: F.struct(F.lower(F.regexp_replace(x, r"\s+", " ")).alias("k"), i.alias("i"), x.alias("v")))
+    firsts = with_value(F.array_sort(keyed), lambda s: F.filter(s, lambda x, j: F.coalesce(F.get(s, j - 1)["k"] != x["k"], F.lit(True))))
+    placed = F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v"))))
+    return F.array_join(F.transform(placed, lambda x: x["v"]), "\n")
 
 
 def squeeze(c: Column) -> Column:
