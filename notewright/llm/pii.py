@@ -31,11 +31,15 @@ LEAST_KNOWN, LEAST_SHARE = 3, 0.6
 #: A value is taken up at this probability of being of a kind, by noisy-or over its trusted patterns.
 LEAST_BELIEF = 0.6
 CONTEXT_CHARS = 60
+STEP = 128
 
 
 def _spans(matches: str, pieces: str) -> Column:
-    """Start, end (exclusive) and value of each match, from the matches and the pieces between them."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    """Start, end (exclusive) and value of each match, from the matches and the pieces between them.
+
+    The running place is carried through chunks of STEP matches, so that no list is copied once for each match.
+    """
+    kind = "array<struct<start:int,end:int,value:string>>"
 
     def step(state: Column, i: Column) -> Column:
         begin = state["at"] + F.length(F.get(pieces, i))
@@ -43,8 +47,15 @@ def _spans(matches: str, pieces: str) -> Column:
         one = F.array(F.struct(begin.alias("start"), end.alias("end"), F.get(matches, i).alias("value")))
         return F.struct(end.alias("at"), F.concat(state["out"], one).alias("out"))
 
-    run = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda s: s["out"])
-    return F.when(F.col(matches).isNotNull() & (F.size(matches) > 0), run).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    def chunk(state: Column, c: Column) -> Column:
+        start = F.struct(state["at"].alias("at"), F.array().cast(kind).alias("out"))
+        part = F.aggregate(F.sequence(c * STEP, F.least((c + 1) * STEP, F.size(matches)) - 1), start, step)
+        grown = F.transform(F.array(part), lambda p: F.struct(p["at"].alias("at"), F.concat(state["out"], F.array(p["out"])).alias("out")))
+        return F.get(grown, F.lit(0))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    run = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / STEP).cast("int")), start, chunk, lambda s: F.flatten(s["out"]))
+    return F.when(F.col(matches).isNotNull() & (F.size(matches) > 0), run).otherwise(F.array().cast(kind))
 
 
 def _luhn(digits: Column) -> Column:

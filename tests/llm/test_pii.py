@@ -30,6 +30,7 @@ TEXTS = [
     None, "", "no numbers", "a@b.c_d@e.f", "a@b@c.d", "x@y..z a.b@c-d.ef.", "1.2.3.4.5.6.7.8", "0256.1.1.1 0255.1.1.1 255.255.255.256", "é🙂 +1 (040) 555-0631.",
     "4539 1488 0343 6467 4539-1488-0343-6467", "45391488034364670", "+12345678 9 +1234567", "+1 23 45 67 89 01 23 45 67", "00000000000000000", "a1@b.c2", "%%@x.y", "1.2.3.4@x.y +1.2.3.4.5.6.7.8",
     "9" * 3000 + ".1.2.3", "q" * 20000 + "@x.y", ("a.b" * 3000) + " 5",
+    " ".join(f"n{i} a{i}@b.c" for i in range(700)),
 ]
 
 
