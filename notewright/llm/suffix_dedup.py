@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,32 +29,26 @@ SIDE = SPAN // 2
 CHUNK_BYTES = 1 << 18
 #: Low bits that hold a position while the least hash of a window is sought; a text may have 2 ** 28 bytes.
 PLACE_BITS = 28
-#: Bits of the filter of repeated anchors. It lets through some others, which cost time and change nothing.
-FILTER_BITS = 28
+#: Bits of the filters of anchors. They let through some others, which cost time and change nothing.
+FILTER_BITS = 27
 SHARD_BYTES, BUFFER_ROWS = 1 << 19, 60_000
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _SIDES = np.random.default_rng(17).integers(0, 1 << 63, (2, SIDE)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def gram_hashes(data: np.ndarray) -> dict[int, np.ndarray]:
-    """Polynomial hashes of the strings of 1, 2, 4, 8 and 16 bytes that start at each byte."""
-    parts = {1: data.astype(np.uint64) + np.uint64(1)}
+def piece_hashes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each PIECE bytes of ``data``."""
+    h = data.astype(np.uint64) + np.uint64(1)
+    parts = {1: h}
     for width, step in zip((1, 2, 4, 8), _STEPS):
         a = parts[width]
         parts[2 * width] = a[:-width] * step + a[width:]
-    return parts
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
+    n = len(data) - PIECE + 1
+    h = parts[16][:n] * _STEPS[4] + parts[8][16 : 16 + n]
+    h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-def piece_hashes(parts: dict[int, np.ndarray]) -> np.ndarray:
-    """A 64-bit hash of each PIECE bytes."""
-    n = len(parts[1]) - PIECE + 1
-    return _mixed(parts[16][:n] * _STEPS[4] + parts[8][16 : 16 + n])
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -74,41 +69,25 @@ def _edges(*keys: np.ndarray) -> np.ndarray:
     return fresh
 
 
-def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(positions, hashes, low, high, left, right) of the anchors in texts laid end to end.
-
-    The strings that start at low to high have this anchor, the leftmost of least hash. ``left`` and ``right`` hash
-    it with the SIDE bytes before it and after it, zero where none of these strings holds them all: equal strings
-    agree on the one side or the other. A text under LENGTH bytes has no anchor.
-    """
+def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, low, high) of the anchors in texts laid end to end: the strings that start at low to high
+    have this anchor, the leftmost of least hash. A text under LENGTH bytes has none."""
     none = np.empty(0, np.int64)
     if len(data) < LENGTH:
-        return none, none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(np.uint64)
-    parts = gram_hashes(data)
-    h = piece_hashes(parts)
+        return none, none.astype(np.uint64), none, none
+    h = piece_hashes(data)
     place = np.uint64((1 << PLACE_BITS) - 1)
     packed = (h & ~place) | np.arange(len(h), dtype=np.uint64)
     at = (_least(packed, SPAN + 1) & place).astype(np.int64)
+    ends = np.cumsum(lengths)
     inside = np.ones(len(at), bool)
-    for end in np.cumsum(lengths)[:-1].tolist():
+    for end in ends[:-1].tolist():
         inside[max(0, end - LENGTH + 1) : end] = False
     starts = np.flatnonzero(inside)
     at = at[starts]
-    first = np.flatnonzero(_edges(at)) if len(at) else none
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else none
     last = np.append(first[1:] - 1, len(at) - 1) if len(first) else none
-    at, low, high = at[first], starts[first], starts[last]
-    hashes = h[at]
-
-    def beside(start: np.ndarray, holds: np.ndarray, step: np.uint64) -> np.ndarray:
-        key = np.zeros(len(at), np.uint64)
-        i = start[holds]
-        side = (parts[8][i] * _STEPS[1] + parts[4][i + 8]) * _STEPS[2] + parts[1][i + 12]
-        key[holds] = _mixed(hashes[holds] * step + side) | np.uint64(1)
-        return key
-
-    left = beside(at - SIDE, low <= at - SIDE, _STEPS[0])
-    right = beside(at + PIECE, high >= at - SIDE, _STEPS[3])
-    return at, hashes, low, high, left, right
+    return at[first], h[at[first]], starts[first], starts[last]
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -126,34 +105,65 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, part
 
 
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits with those of the column h, of any number of rows."""
+    low = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = keys.select(F.shiftright(low, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b"))
+    packed = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table[packed.column("w").to_numpy()] = packed.column("b").to_numpy()
+    return table.view(np.uint64)
+
+
+def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h & np.uint64((1 << FILTER_BITS) - 1)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
 def repeated_anchors(docs: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits with those of all anchors and sides that occur in two rows or more, of any number."""
+    """The filter of all anchors that occur in two rows or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, part in _chunks(text_bytes(batch.column(0))):
                 lengths = np.fromiter(map(len, part), np.int64, len(part))
-                at, _, _, _, left, right = anchors(np.frombuffer(b"".join(part), np.uint8), lengths)
+                at, h, _, _ = anchors(np.frombuffer(b"".join(part), np.uint8), lengths)
                 owner = np.searchsorted(np.cumsum(lengths), at, side="right")
-                h, owner = np.concatenate((left, right)), np.concatenate((owner, owner))
-                h, owner = h[h != 0], owner[h != 0]
                 order = np.lexsort((h, owner))
                 h, owner = h[order], owner[order]
                 yield pa.RecordBatch.from_arrays([pa.array(h[_edges(h, owner)].view(np.int64))], ["h"])
 
-    twice = docs.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    # the lowest bit of a key is always one; the bits above it choose the place
-    low = F.shiftrightunsigned("h", 1).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = twice.select(F.shiftright(low, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 1) & 63 as int))").alias("b"))
-    packed = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    table[packed.column("w").to_numpy()] = packed.column("b").to_numpy()
-    return table.view(np.uint64)
+    return _filter_of(docs.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+
+
+def _pieces(texts: list[bytes], keep: np.ndarray) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By chunks of texts: (first text, pieces, text of each, start, anchor's place, anchor's hash) of kept anchors."""
+    for first, part in _chunks(texts):
+        lengths = np.fromiter(map(len, part), np.int64, len(part))
+        joined = b"".join(part)
+        at, h, low, high = anchors(np.frombuffer(joined, np.uint8), lengths)
+        hit = _held(keep, h)
+        at, h, low, high = at[hit], h[hit], low[hit], high[hit] + LENGTH
+        ends = np.cumsum(lengths)
+        owner = np.searchsorted(ends, at, side="right")
+        yield first, [joined[a:b] for a, b in zip(low.tolist(), high.tolist())], owner, low - (ends - lengths)[owner], at - low, h
+
+
+def _digests(pieces: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, len(pieces)).view(np.int64)
 
 
-def _held(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    place = (key >> np.uint64(1)) & np.uint64((1 << FILTER_BITS) - 1)
-    return (key != 0) & ((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1)
+def differing_anchors(docs: DataFrame, keep: np.ndarray) -> np.ndarray:
+    """The filter of those repeated anchors whose pieces are not all equal: only these need their text compared."""
+    sent = docs.sparkSession.sparkContext.broadcast(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, pieces, _, _, _, h in _pieces(text_bytes(batch.column(0)), sent.value):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_digests(pieces))], ["h", "f"])
+
+    spread = docs.select("text").mapInArrow(run, "h long, f long").groupBy("h").agg(F.min("f").alias("low"), F.max("f").alias("high"))
+    return _filter_of(spread.where("low < high").select("h"))
 
 
 def free_shuffles(docs: DataFrame) -> None:
@@ -165,51 +175,43 @@ def free_shuffles(docs: DataFrame) -> None:
         time.sleep(0.7)
 
 
-def surroundings(docs: DataFrame, keep: np.ndarray) -> DataFrame:
-    """(h, piece, doc_id, start, size, anchor): the strings of each anchor whose sides the filter holds, as one piece.
+def surroundings(docs: DataFrame, keep: np.ndarray, differ: np.ndarray) -> DataFrame:
+    """(h, f, piece, doc_id, start, size, anchor): the strings of each repeated anchor, as one piece of text with its
+    digest; without the text where all pieces of the anchor are equal.
 
-    Of equal pieces in a batch only those of the smallest document keep their text: the others are covered for sure,
-    and go along as plain ranges, without text and dealt out evenly. So a piece that very many documents hold sends
-    no more rows to the task of its anchor than there are batches.
+    Of equal pieces in a batch only those of the smallest document go to the anchor's task: the others are covered
+    for sure, and leave as plain ranges without digest, dealt out evenly. So a piece that very many documents hold
+    sends no more rows to one task than there are batches.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(keep)
+    sent = docs.sparkSession.sparkContext.broadcast((keep, differ))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        keep, differ = sent.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             order = np.argsort(ids, kind="stable")
             ids, texts = ids[order], text_bytes(batch.column(1))
-            seen: dict[bytes, int] = {}
-            for begin, part in _chunks([texts[i] for i in order.tolist()]):
-                lengths = np.fromiter(map(len, part), np.int64, len(part))
-                joined = b"".join(part)
-                at, h, low, high, left, right = anchors(np.frombuffer(joined, np.uint8), lengths)
-                # only strings with a side that another row has too
-                left, right = _held(bits, left), _held(bits, right)
-                low, high = np.where(left, low, np.maximum(low, at - SIDE)), np.where(right, high, np.minimum(high, at - SIDE))
-                hit = left | right
-                at, h, low, high = at[hit], h[hit], low[hit], high[hit] + LENGTH
-                ends = np.cumsum(lengths)
-                owner = np.searchsorted(ends, at, side="right")
-                doc = ids[begin + owner]
-                pieces = [joined[a:b] for a, b in zip(low.tolist(), high.tolist())]
-                first = np.fromiter(map(seen.setdefault, pieces, doc.tolist()), np.int64, len(pieces))
+            seen: dict[int, int] = {}
+            for begin, pieces, owner, start, place, h in _pieces([texts[i] for i in order.tolist()], keep):
+                doc, f = ids[begin + owner], _digests(pieces)
+                first = np.fromiter(map(seen.setdefault, (f ^ h.view(np.int64)).tolist(), doc.tolist()), np.int64, len(pieces))
                 covered = first < doc
                 dealt = np.where(covered, h ^ (doc.astype(np.uint64) * _STEPS[1]), h)
+                text = _held(differ, h) & ~covered
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(dealt.view(np.int64)),
-                        pa.array([None if c else p for c, p in zip(covered.tolist(), pieces)], pa.binary()),
+                        pa.array(f, mask=covered),
+                        pa.array([p if t else None for t, p in zip(text.tolist(), pieces)], pa.binary()),
                         pa.array(doc, pa.int64()),
-                        pa.array((low - (ends - lengths)[owner]).astype(np.int32)),
-                        pa.array((high - low).astype(np.int32)),
-                        pa.array((at - low).astype(np.int8)),
+                        pa.array(start.astype(np.int32)),
+                        pa.array(np.fromiter(map(len, pieces), np.int32, len(pieces))),
+                        pa.array(place.astype(np.int8)),
                     ],
-                    ["h", "piece", "doc_id", "start", "size", "anchor"],
+                    ["h", "f", "piece", "doc_id", "start", "size", "anchor"],
                 )
 
-    return docs.mapInArrow(run, "h long, piece binary, doc_id long, start int, size int, anchor byte")
+    return docs.mapInArrow(run, "h long, f long, piece binary, doc_id long, start int, size int, anchor byte")
 
 
 def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -273,8 +275,8 @@ def search(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, anchor = rows.column(3).to_numpy().astype(np.int64), rows.column(4).to_numpy().astype(np.int64)
     pieces = rows.column(5)
     offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
-    data = np.frombuffer(pieces.buffers()[2], np.uint8)
-    size = np.diff(offsets)
+    data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
+    size = rows.column(6).to_numpy().astype(np.int64)
     fresh = _edges(h, f, size)
     group, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
     least = doc[first]
@@ -343,10 +345,10 @@ def covered_ranges(around: DataFrame) -> DataFrame:
             return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
         for batch in batches:
-            ready = batch.column(5).is_null()
+            ready = batch.column(1).is_null()
             if ready.true_count:
                 yield plain(batch.filter(ready))
-                batch = batch.filter(batch.column(5).is_valid())
+                batch = batch.filter(batch.column(1).is_valid())
             if batch.num_rows:
                 held.append(batch)
             if sum(b.num_rows for b in held) >= BUFFER_ROWS:
@@ -366,7 +368,7 @@ def covered_ranges(around: DataFrame) -> DataFrame:
         if held:
             yield out(*search(whole()))
 
-    dealt = around.repartition("h").withColumn("f", F.xxhash64("piece")).select("h", "f", "doc_id", "start", "anchor", "piece", "size")
+    dealt = around.select("h", "f", "doc_id", "start", "anchor", "piece", "size").repartition("h")
     return dealt.sortWithinPartitions("h", "f", "size", "doc_id", "start").mapInArrow(run, "doc_id long, low int, high int")
 
 
@@ -375,7 +377,9 @@ def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     keep = repeated_anchors(narrow)
     free_shuffles(docs)
-    ranges = covered_ranges(surroundings(narrow, keep))
+    differ = differing_anchors(narrow, keep)
+    free_shuffles(docs)
+    ranges = covered_ranges(surroundings(narrow, keep, differ))
     return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
 
