@@ -31,7 +31,7 @@ CHUNK_BYTES = 1 << 18
 PLACE_BITS = 28
 #: Bits of the filters of anchors. They let through some others, which cost time and change nothing.
 FILTER_BITS = 27
-SHARD_BYTES, BUFFER_ROWS = 1 << 19, 60_000
+SHARD_BYTES, BUFFER_ROWS, SEEN_PIECES = 1 << 19, 60_000, 150_000
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _SIDES = np.random.default_rng(17).integers(0, 1 << 63, (2, SIDE)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -194,6 +194,8 @@ def surroundings(docs: DataFrame, keep: np.ndarray, differ: np.ndarray) -> DataF
             seen: dict[int, int] = {}
             for begin, pieces, owner, start, place, h in _pieces([texts[i] for i in order.tolist()], keep):
                 doc, f = ids[begin + owner], _digests(pieces)
+                if len(seen) > SEEN_PIECES:
+                    seen.clear()
                 first = np.fromiter(map(seen.setdefault, (f ^ h.view(np.int64)).tolist(), doc.tolist()), np.int64, len(pieces))
                 covered = first < doc
                 dealt = np.where(covered, h ^ (doc.astype(np.uint64) * _STEPS[1]), h)
