@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from notewright.llm import suffix_dedup, weak_supervision
+from notewright.llm import suffix_dedup
 from notewright.llm.weak_supervision import ITERATIONS, PRIOR_VOTES, START_GOOD, START_IF_BAD, START_IF_GOOD, SYMBOLS
 
 _WORD = r"[^\x20\x09-\x0D]"
@@ -22,7 +22,7 @@ _RULES = {
 
 
 def quality_rules_sql() -> str:
-    names = list(weak_supervision.rules())
+    names = list(_RULES)
     n = len(names)
 
     def count(pattern: str) -> str:

@@ -30,3 +30,20 @@ def test_registered():
 
     names = set(e.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and set(e.oracle_sql()) <= names
+
+
+def test_imports_without_a_session():
+    """The entry module is read before any session exists."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-500:]
+
+
+def test_oracle_has_the_operator_s_rules(spark):
+    from notewright.llm import oracles, weak_supervision
+
+    assert list(oracles._RULES) == list(weak_supervision.rules())
