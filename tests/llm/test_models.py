@@ -111,3 +111,25 @@ def test_mixture_of_logs():
     want = [0.75 * 0.1 + 0.25 * 0.3, 0.25 * 0.2, 0.75 * 0.2, 0.25 * 0.5]
     assert np.allclose(10 ** lm.mixed_logs(net, share, 0.25), want)
     assert 0.5 < lm.fit_mix(np.log10(np.full(100, 1e-4)), np.log10(np.full(100, 1e-2))) <= 0.9
+
+
+def test_pairs_are_counted_over_all_training_texts(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    kept = [(r["text"] or "").encode().lower().split() for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1]
+    seen = []
+    fit = lm.fit
+
+    def spy(texts, *args, **kwargs):
+        seen.append((len(texts), fit(texts, *args, **{**kwargs, "steps": 1})))
+        return seen[-1][1]
+
+    monkeypatch.setattr(lm, "fit", spy)
+    monkeypatch.setattr(lm, "TRAIN_DOCS", 10)
+    lm.score_texts(docs)
+    encoder = lm.Encoder(lm.TOKENIZER, {})
+    texts = [np.append(encoder.subwords(encoder.encode(w)), encoder.tokenizer.size) for w in kept]
+    counts = np.bincount(np.concatenate(texts), minlength=encoder.tokenizer.size + 1)
+    whole = fit(texts, counts[:-1], counts[-1], steps=0)
+    (sampled, model), = seen
+    assert sampled < 10 < len(kept)
+    assert np.array_equal(model.close, whole.close) and np.allclose(model.share, whole.share, atol=1e-5) and np.allclose(model.after, whole.after, atol=1e-5)
