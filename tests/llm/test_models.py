@@ -133,3 +133,15 @@ def test_pairs_are_counted_over_all_training_texts(spark, small, monkeypatch):
     (sampled, model), = seen
     assert sampled < 10 < len(kept)
     assert np.array_equal(model.close, whole.close) and np.allclose(model.share, whole.share, atol=1e-5) and np.allclose(model.after, whole.after, atol=1e-5)
+
+
+def test_head_list_does_not_change_scores(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1, "twice never seen twice qqzzqq qqzzqq"), (2, None)], "doc_id long, text string"))
+    monkeypatch.setattr(lm.fit, "__defaults__", (5, 20, None))
+    got = []
+    for share in (5e-7, 1e-2, 10.0):
+        monkeypatch.setattr(lm, "HEAD_SHARE", share)
+        got.append(sorted((r["doc_id"], r["n_known"], r["n_tokens"], r["base_score"], r["score"]) for r in lm.score_texts(docs).collect()))
+    for other in got[1:]:
+        assert np.allclose(np.array(got[0]), np.array(other), rtol=1e-5)
