@@ -22,6 +22,8 @@ from notewright.llm.common import crc_fold, one_blas_thread, text_bytes
 #: Labelled rows that the model is fitted on, of each class at most: a bound, whatever the input's size.
 SAMPLE_PER_CLASS = {1: 1500, 0: 2500}
 WINDOW, STRIDE = 40, 28
+#: Bytes of a word that are one step of a window; what is longer takes several steps.
+PIECE = 64
 WIDTH, HIDDEN, GRAMS = 12, 10, 1 << 12
 LEAST_DOCS = 8
 EPOCHS, BATCH, RATE = 3, 256, 0.01
@@ -57,7 +59,22 @@ def window_starts(n: int) -> np.ndarray:
 
 
 def bare(word: bytes) -> bytes:
-    return (word.strip(_EDGES) or word).lower()[:64]
+    return (word.strip(_EDGES) or word).lower()
+
+
+def words_of_text(text: bytes) -> list[bytes]:
+    """Words of a text; longer ones are cut into pieces of PIECE bytes that share two, so no trigram is lost."""
+    words = text.split()
+    if not words or max(map(len, words)) <= PIECE:
+        return words
+    out = []
+    for word in words:
+        if len(word) > PIECE:
+            core = bare(word)
+            out.extend(core[at : at + PIECE] for at in range(0, max(1, len(core) - 2), PIECE - 2))
+        else:
+            out.append(word)
+    return out
 
 
 @dataclass
@@ -149,7 +166,7 @@ class Scorer:
         return rnn.sigmoid(self.features(texts) @ self.model.final)
 
     def encode(self, text: bytes) -> np.ndarray:
-        words = text.split()
+        words = words_of_text(text)
         return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
 
 
@@ -183,7 +200,7 @@ def train(rows: list[tuple[bytes, int]], class_counts: dict[int, int], seed: int
         model.params["w"][:] = 0
         model.final = np.array([np.log(share / (1 - share)), 0, 0, 0, 0])
         return model
-    tokens = [[bare(w) for w in t.split()] for t, _ in rows]
+    tokens = [[bare(w) for w in words_of_text(t)] for t, _ in rows]
     seen: dict[bytes, int] = {}
     for words in tokens:
         for w in set(words):

@@ -145,3 +145,16 @@ def test_head_list_does_not_change_scores(spark, small, monkeypatch):
         got.append(sorted((r["doc_id"], r["n_known"], r["n_tokens"], r["base_score"], r["score"]) for r in lm.score_texts(docs).collect()))
     for other in got[1:]:
         assert np.allclose(np.array(got[0]), np.array(other), rtol=1e-5)
+
+
+def test_long_words_are_read_to_their_end():
+    text = bytes(range(97, 123)) * 30
+    parts = toxicity.words_of_text(b"short " + text + b" (" + b"x" * 64 + b")")
+    assert parts[0] == b"short" and parts[-1] == b"x" * 64 and max(map(len, parts)) <= 64
+    pieces = parts[1:-1]
+    assert pieces[0] + b"".join(x[2:] for x in pieces[1:]) == text
+    model = toxicity.Model(rnn.new_params(1, toxicity.GRAMS, toxicity.WIDTH, toxicity.HIDDEN, 3), {}, np.array([0.0, 1.0, 1.0, 0.0, 0.0]))
+    scorer = toxicity.Scorer(model)
+    same, other = ("语" * 30 + x for x in ("好" * 400, "坏" * 400))
+    one, two = scorer.scores([scorer.encode(t.encode()) for t in (same, other)])
+    assert abs(one - two) > 1e-6
