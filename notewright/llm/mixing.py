@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame and SQL functions only.
 
 Rows of a source are dealt into blocks. With a weight of k slots in P, block j of a source may not run before slot
-floor(j*P/k) and must run before slot ceil((j+1)*P/k). Whole weights make one period of P slots repeat for ever, so
-earliest deadline first is run once over P slots (a plan as large as the list of sources, never as the data) and
-each block finds its slot by arithmetic. At every slot each source is less than one block away from its share.
+floor(j*P/k) and must run before slot ceil((j+1)*P/k). k and P are whole and exact: they stand to each other as the
+target weights do. Earliest deadline first is run on the driver over P slots, which repeat for ever, or to the end of
+the phase if that comes first (one number a block at most); each block finds its slot by arithmetic and a join with
+these numbers. At every slot each source is less than one block away from its target weight's share.
 When a source runs out, a new phase begins with the remaining sources' weights scaled up to fill it.
 """
 
@@ -11,7 +12,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +24,8 @@ BLOCK_ROWS = 16
 ALPHA = 0.5
 #: The list of sources is planned on the driver and broadcast; more than this many is refused, not cut.
 MAX_SOURCES = 4096
+#: Slots of the plan in a row of the table that blocks find theirs in; a table of more slots is not broadcast.
+PLAN_CHUNK, BROADCAST_SLOTS = 1024, 4_000_000
 
 
 def period_of(n_sources: int) -> int:
@@ -43,14 +48,26 @@ def whole_shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
     return share
 
 
-def edf_period(share: Mapping[str, int]) -> dict[str, list[int]]:
-    """Earliest deadline first over one period: the slots of each source's blocks, in order."""
+def exact_shares(weights: Mapping[str, float]) -> dict[str, int]:
+    """The least whole numbers that stand to each other exactly as the weights do."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * scale) for s, x in exact.items()}
+    common = math.gcd(*whole.values())
+    return {s: x // common for s, x in whole.items()}
+
+
+def edf_period(share: Mapping[str, int], left: Mapping[str, int] | None = None) -> dict[str, list[int]]:
+    """Earliest deadline first over one period: the slots of each source's blocks, in order.
+
+    With ``left`` it ends with the slot in which the first source has run so many blocks, if the period doesn't."""
     period = sum(share.values())
     waiting = [(0, -(-period // k), s, 0) for s, k in sorted(share.items())]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     slots: dict[str, list[int]] = {s: [] for s in share}
-    for now in range(period):
+    now = -1
+    while (now := now + 1) < period:
         while waiting and waiting[0][0] <= now:
             _, due, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (due, s, j))
@@ -58,6 +75,8 @@ def edf_period(share: Mapping[str, int]) -> dict[str, list[int]]:
         if due < now + 1:
             raise AssertionError("a block missed its deadline")
         slots[s].append(now)
+        if left is not None and j + 1 == left[s]:
+            break
         if j + 1 < share[s]:
             release, due = (j + 1) * period // share[s], -(-(j + 2) * period // share[s])
             heapq.heappush(waiting, (max(release, now + 1), due, s, j + 1))
@@ -71,9 +90,13 @@ def plan_phases(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list
     phases, base = [], 0
     while left:
         active = {s: weights.get(s, 0.0) for s in left if weights.get(s, 0.0) > 0} or {s: float(blocks[s]) for s in left}
-        share = whole_shares(active, period_of(len(active)))
-        period, slots = sum(share.values()), edf_period(share)
-        length = min((left[s] - 1) // share[s] * period + slots[s][(left[s] - 1) % share[s]] + 1 for s in active)
+        share = exact_shares(active)
+        period, slots = sum(share.values()), edf_period(share, left)
+        ran = sum(map(len, slots.values()))
+        if ran < period:
+            length = ran
+        else:
+            length = min((left[s] - 1) // share[s] * period + slots[s][(left[s] - 1) % share[s]] + 1 for s in active)
         for s in active:
             n = length // period * share[s] + sum(x < length % period for x in slots[s])
             phases.append({"source": s, "first": done[s], "n": n, "base": base, "k": share[s], "period": period, "slots": slots[s]})
@@ -101,8 +124,8 @@ def mix_sources(
     """All rows of ``docs`` with ``mix_block`` (in its source), ``mix_slot`` and ``mix_position`` (0 to n-1).
 
     ``weights`` maps sources to target weights; without it a source of n rows weighs n ** alpha. Sources given no
-    weight, or one of zero, follow after all weighted ones. Shares are whole slots in a period (``period_of``),
-    which is what the less-than-one-block bound is held against, in every phase. Rows of a source run in the order
+    weight, or one of zero, follow after all weighted ones. The less-than-one-block bound is held against the target
+    weights themselves, in every phase. Rows of a source run in the order
     of xxhash64(id), then id; rows with equal ids are interchangeable. A null source is a source of its own, a null
     id is an ordinary row. Nothing is dropped or repeated; an empty table gives an empty result. Columns named
     like an added one are replaced. No source's rows ever meet in one task: ranks are taken in hash buckets of
@@ -130,12 +153,23 @@ def mix_sources(
     ]
     short = [x for x in short if x["lack"]]
     by_source: dict[str, list[dict]] = {}
+    plans: dict[str, list[int]] = {}
     for p in phases:
-        by_source.setdefault(p["source"], []).append({k: p[k] for k in ("first", "n", "base", "k", "period", "slots")})
-    phase_type = "array<struct<first:long,n:long,base:long,k:long,period:long,slots:array<int>>>"
-    table = spark.range(1).select(
-        F.explode(F.from_json(F.lit(json.dumps([{"s": s, "phases": p} for s, p in by_source.items()])), f"array<struct<s:string,phases:{phase_type}>>")).alias("x")
-    ).select(F.col("x.s").alias("__s"), F.col("x.phases").alias("__phases"))
+        own = plans.setdefault(p["source"], [])
+        # a period that the phase doesn't fill is never repeated: its numbers may be of any length
+        k, period = (p["k"], p["period"]) if p["k"] == len(p["slots"]) else (max(1, len(p["slots"])), 0)
+        by_source.setdefault(p["source"], []).append({"first": p["first"], "n": p["n"], "base": p["base"], "k": k, "period": period, "off": len(own)})
+        own.extend(p["slots"])
+    phase_type = "array<struct<first:long,n:long,base:long,k:long,period:long,off:long>>"
+
+    def literal_table(rows: list[dict], kind: str) -> DataFrame:
+        return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")).alias("x"))
+
+    table = literal_table([{"s": s, "phases": p} for s, p in by_source.items()], f"s:string,phases:{phase_type}").select(F.col("x.s").alias("__s"), F.col("x.phases").alias("__phases"))
+    chunks = [{"s": s, "c": at // PLAN_CHUNK, "slots": own[at : at + PLAN_CHUNK]} for s, own in plans.items() for at in range(0, len(own), PLAN_CHUNK)]
+    plan = literal_table(chunks, "s:string,c:long,slots:array<long>").select(F.col("x.s").alias("__s"), F.col("x.c").alias("__c"), F.col("x.slots").alias("__slots"))
+    if sum(map(len, plans.values())) <= BROADCAST_SLOTS:
+        plan = F.broadcast(plan)
 
     n_buckets = max(1, -(-sum(counts.values()) // bucket_rows))
     kept = docs.drop("mix_block", "mix_slot", "mix_position")
@@ -151,8 +185,9 @@ def mix_sources(
     )
     at = F.col("mix_block") - F.col("__p.first")
     turn = F.pmod(at, F.col("__p.k"))
-    slot = F.col("__p.base") + F.floor((at - turn) / F.col("__p.k")) * F.col("__p.period") + F.get(F.col("__p.slots"), turn.cast("int"))
-    slotted = planned.withColumn("mix_slot", slot.cast("long"))
+    place = F.col("__p.off") + turn
+    turned = planned.withColumns({"__at": F.col("__p.base") + F.floor((at - turn) / F.col("__p.k")) * F.col("__p.period"), "__i": F.pmod(place, F.lit(PLAN_CHUNK)).cast("int"), "__c": F.floor(place / F.lit(PLAN_CHUNK))})
+    slotted = turned.drop("__phases", "__p").join(plan, ["__s", "__c"]).withColumn("mix_slot", (F.col("__at") + F.get("__slots", F.col("__i"))).cast("long"))
     lacks = F.from_json(F.lit(json.dumps(short)), "array<struct<slot:long,lack:long>>")
     earlier = F.aggregate(F.filter(lacks, lambda x: x["slot"] < F.col("mix_slot")), F.lit(0).cast("long"), lambda a, x: a + x["lack"])
     position = F.col("mix_slot") * block_rows + F.pmod(F.col("__r"), F.lit(block_rows)) - earlier

@@ -64,3 +64,22 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, "a", "x", 1, 1), (1, "a", "x", 1, 1), (None, None, None, None, None), (2, "", "x", 2, 2)], schema)
     out = mixing.in_mixed_order(mixing.mix_sources(df, block_rows=1)).collect()
     assert sorted(r["mix_position"] for r in out) == [0, 1, 2, 3] and len({(r["source"], r["mix_block"]) for r in out}) == 4
+
+
+def test_distance_from_target_weights_on_a_long_run():
+    skewed = {"=a": 1.0, "=b": 1e-4, "=c": 2.0**0.5}
+    for blocks, weights in (
+        ({f"=s{i}": 3000 + i for i in range(20)}, {f"=s{i}": (50_000 + i) ** 0.5 for i in range(20)}),
+        ({f"=s{i}": 3000 for i in range(20)}, {f"=s{i}": 7.0 for i in range(20)}),
+        ({"=a": 20_000, "=b": 500, "=c": 30_000}, skewed),
+    ):
+        phases = mixing.plan_phases(blocks, weights)
+        for base in {p["base"] for p in phases}:
+            part = [p for p in phases if p["base"] == base]
+            total = sum(weights[p["source"]] for p in part)
+            for p in part:
+                share = weights[p["source"]] / total
+                for j in range(p["n"]):
+                    now = j // p["k"] * p["period"] + p["slots"][j % p["k"]]
+                    assert abs(j - now * share) < 1 + 1e-6 and abs(j + 1 - (now + 1) * share) < 1 + 1e-6
+        assert sum(p["n"] for p in phases) == sum(blocks.values())
