@@ -2,7 +2,7 @@
 
 Words become template tokens: numbers, units after a number and capitalised words inside a sentence turn into typed
 placeholders, all others into their lower-cased letters. Windows of template tokens are hashed and joined with the
-benchmark's, and a pair of windows counts only if the values in their slots map one to one, so that a question with
+benchmark's, and a pair of windows counts only if each value in the item's slots stands for one value, so that a question with
 new numbers or names is still found while chance agreement of placeholders is not.
 """
 
@@ -176,13 +176,10 @@ def bit_table(hashes: DataFrame) -> np.ndarray:
     return table.view(np.uint64)
 
 
-def _one_to_one(pairs: Column) -> Column:
-    """Whether slot values of the item and of the document map one to one."""
-    def sizes(part: str) -> Column:
-        return F.size(F.array_distinct(F.transform(pairs, lambda x: x[part])))
-
-    n = F.size(F.array_distinct(pairs))
-    return (n == sizes("i")) & (n == sizes("d"))
+def _torn(pairs: Column) -> Column:
+    """The item's slot values that stand for more than one value of the document."""
+    distinct = F.array_distinct(pairs)
+    return F.transform(F.filter(distinct, lambda x: F.exists(distinct, lambda y: (y["i"] == x["i"]) & (y["d"] != x["d"]))), lambda x: x["i"])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -204,13 +201,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     pairs = found.select(F.col("id").alias("doc_id"), "pos", "width", "hash", "slots").join(right, ["width", "hash"])
     both = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"] != 0)
     pairs = pairs.withColumns({"both": both, "shift": F.col("pos") - F.col("item_pos")})
-    # windows at one shift are one reading of the item: its slots must agree all along, or else only windows without any count
-    window = F.struct("item_pos", "width", (F.size("both") > 0).alias("slotted"), F.exists("both", lambda x: x["i"] != x["d"]).alias("changed"))
-    readings = pairs.where(_one_to_one(F.col("both"))).groupBy("doc_id", "item_id", "item_tokens", "shift").agg(
+    # windows at one shift are one reading of the item: a value of the item must stand for one value all along, or else
+    # the windows that hold it don't count, unless they are the item's word for word
+    window = F.struct("item_pos", "width", F.transform("both", lambda x: x["i"]).alias("own"), F.exists("both", lambda x: x["i"] != x["d"]).alias("changed"))
+    readings = pairs.groupBy("doc_id", "item_id", "item_tokens", "shift").agg(
         F.array_distinct(F.flatten(F.collect_list("both"))).alias("values"), F.collect_list(window).alias("windows")
     )
-    sound = readings.withColumn("sound", _one_to_one(F.col("values")))
-    good = sound.select("doc_id", "item_id", "item_tokens", F.explode(F.filter("windows", lambda w: F.col("sound") | ~w["slotted"])).alias("w")).select("doc_id", "item_id", "item_tokens", "w.*")
+    torn = readings.withColumn("torn", _torn(F.col("values")))
+    kept = F.filter("windows", lambda w: ~w["changed"] | ~F.arrays_overlap(w["own"], F.col("torn")))
+    good = torn.select("doc_id", "item_id", "item_tokens", F.explode(kept).alias("w")).select("doc_id", "item_id", "item_tokens", "w.item_pos", "w.width", "w.changed")
     # one row for each window of the item first, so that a document that repeats it adds nothing to the lists
     hits = good.groupBy("doc_id", "item_id", "item_pos", "width", "item_tokens").agg(F.count("*").alias("n"), F.min("changed").alias("changed"))
     spans = F.array_distinct(F.flatten(F.collect_list(F.sequence("item_pos", F.col("item_pos") + F.col("width") - 1))))

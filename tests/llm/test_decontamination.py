@@ -65,3 +65,11 @@ def test_against_plain_word_windows(spark, small):
 def test_window_hashes_tell_order():
     a = np.arange(10, dtype=np.uint64)
     assert len(set(d.window_hashes(a, 4))) == 7 and d.window_hashes(a[:2], 4).size == 0
+
+
+def test_a_conflict_drops_only_the_windows_that_hold_it(spark):
+    long = ITEM + " Then Bella buys 9 m of rope and sells 3 m of it to the old man next door for 20 dollars in cash."
+    equal = ITEM.replace("12", "3").replace(" 5 ", " 3 ")
+    altered = long.replace("3 m of it", "3 ft of it")
+    got = found(spark, [(1, equal, 1, "w"), (2, altered, 1, "w")], [(10, ITEM), (11, long)])
+    assert {(1, 10), (2, 11)} <= set(got)
