@@ -185,7 +185,7 @@ def span_digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span of personal data in the text replaced by its kind in square brackets.
 
-    Overlapping spans become the one that starts first, the longer of two that start together. The values that the
+    Overlapping spans become one, of the kind of the one that starts first, the longer of two that start together. The values that the
     method adds are replaced wherever they stand as candidates. Rows and columns stay as they are but for the text
     and for ``n_chars`` where there is one, which follows the text. A null text stays null.
     """
@@ -199,7 +199,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def step(state: Column, x: Column) -> Column:
         text = F.concat(state["out"], F.substring(F.col(text_col), state["at"] + 1, x["s"] - state["at"]), F.get(name, x["k"]))
-        return F.when(x["s"] < state["at"], state).otherwise(F.struct((-x["e"]).alias("at"), text.alias("out")))
+        longer = F.struct(F.greatest(state["at"], -x["e"]).alias("at"), state["out"].alias("out"))
+        return F.when(x["s"] < state["at"], longer).otherwise(F.struct((-x["e"]).alias("at"), text.alias("out")))
 
     rebuilt = F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.length(text_col))))
     joined = joined.withColumn("__text", F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(rebuilt))

@@ -68,3 +68,8 @@ def test_redaction_and_edges(spark):
     assert out.columns == df.columns and out.dtypes == df.dtypes
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, "[email] and é [phone].", 22)] * 2 + [(2, None, 0), (None, "x [email]", 9), (3, "plain", 5)], key=repr)
     assert pii.find_personal_data(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).count() == 0
+
+
+def test_redaction_unites_overlapping_spans(spark):
+    df = spark.createDataFrame([(1, "call +1 555 123 4567john@x.com now")], "doc_id long, text string")
+    assert [r["text"] for r in pii.redact(df).collect()] == ["call [phone] now"]
