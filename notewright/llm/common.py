@@ -37,6 +37,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` has not, in any spelling: for columns added on the way."""
+    taken = {c.lower() for c in df.columns}
+    out: list[str] = []
+    i = 0
+    while len(out) < n:
+        name, i = f"__k{i}", i + 1
+        if name not in taken:
+            out.append(name)
+    return out
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array: runs of anything but the six ASCII white-space characters; null gives none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -13,11 +13,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from notewright.llm.common import durable, text_bytes
+from notewright.llm.common import durable, fresh_names, text_bytes
 from notewright.llm.graph import connected_components
 
 SEED = 42
@@ -59,15 +58,20 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) for each row; a text without words, or null, has fingerprint zero."""
+    """(doc_id, text_hash long, fp long) for each row; a text without words, or null, has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [_signed(fold(shingle_hashes(t))) for t in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [_signed(fold(shingle_hashes(t))) for t in text_bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+        run, "doc_id long, text_hash long, fp long"
+    )
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def block_masks(blocks: int = BLOCKS, max_bits: int = MAX_BITS) -> list[int]:
@@ -97,10 +101,10 @@ def _tree(fps: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def _links(table: np.ndarray, key: np.ndarray, fps: np.ndarray, rep: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _links(table: np.ndarray, key: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified links inside runs of equal (table, key)."""
     if len(fps) < 2:
-        return rep[:0], rep[:0]
+        return fps[:0], fps[:0]
     change = np.flatnonzero((table[1:] != table[:-1]) | (key[1:] != key[:-1])) + 1
     starts = np.concatenate(([0], change))
     sizes = np.diff(np.concatenate((starts, [len(fps)])))
@@ -112,81 +116,109 @@ def _links(table: np.ndarray, key: np.ndarray, fps: np.ndarray, rep: np.ndarray,
     for shift in range(1, most):
         near = (run[shift:] == run[:-shift]) & short[shift:] & (np.bitwise_count(fps[shift:] ^ fps[:-shift]) <= max_bits)
         hit = np.flatnonzero(near)
-        lefts.append(rep[hit])
-        rights.append(rep[hit + shift])
+        lefts.append(fps[hit])
+        rights.append(fps[hit + shift])
     for r in np.flatnonzero(long_run):
-        part = slice(int(starts[r]), int(starts[r] + sizes[r]))
-        a, b = _tree(fps[part], max_bits)
-        lefts.append(rep[part][a])
-        rights.append(rep[part][b])
-    return np.concatenate(lefts or [rep[:0]]), np.concatenate(rights or [rep[:0]])
+        part = fps[int(starts[r]) : int(starts[r] + sizes[r])]
+        a, b = _tree(part, max_bits)
+        lefts.append(part[a])
+        rights.append(part[b])
+    return np.concatenate(lefts or [fps[:0]]), np.concatenate(rights or [fps[:0]])
 
 
 def links(groups: DataFrame, blocks: int = BLOCKS, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b): links between the representatives of distinct fingerprints, enough of them to span every component."""
+    """(a, b): links between distinct fingerprints, enough of them to span every component."""
     masks = block_masks(blocks, max_bits)
-    keyed = groups.select(
-        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("block", "key"), "fp", "rep"
-    ).select("block", "key", "fp", "rep")
+    keyed = groups.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("block", "key"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 4
+        # the last run of a batch may go on in the next one: its parts are put together once, when it ends
+        held: list[list[np.ndarray]] = []
 
-        def out(parts: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = _links(parts[0], parts[1], parts[2].view(np.uint64), parts[3], max_bits)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        def out(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+            table, key, fp = (np.concatenate(x) for x in zip(*parts))
+            a, b = _links(table, key, fp.view(np.uint64), max_bits)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(4)]
-            held = [np.concatenate((h, n)) for h, n in zip(held, new)]
-            same = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            new = [batch.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(3)]
+            other = np.flatnonzero((new[0] != new[0][-1]) | (new[1] != new[1][-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if not cut and held and (held[-1][0][-1] != new[0][0] or held[-1][1][-1] != new[1][0]):
+                yield out(held)
+                held = []
             if cut:
-                yield out([h[:cut] for h in held])
-                held = [h[cut:] for h in held]
-        yield out(held)
+                yield out([*held, [x[:cut] for x in new]])
+                held = []
+            held.append([x[cut:] for x in new])
+        if held:
+            yield out(held)
 
     dealt = keyed.repartition("block", "key").sortWithinPartitions("block", "key")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def components(marked: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """(fp, n_same, component, component_id) for each fingerprint of a row with an id, from ``fingerprints``' rows.
+
+    ``component`` is the component's least fingerprint, ``component_id`` its least id. Fingerprints are the nodes, not
+    ids: an id that stands on several texts doesn't tie them together.
+    """
+    groups = durable(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same")))
+    found = connected_components(links(groups, blocks, max_bits))
+    named = groups.join(found, groups["fp"] == found["node"], "left").select("fp", "rep", "n_same", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return named.join(least, "component").select("fp", "n_same", "component", "component_id")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable), n_same.
 
     Words are runs of non-white-space, shingles are three words. Texts that are null or have no word share
-    fingerprint zero and are linked like any other. Repeated rows each get their row. A row whose id is null gets
-    its fingerprint and a null component. ``n_same`` counts the rows with this very fingerprint. Copies meet in one
-    group-by before any comparison, so only distinct fingerprints are compared. Other columns are not touched.
+    fingerprint zero and are linked like any other. Repeated rows each get their row; rows that share an id but not a
+    text are each judged by their own text. A row whose id is null gets its fingerprint and a null component.
+    ``n_same`` counts the rows with this very fingerprint. Copies meet in one group-by before any comparison, so only
+    distinct fingerprints are compared. Other columns, whatever their names, are not touched; an empty table gives an
+    empty result.
     """
     marked = durable(fingerprints(docs, id_col, text_col))
-    groups = marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same"))
-    groups = durable(groups)
-    found = connected_components(links(groups, blocks, max_bits))
-    named = groups.join(found, groups["rep"] == found["node"], "left").select(
-        "fp", "n_same", F.coalesce("component", "rep").alias("component_id")
-    )
-    joined = marked.join(named, "fp", "left")
+    joined = marked.join(components(marked, max_bits, blocks), "fp", "left")
     return joined.select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
-        F.coalesce("n_same", F.lit(0)).cast("long").alias("n_same"),
+        F.when(F.col("doc_id").isNotNull(), F.col("n_same")).otherwise(F.lit(0)).cast("long").alias("n_same"),
     )
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one of least id; rows with a null id are all kept.
+    """``docs`` with exactly one row of each component: the one of least id, of several texts with that id the one of
+    least hash. Rows with a null id are in no component and all kept.
 
-    Of repeated rows with that least id one is kept: the least by the hash of its text. Only ids travel: the rows to
-    drop are found by id and taken away, so that a text is moved at most once.
+    Rows are told apart by id and text, so an id that stands on several texts loses only those that are copies.
+    Of rows equal in both, one stays, whichever comes first. A null text counts as empty; wordless texts are one
+    component. An empty table gives an empty result, extra columns stay, whatever their names. Only ids and hashes
+    are compared: a text is moved once at most.
     """
-    ids = simhash_groups(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    rest = docs.join(ids, docs[id_col].cast("long") == ids["__drop"], "left_anti")
-    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if not again:
+    marked = durable(fingerprints(docs, id_col, text_col)).where("doc_id is not null")
+    rows = marked.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("n"))
+    placed = durable(rows.join(components(marked).select("fp", "component"), "fp"))
+    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    decided = placed.join(first, "component").select("doc_id", "text_hash", "n", (F.struct("doc_id", "text_hash") == F.col("first")).alias("stays"))
+    decided = durable(decided.where("not stays or n > 1"))
+
+    def rows_of(part: DataFrame, how: str) -> DataFrame:
+        keys = part.select(F.col("doc_id").alias(key_names[0]), F.col("text_hash").alias(key_names[1]))
+        same = (docs[id_col].cast("long") == F.col(key_names[0])) & (hashed == F.col(key_names[1]))
+        return docs.join(keys, same, how)
+
+    key_names = fresh_names(docs, 2)
+    hashed = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    rest = rows_of(decided, "left_anti")
+    repeated = decided.where("stays")
+    if repeated.isEmpty():
         return rest
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    ranked = rest.withColumn("__n", F.row_number().over(order))
-    return ranked.where((F.col("__n") == 1) | F.col(id_col).isNull()).drop("__n")
+    again = rows_of(repeated, "inner").dropDuplicates(key_names).drop(*key_names)
+    return rest.unionByName(again)

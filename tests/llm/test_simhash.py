@@ -55,7 +55,7 @@ def test_long_runs_give_a_spanning_tree():
     base = np.uint64(rng.integers(0, 1 << 63))
     fps = np.unique(np.array([base ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for a, b in rng.integers(0, 64, (300, 2))], np.uint64))
     same = np.zeros(len(fps), np.int64)
-    a, b = simhash._links(same, same, fps, np.arange(len(fps)), 3)
+    a, b = (np.searchsorted(fps, x) for x in simhash._links(same, same, fps, 3))
     near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 3
     label = np.arange(len(fps))
     for _ in range(len(fps)):
@@ -78,6 +78,40 @@ def test_edge_tables(spark):
     assert kept.columns == df.columns and sorted((r["doc_id"] for r in kept.collect()), key=repr) == [5, None]
 
 
+def test_an_id_on_several_texts_keeps_each(spark):
+    """One row of each component stays, whatever ids the rows share."""
+    rng = random.Random(5)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, a, "p"), (5, a, "q"), (5, b, "r"), (7, b, "s"), (7, b, "s"), (7, c, "t"), (7, c, "t"), (7, c, "u"), (None, a, "v"), (None, None, "w"), (9, None, "x"), (9, "", "y"), (3, " ", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __k0 string")
+    kept = simhash.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (5, b), (7, c), (None, a), (None, None), (3, " ")], key=repr)
+    ids = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.simhash_groups(df).collect()}
+    assert sorted(v for k, v in ids.items() if k[0] == 5) == [1, 5]
+    assert simhash.keep_one_of_each(df.limit(0)).count() == 0
+
+
+def test_runs_across_batches(spark):
+    """A run of equal keys that goes on through many small batches is compared as one."""
+    rows = [(i, 1 << (i % 60)) for i in range(60)] + [(100 + i, (1 << 40) * (i + 1) ^ (i << 3)) for i in range(400)]
+    groups = spark.createDataFrame(rows, "rep long, fp long").dropDuplicates(["fp"])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["node"]: r["component"] for r in graph.connected_components(simhash.links(groups)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    fps = sorted({f for _, f in rows})
+    label = {f: f for f in fps}
+    for _ in fps:
+        now = {f: min(label[g] for g in fps if (f ^ g).bit_count() <= 3) for f in fps}
+        if now == label:
+            break
+        label = now
+    assert got == {f: m for f, m in label.items() if sum(v == m for v in label.values()) > 1}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
