@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 
 #: Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template textarea title noscript iframe xmp noembed noframes svg math select button object audio video canvas head".split())
+#: No text of the page: code, drawings, form controls, and what a browser that runs scripts doesn't show.
+RAW = frozenset("script style template textarea title noscript iframe noembed noframes svg select button head annotation annotation-xml".split())
+RAW_BLOCKS = frozenset("head title noframes".split())
+#: Formulas are text of the sentence that they stand in; so are the words beside a media element's sources.
+MATH = "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom menclose merror msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd semantics".split()
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
+    "a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark object q rp rt ruby s samp small span strike strong sub sup time tt u var video wbr img".split()
+    + MATH
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
@@ -33,6 +39,10 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE | re.ASCII) for tag in RAW}
+_BODY = re.compile(r"<body(?=[\s/>])", re.IGNORECASE | re.ASCII)
+#: Elements above a block that are told apart, from the outermost and from the innermost: deeper nesting keeps its text.
+PATH_ENDS = 64
 
 
 @dataclass(slots=True)
@@ -63,8 +73,11 @@ def names_of(attributes: str) -> tuple[str, ...]:
 
 
 def leaf_blocks(html: str) -> list[Block]:
-    """Blocks in page order; scripts, styles, comments and other unseen elements give none."""
+    """Blocks in page order; scripts, styles, comments, form controls and other unseen elements (RAW) give none and
+    don't end a block."""
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()
+    endless: set[str] = set()
     blocks: list[Block] = []
     pieces: list[str] = []
     state = {"links": 0, "path": None}
@@ -82,24 +95,32 @@ def leaf_blocks(html: str) -> list[Block]:
         if not text:
             return
         if state["path"] is None and not text.isspace():
-            state["path"] = tuple(x for x in stack if x[0] not in INLINE)
+            above = stack if len(stack) <= 2 * PATH_ENDS else stack[:PATH_ENDS] + stack[-PATH_ENDS:]
+            state["path"] = tuple(x for x in above if x[0] not in INLINE)
         if state["path"] is not None:
             pieces.append(text)
             if anchors:
                 state["links"] += len(text)
 
-    def pop_to(names: frozenset[str], stops: frozenset[str]) -> None:
+    def close(i: int) -> None:
         nonlocal anchors
+        for tag, _ in stack[i:]:
+            opened[tag] -= 1
+            anchors -= tag == "a"
+        del stack[i:]
+
+    def pop_to(names: frozenset[str], stops: frozenset[str]) -> None:
+        if not any(opened[x] for x in names):
+            return
         for i in range(len(stack) - 1, -1, -1):
             tag = stack[i][0]
             if tag in names:
-                anchors -= sum(x[0] == "a" for x in stack[i:])
-                del stack[i:]
+                close(i)
                 return
             if tag in stops:
                 return
 
-    at, lower = 0, None
+    at = 0
     while True:
         m = _TAG.search(html, at)
         if m is None:
@@ -115,34 +136,34 @@ def leaf_blocks(html: str) -> list[Block]:
         if tag == "br":
             add(" ")
             continue
-        inline = tag in INLINE
+        inline = tag in INLINE or (tag in RAW and tag not in RAW_BLOCKS)
         if closing:
             if not inline:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
-                    anchors -= sum(x[0] == "a" for x in stack[i:])
-                    del stack[i:]
+                    close(i)
                     break
                 if inline and stack[i][0] not in INLINE:
                     break
             continue
-        if not inline:
-            flush()
-        if tag in RAW and not attributes.endswith("/"):
-            if lower is None:
-                lower = html.lower()
-            end = lower.find(f"</{tag}", at)
-            if tag == "head" and end < 0:
-                end = lower.find("<body", at)
-                at = end if end >= 0 else at
-                continue
-            if end < 0:
-                if tag in ("script", "style", "title", "textarea"):
-                    break
+        if tag in RAW:
+            if tag in RAW_BLOCKS:
+                flush()
+            if attributes.endswith("/") or tag in endless:
                 continue
-            at = end
+            end = _ENDS[tag].search(html, at)
+            if end is None and tag == "head":
+                end = _BODY.search(html, at)
+            if end is not None:
+                at = end.start()
+            elif tag in ("script", "style", "title", "textarea"):
+                break
+            else:
+                endless.add(tag)
             continue
+        if not inline:
+            flush()
         if tag in VOID:
             continue
         if tag in CLOSES_P:
@@ -151,6 +172,7 @@ def leaf_blocks(html: str) -> list[Block]:
             pop_to(*SIBLINGS[tag])
         if tag == "a":
             anchors += 1
+        opened[tag] += 1
         stack.append((tag, names_of(attributes)))
     flush()
     return blocks

@@ -46,6 +46,33 @@ def test_page(chain):
     assert html_extraction.main_text(PAGE, chain) == want
 
 
+def texts(html):
+    return [b.text for b in html_blocks.leaf_blocks(html)]
+
+
+def test_raw_elements_end_where_they_end():
+    """Lower-casing a letter may lengthen it: places must be sought in the page itself."""
+    dots = "İ" * 30
+    assert texts(f"<p>{dots}</p><script>var a=1;</SCRIPT ><p>abcdefghijkl after the script</p>") == [dots, "abcdefghijkl after the script"]
+    two = f"<p>{dots}</p><script>var a=1;</script><script>var b=2; var evenmore=4;</script><p>rest</p>"
+    assert texts(two) == [dots, "rest"]
+    assert texts("<p>one <script>x</scripts></script>two</p><style>p</style>three") == ["one two", "three"]
+    assert texts("<p>KK</p><ſcript><p>x</p></ſcript>") == ["KK", "x"]
+
+
+def test_formulas_and_media_are_part_of_their_sentence():
+    formula = "<math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><annotation>E=mc^2</annotation></math>"
+    assert texts(f"<p>Energy is {formula} here.</p>") == ["Energy is E=mc2 here."]
+    assert texts("<p>See <svg><text>no</text></svg>this <button>Go</button><object>drawing</object> now.</p>") == ["See this drawing now."]
+    assert texts("<svg><p>kept, the drawing never ends</p>") == ["kept, the drawing never ends"]
+
+
+def test_deep_nesting_takes_linear_time():
+    deep = "".join(f"<div><b>w{i} </b>" for i in range(30_000)) + "</i></section>" * 30_000
+    assert sum(len(t.split()) for t in texts(deep)) == 30_000
+    assert texts("<svg>" * 50_000 + "<p>x</p>") == ["x"]
+
+
 @pytest.mark.parametrize("html", ["", "<", "<p", "a < b", "<!--", "<script>x", "<p title='x>y", "<![CDATA[x]]>", "</p></p>", "<a>" * 500, "\x00<p>\x00"])
 def test_malformed_markup_is_read(chain, html):
     assert isinstance(html_extraction.main_text(html, chain), str)
