@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -37,6 +39,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries built and run inside give back their shuffle files as soon as they end, by Spark's own setting."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fresh_names(df: DataFrame, n: int) -> list[str]:
     """``n`` column names that ``df`` has not, in any spelling: for columns added on the way."""
     taken = {c.lower() for c in df.columns}

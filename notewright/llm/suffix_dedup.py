@@ -2,36 +2,42 @@
 
 Every 50-byte string has an anchor, the least hash among its 24-byte pieces, and equal strings have equal ones. So
 the corpus falls apart, without loss, into the surroundings of the anchors that occur in two documents or more: two
-equal strings always lie around equal anchors. Surroundings are grouped by anchor, equal ones are taken together,
-and the rest of a group is searched by merging Burrows-Wheeler transforms of its shards.
+equal strings always lie around equal anchors. Surroundings are grouped by anchor, equal ones are one string with a
+list of documents, and a group's strings are searched by merging Burrows-Wheeler transforms of its shards. The strings
+of an anchor with too many different surroundings for one task are told apart one by one instead.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm.bwt import build_shard, repeated_intervals
-from notewright.llm.common import text_bytes
+from notewright.llm.common import freeing_shuffles, text_bytes
 
 LENGTH, PIECE = 50, 24
 SPAN = LENGTH - PIECE
 #: Of the bytes beside an anchor a shared string holds at least half on one side.
 SIDE = SPAN // 2
+#: Bytes that are hashed at once; a longer text is read in parts of this size that share LENGTH - 1 bytes.
 CHUNK_BYTES = 1 << 18
-#: Low bits that hold a position while the least hash of a window is sought; a text may have 2 ** 28 bytes.
-PLACE_BITS = 28
+#: Low bits that hold a position in a chunk while the least hash of a window is sought.
+PLACE_BITS = 20
 #: Bits of the filters of anchors. They let through some others, which cost time and change nothing.
 FILTER_BITS = 27
 SHARD_BYTES, BUFFER_ROWS, SEEN_PIECES = 1 << 19, 60_000, 150_000
+#: An anchor with more different pieces than this, counted once a batch, is not gathered: each 50-byte string of its
+#: pieces is dealt by itself.
+HOT_ROWS = 60_000
+#: Marks a row that is one string of such an anchor.
+LEAF = -1
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _SIDES = np.random.default_rng(17).integers(0, 1 << 63, (2, SIDE)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -90,19 +96,27 @@ def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at[first], h[at[first]], starts[first], starts[last]
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    part: list[bytes] = []
-    size, first = 0, 0
+def _chunks(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """(parts, text of each, where it begins there): whole texts together, long ones cut so that each string of LENGTH
+    bytes starts in one part and ends there."""
+    parts: list[bytes] = []
+    owner: list[int] = []
+    begin: list[int] = []
+    size = 0
     for i, t in enumerate(texts):
-        if len(t) >= 1 << PLACE_BITS:
-            raise ValueError("a text is too long for one task")
-        if part and size + len(t) > CHUNK_BYTES:
-            yield first, part
-            part, size, first = [], 0, i
-        part.append(t)
-        size += len(t)
-    if part:
-        yield first, part
+        for at in range(0, max(1, len(t) - LENGTH + 1), CHUNK_BYTES):
+            part = t[at : at + CHUNK_BYTES + LENGTH - 1] if len(t) > CHUNK_BYTES else t
+            if parts and size + len(part) > CHUNK_BYTES:
+                yield parts, np.array(owner), np.array(begin)
+                parts, owner, begin, size = [], [], [], 0
+            parts.append(part)
+            owner.append(i)
+            begin.append(at)
+            size += len(part)
+            if len(t) <= CHUNK_BYTES:
+                break
+    if parts:
+        yield parts, np.array(owner), np.array(begin)
 
 
 def _filter_of(keys: DataFrame) -> np.ndarray:
@@ -125,20 +139,21 @@ def repeated_anchors(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in _chunks(text_bytes(batch.column(0))):
+            for part, text, _ in _chunks(text_bytes(batch.column(0))):
                 lengths = np.fromiter(map(len, part), np.int64, len(part))
                 at, h, _, _ = anchors(np.frombuffer(b"".join(part), np.uint8), lengths)
-                owner = np.searchsorted(np.cumsum(lengths), at, side="right")
+                owner = text[np.searchsorted(np.cumsum(lengths), at, side="right")]
                 order = np.lexsort((h, owner))
                 h, owner = h[order], owner[order]
                 yield pa.RecordBatch.from_arrays([pa.array(h[_edges(h, owner)].view(np.int64))], ["h"])
 
-    return _filter_of(docs.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    with freeing_shuffles(docs.sparkSession):
+        return _filter_of(docs.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
 
 
-def _pieces(texts: list[bytes], keep: np.ndarray) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By chunks of texts: (first text, pieces, text of each, start, anchor's place, anchor's hash) of kept anchors."""
-    for first, part in _chunks(texts):
+def _pieces(texts: list[bytes], keep: np.ndarray) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By chunks of texts: (pieces, text of each, start, anchor's place, anchor's hash) of kept anchors."""
+    for part, text, begin in _chunks(texts):
         lengths = np.fromiter(map(len, part), np.int64, len(part))
         joined = b"".join(part)
         at, h, low, high = anchors(np.frombuffer(joined, np.uint8), lengths)
@@ -146,74 +161,112 @@ def _pieces(texts: list[bytes], keep: np.ndarray) -> Iterator[tuple[int, list[by
         at, h, low, high = at[hit], h[hit], low[hit], high[hit] + LENGTH
         ends = np.cumsum(lengths)
         owner = np.searchsorted(ends, at, side="right")
-        yield first, [joined[a:b] for a, b in zip(low.tolist(), high.tolist())], owner, low - (ends - lengths)[owner], at - low, h
+        yield [joined[a:b] for a, b in zip(low.tolist(), high.tolist())], text[owner], low - (ends - lengths)[owner] + begin[owner], at - low, h
 
 
 def _digests(pieces: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, len(pieces)).view(np.int64)
 
 
-def differing_anchors(docs: DataFrame, keep: np.ndarray) -> np.ndarray:
-    """The filter of those repeated anchors whose pieces are not all equal: only these need their text compared."""
+def differing_anchors(docs: DataFrame, keep: np.ndarray, hot_rows: int = HOT_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """The filters of those repeated anchors whose pieces are not all equal, since only these need their text compared,
+    and of those among them with more than ``hot_rows`` pieces, equal ones counted once a batch."""
     sent = docs.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, pieces, _, _, _, h in _pieces(text_bytes(batch.column(0)), sent.value):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_digests(pieces))], ["h", "f"])
-
-    spread = docs.select("text").mapInArrow(run, "h long, f long").groupBy("h").agg(F.min("f").alias("low"), F.max("f").alias("high"))
-    return _filter_of(spread.where("low < high").select("h"))
-
-
-def free_shuffles(docs: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of work that is done: its cleaner waits for garbage collection, and the
-    last references go only a moment after the result has come."""
-    gc.collect()
-    for _ in range(3):
-        docs.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
-
-
-def surroundings(docs: DataFrame, keep: np.ndarray, differ: np.ndarray) -> DataFrame:
-    """(h, f, piece, doc_id, start, size, anchor): the strings of each repeated anchor, as one piece of text with its
-    digest; without the text where all pieces of the anchor are equal.
+            seen: set[int] = set()
+            for pieces, _, _, _, h in _pieces(text_bytes(batch.column(0)), sent.value):
+                f = _digests(pieces)
+                if len(seen) > SEEN_PIECES:
+                    seen.clear()
+                n = len(seen)
+                new = []
+                for i, key in enumerate((f ^ h.view(np.int64)).tolist()):
+                    seen.add(key)
+                    if len(seen) > n:
+                        new.append(i)
+                        n += 1
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)[new]), pa.array(f[new])], ["h", "f"])
+
+    with freeing_shuffles(docs.sparkSession):
+        spread = docs.select("text").mapInArrow(run, "h long, f long").groupBy("h").agg(F.min("f").alias("low"), F.max("f").alias("high"), F.count("*").alias("n"))
+        spread = spread.where("low < high").select("h", "n").persist(StorageLevel.DISK_ONLY)
+        differ, hot = _filter_of(spread.select("h")), _filter_of(spread.where(F.col("n") > hot_rows).select("h"))
+        spread.unpersist()
+    return differ, hot
+
+
+def _leaves(pieces: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, place, two hashes) of every string of LENGTH bytes in some pieces."""
+    owner, place, first, second = [], [], [], []
+    for i in which.tolist():
+        p = pieces[i]
+        n = len(p) - LENGTH + 1
+        owner += [i] * n
+        place += range(n)
+        for j in range(n):
+            both = xxhash.xxh128_digest(p[j : j + LENGTH])
+            first.append(both[:8])
+            second.append(both[8:])
+    return np.array(owner, np.int64), np.array(place, np.int64), np.frombuffer(b"".join(first), np.int64), np.frombuffer(b"".join(second), np.int64)
+
+
+PIECE_COLUMNS = ["h", "f", "piece", "start", "size", "anchor"]
+
+
+def surroundings(docs: DataFrame, keep: np.ndarray, differ: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """(h, f, piece, start, size, anchor, and the columns that name a row): the strings of each repeated anchor, as one
+    piece of text with its digest; without the text where all pieces of the anchor are equal.
 
     Of equal pieces in a batch only those of the smallest document go to the anchor's task: the others are covered
     for sure, and leave as plain ranges without digest, dealt out evenly. So a piece that very many documents hold
-    sends no more rows to one task than there are batches.
+    sends no more rows to one task than there are batches. The same holds for each string of a hot anchor's pieces.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((keep, differ))
+    sent = docs.sparkSession.sparkContext.broadcast((keep, differ, hot))
+    keys = [c for c in docs.columns if c != "text"]
+    at_text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep, differ = sent.value
+        keep, differ, hot = sent.value
+        some_hot = bool(hot.any())
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             order = np.argsort(ids, kind="stable")
-            ids, texts = ids[order], text_bytes(batch.column(1))
+            ids, texts = ids[order], text_bytes(batch.column(at_text))
+            named = [batch.column(c).to_numpy(zero_copy_only=False)[order] for c in keys]
             seen: dict[int, int] = {}
-            for begin, pieces, owner, start, place, h in _pieces([texts[i] for i in order.tolist()], keep):
-                doc, f = ids[begin + owner], _digests(pieces)
+
+            def first_of(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
                 if len(seen) > SEEN_PIECES:
                     seen.clear()
-                first = np.fromiter(map(seen.setdefault, (f ^ h.view(np.int64)).tolist(), doc.tolist()), np.int64, len(pieces))
-                covered = first < doc
+                return np.fromiter(map(seen.setdefault, key.tolist(), doc.tolist()), np.int64, len(doc))
+
+            def out(h: np.ndarray, f: pa.Array, piece: pa.Array, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+                columns = [pa.array(h.view(np.int64)), f, piece, pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(anchor.astype(np.int8))]
+                return pa.RecordBatch.from_arrays([*columns, *(pa.array(x[owner], pa.int64()) for x in named)], [*PIECE_COLUMNS, *keys])
+
+            for pieces, owner, start, place, h in _pieces([texts[i] for i in order.tolist()], keep):
+                doc, f = ids[owner], _digests(pieces)
+                covered = first_of(f ^ h.view(np.int64), doc) < doc
                 dealt = np.where(covered, h ^ (doc.astype(np.uint64) * _STEPS[1]), h)
                 text = _held(differ, h) & ~covered
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(dealt.view(np.int64)),
-                        pa.array(f, mask=covered),
-                        pa.array([p if t else None for t, p in zip(text.tolist(), pieces)], pa.binary()),
-                        pa.array(doc, pa.int64()),
-                        pa.array(start.astype(np.int32)),
-                        pa.array(np.fromiter(map(len, pieces), np.int32, len(pieces))),
-                        pa.array(place.astype(np.int8)),
-                    ],
-                    ["h", "f", "piece", "doc_id", "start", "size", "anchor"],
-                )
-
-    return docs.mapInArrow(run, "h long, f long, piece binary, doc_id long, start int, size int, anchor byte")
+                size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+                if some_hot:
+                    single = text & _held(hot, h)
+                    leaf, spot, one, two = _leaves(pieces, np.flatnonzero(single))
+                    if len(leaf):
+                        told = first_of(one, doc[leaf]) < doc[leaf]
+                        one = np.where(told, one ^ (doc[leaf].astype(np.uint64) * _STEPS[1]).view(np.int64), one)
+                        none, fifty = pa.nulls(len(leaf), pa.binary()), np.full(len(leaf), LENGTH)
+                        yield out(one, pa.array(two, mask=told), none, start[leaf] + spot, fifty, np.full(len(leaf), LEAF), owner[leaf])
+                        go = ~single
+                        pieces, text = [p for p, g in zip(pieces, go.tolist()) if g], text[go]
+                        owner, start, place, f, covered, dealt, size = (x[go] for x in (owner, start, place, f, covered, dealt, size))
+                yield out(dealt, pa.array(f, mask=covered), pa.array([p if t else None for t, p in zip(text.tolist(), pieces)], pa.binary()), start, size, place, owner)
+
+    kinds = "h long, f long, piece binary, start int, size int, anchor byte"
+    return docs.mapInArrow(run, ", ".join([kinds, *(f"{c} long" for c in keys)]))
 
 
 def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -272,10 +325,10 @@ def merged_matches(text: list[np.ndarray], owner: list[np.ndarray], place: list[
 
 
 def search(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, low, high) of covered bytes, from all rows of some anchors, sorted by anchor, piece and document."""
+    """(row, low, high) of covered bytes, from all rows of some anchors, sorted by anchor, piece and document."""
     h, f, doc = (rows.column(i).to_numpy() for i in range(3))
     start, anchor = rows.column(3).to_numpy().astype(np.int64), rows.column(4).to_numpy().astype(np.int64)
-    pieces = rows.column(5)
+    pieces, row = rows.column(5), np.arange(len(h))
     offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
     data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
     size = rows.column(6).to_numpy().astype(np.int64)
@@ -283,7 +336,7 @@ def search(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     group, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
     least = doc[first]
     later = doc > least[group]
-    out = [(doc[later], start[later], start[later] + size[later])]
+    out = [(row[later], start[later], start[later] + size[later])]
     chosen = candidates(h[first], data, offsets[first], size[first], anchor[first])
     if len(chosen):
         text, owner, place = [], [], []
@@ -309,39 +362,54 @@ def search(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             count = np.bincount(group[~later], minlength=len(first))
             n = count[found]
             which = _spread(first[found], n)
-            out.append((doc[which], start[which] + np.repeat(low, n), start[which] + np.repeat(high, n)))
+            out.append((row[which], start[which] + np.repeat(low, n), start[which] + np.repeat(high, n)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def united(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ranges with those of one document that touch made one."""
-    if not len(doc):
-        return doc, low, high
-    order = np.lexsort((low, doc))
-    doc, low, high = doc[order], low[order], high[order]
-    turn = _edges(doc)
-    # documents are set apart by a stride beyond any length, so that one running maximum serves them all
+def united(names: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The ranges with those of one row that touch made one."""
+    if not len(low):
+        return names, low, high
+    order = np.lexsort((low, *reversed(names)))
+    names, low, high = [x[order] for x in names], low[order], high[order]
+    turn = _edges(*names)
+    # rows are set apart by a stride beyond any length, so that one running maximum serves them all
     base = np.cumsum(turn) << 33
     reach = np.maximum.accumulate(high + base) - base
     fresh = turn.copy()
     fresh[1:] |= low[1:] > reach[:-1]
     first = np.flatnonzero(fresh)
-    return doc[first], low[first], reach[np.append(first[1:] - 1, len(doc) - 1)]
+    return [x[first] for x in names], low[first], reach[np.append(first[1:] - 1, len(low) - 1)]
 
 
 def covered_ranges(around: DataFrame) -> DataFrame:
-    """(doc_id, low, high): ranges of bytes to remove, overlapping ones included."""
+    """(the columns that name a row, low, high): ranges of bytes to remove, overlapping ones included."""
+    keys = [c for c in around.columns if c not in PIECE_COLUMNS]
+    order = ["h", "f", "doc_id", "start", "anchor", "piece", "size", *keys[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        # the string of a hot anchor met last, and its smallest document: its rows come in the order of their ids
+        string, least = (0, 0), 0
 
-        def out(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-            doc, low, high = united(doc, low, high)
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["doc_id", "low", "high"])
+        def out(rows: pa.RecordBatch, which: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+            names = [rows.column(i).to_numpy()[which] for i in (2, *range(7, 6 + len(keys)))]
+            names, low, high = united(names, low, high)
+            return pa.RecordBatch.from_arrays([*map(pa.array, names), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], [*keys, "low", "high"])
 
         def plain(rows: pa.RecordBatch) -> pa.RecordBatch:
-            doc, low, size = (rows.column(i).to_numpy().astype(np.int64) for i in (2, 3, 6))
-            return out(doc, low, low + size)
+            low, size = (rows.column(i).to_numpy().astype(np.int64) for i in (3, 6))
+            return out(rows, np.arange(len(low)), low, low + size)
+
+        def leaves(rows: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal string, least
+            h, f, doc = (rows.column(i).to_numpy() for i in range(3))
+            fresh = _edges(h, f)
+            fresh[0] = (int(h[0]), int(f[0])) != string
+            begin = np.flatnonzero(fresh)
+            first = np.concatenate(([least], doc[begin]))[np.cumsum(fresh)]
+            string, least = (int(h[-1]), int(f[-1])), int(first[-1])
+            return plain(rows.filter(pa.array(doc > first)))
 
         def whole() -> pa.RecordBatch:
             return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -351,6 +419,10 @@ def covered_ranges(around: DataFrame) -> DataFrame:
             if ready.true_count:
                 yield plain(batch.filter(ready))
                 batch = batch.filter(batch.column(1).is_valid())
+            leaf = batch.column(4).to_numpy() == LEAF
+            if leaf.any():
+                yield leaves(batch.filter(pa.array(leaf)))
+                batch = batch.filter(pa.array(~leaf))
             if batch.num_rows:
                 held.append(batch)
             if sum(b.num_rows for b in held) >= BUFFER_ROWS:
@@ -358,44 +430,54 @@ def covered_ranges(around: DataFrame) -> DataFrame:
                 h = rows.column(0).to_numpy()
                 cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
                 if cut:
-                    yield out(*search(rows.slice(0, cut)))
+                    done = rows.slice(0, cut)
+                    yield out(done, *search(done))
                     held = [rows.slice(cut)]
                 else:
-                    # one anchor fills the buffer: rows that an equal piece covers go at once, distinct pieces stay
+                    # one anchor fills the buffer: rows that an equal piece covers go at once, distinct pieces stay,
+                    # HOT_ROWS of them at most
                     f, doc, size = rows.column(1).to_numpy(), rows.column(2).to_numpy(), rows.column(6).to_numpy()
                     fresh = _edges(f, size)
                     covered = doc > doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
                     yield plain(rows.filter(pa.array(covered)))
                     held = [rows.filter(pa.array(~covered))]
         if held:
-            yield out(*search(whole()))
+            rows = whole()
+            yield out(rows, *search(rows))
 
-    dealt = around.select("h", "f", "doc_id", "start", "anchor", "piece", "size").repartition("h")
-    return dealt.sortWithinPartitions("h", "f", "size", "doc_id", "start").mapInArrow(run, "doc_id long, low int, high int")
+    dealt = around.select(*order).repartition("h").sortWithinPartitions("h", "f", "size", "doc_id", "start")
+    return dealt.mapInArrow(run, ", ".join([*(f"{c} long" for c in keys), "low int, high int"]))
 
 
-def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ranges): for each document with something to remove, its ranges, unsorted and with overlaps."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    keep = repeated_anchors(narrow)
-    free_shuffles(docs)
-    differ = differing_anchors(narrow, keep)
-    free_shuffles(docs)
-    ranges = covered_ranges(surroundings(narrow, keep, differ))
-    return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+def _named_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """(doc_id, text), with a hash of the text if an id stands on several rows, and the columns that name a row."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    several = narrow.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if several.isEmpty():
+        return narrow, ["doc_id"]
+    return narrow.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"), ["doc_id", "text_hash"]
 
 
-def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False) -> DataFrame:
+def removed_ranges(narrow: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(``keys``, ranges): for each row of ``_named_rows`` with something to remove, its ranges, unsorted and with
+    overlaps."""
+    real = narrow.where("doc_id is not null")
+    keep = repeated_anchors(real)
+    ranges = covered_ranges(surroundings(real, keep, *differing_anchors(real, keep, hot_rows)))
+    return ranges.groupBy(*keys).agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+
+
+def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, unless ``digest_only``,
     ``kept`` (binary: a range may end inside a character).
 
-    A null text is empty, a row with a null id keeps all its bytes and removes none of another row's. Rows that
-    share an id are one document's parts: none is smaller than the other, and each loses the ranges that were found
-    in any of them at those places. Whole texts are compared, and no match reaches over the end of a text.
+    A null text is empty, a row with a null id keeps all its bytes and removes none of another row's. Of rows that
+    share an id none is smaller than the other, and each is judged by its own text; rows equal in both get the same
+    result. Whole texts are compared, of any length Spark can hold, and no match reaches over the end of a text.
+    Other columns are not read; an empty table gives an empty result.
     """
-    removed = removed_ranges(docs, id_col, text_col)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined = narrow.join(removed, "doc_id", "left")
+    narrow, keys = _named_rows(docs, id_col, text_col)
+    joined = narrow.join(removed_ranges(narrow, keys, hot_rows), keys, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,10 +485,7 @@ def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for text, ranges in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 kept, spans, removed_bytes, at = [], 0, 0, 0
                 reach = -1
-                for r in sorted((r["low"], min(r["high"], len(text))) for r in ranges or ()):
-                    low, high = r
-                    if high <= low:
-                        continue
+                for low, high in sorted((r["low"], r["high"]) for r in ranges or ()):
                     if low > reach:
                         spans += 1
                         kept.append(text[at:low])

@@ -52,6 +52,55 @@ def test_kept_bytes_and_edges(spark):
     assert suffix_dedup.dedup_digest(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    r = random.Random(9)
+    s, a, b = ("".join(r.choice("abcdefgh ") for _ in range(n)) for n in (80, 200, 200))
+    rows = [(1, s), (5, s + a), (5, b), (5, b), (7, b + "x"), (9, a + "y" + s)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, suffix_dedup.dedup_digest(df).collect()))
+    assert got == brute(rows)
+    assert sorted(x[2] for x in got if x[0] == 5) == [0, 0, 80]
+
+
+def test_one_anchor_in_every_row(spark):
+    """The same 24 bytes stand in all texts among ever different ones: their strings are told apart one by one."""
+    r = random.Random(4)
+    core = "0123456789abcdefghijklmnopqrstuvwxyz"
+    sides = ["".join(r.choice("xyz") for _ in range(r.randint(8, 40))) for _ in range(60)]
+    rows = [(i, r.choice(sides) + core + r.choice(sides)) for i in range(300)] + [(i, sides[0] + core + sides[1]) for i in range(300, 330)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = brute(rows)
+    for hot_rows in (0, 5, 10**6):
+        assert sorted(map(tuple, suffix_dedup.dedup_texts(df, digest_only=True, hot_rows=hot_rows).collect())) == want
+
+
+def test_long_texts_are_cut_without_loss(spark, monkeypatch):
+    """Parts of a text longer than a chunk share the bytes of a string: its places stay those of the text."""
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefg hij") for _ in range(90))
+    fill = ["".join(r.choice("klmnopq rst") for _ in range(r.randint(180, 600))) for _ in range(6)]
+    rows = [(i, passage.join(fill[i % 6 :] + fill[: i % 6])) for i in range(8)] + [(8, "a" * 700), (9, passage), (10, "a" * 60)]
+    want = brute(rows)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 128)
+    texts = [t.encode() for _, t in rows]
+    starts = {}
+    for parts, owner, begin in suffix_dedup._chunks(texts):
+        for p, o, at in zip(parts, owner, begin):
+            assert texts[o][at : at + len(p)] == p and len(p) < 128 + 50
+            starts.setdefault(int(o), []).extend(range(at, at + max(0, len(p) - 49)))
+    assert all(starts[i] == list(range(max(0, len(t) - 49))) for i, t in enumerate(texts))
+    keep = np.full(1 << (suffix_dedup.FILTER_BITS - 6), 2**64 - 1, np.uint64)
+    for pieces, owner, start, place, _ in suffix_dedup._pieces(texts, keep):
+        for p, o, at in zip(pieces, owner, start):
+            assert texts[o][at : at + len(p)] == p and len(p) >= 50
+    monkeypatch.undo()
+    long = [(0, "".join(r.choice("ab cd") for _ in range(suffix_dedup.CHUNK_BYTES * 2 + 77)))]
+    long += [(1, "x" + long[0][1][suffix_dedup.CHUNK_BYTES - 60 : suffix_dedup.CHUNK_BYTES + 60]), (2, long[0][1][5:])]
+    for data in (rows, long):
+        df = spark.createDataFrame(data, "doc_id long, text string")
+        assert sorted(map(tuple, suffix_dedup.dedup_digest(df).collect())) == (want if data is rows else brute(data))
+
+
 def test_merged_transforms_find_repeats():
     rng = random.Random(5)
     for depth in (3, 8):
