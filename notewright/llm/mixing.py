@@ -2,10 +2,10 @@
 
 Rows of a source are dealt into blocks. With a weight of k slots in P, block j of a source may not run before slot
 floor(j*P/k) and must run before slot ceil((j+1)*P/k). k and P are whole and exact: they stand to each other as the
-target weights do. Earliest deadline first is run on the driver over P slots, which repeat for ever, or to the end of
-the phase if that comes first (one number a block at most); each block finds its slot by arithmetic and a join with
-these numbers. At every slot each source is less than one block away from its target weight's share.
-When a source runs out, a new phase begins with the remaining sources' weights scaled up to fill it.
+target weights do. Earliest deadline first orders the blocks on the driver, and each row finds its block's slot by a
+join. At every slot each source is less than one block away from its target weight's share. When a source runs out, a
+new phase begins with the remaining sources' weights scaled up to fill it. The order holds one entry a block; there
+are about PLAN_BLOCKS blocks at most, whatever the input's size, since larger tables have larger blocks.
 """
 
 from __future__ import annotations
@@ -20,32 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from notewright.llm.common import fresh_names
+
 BLOCK_ROWS = 16
 ALPHA = 0.5
-#: The list of sources is planned on the driver and broadcast; more than this many is refused, not cut.
-MAX_SOURCES = 4096
-#: Slots of the plan in a row of the table that blocks find theirs in; a table of more slots is not broadcast.
-PLAN_CHUNK, BROADCAST_SLOTS = 1024, 4_000_000
-
-
-def period_of(n_sources: int) -> int:
-    """Slots in a period: a power of two, sixteen for each source and 256 at least."""
-    return max(256, 1 << (16 * max(1, n_sources) - 1).bit_length())
-
-
-def whole_shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Slots a period for each source by largest remainder, one at least; they add up to the period."""
-    total = sum(weights.values())
-    exact = {s: period * w / total for s, w in weights.items()}
-    share = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(weights, key=lambda s: (exact[s] - int(exact[s]), s), reverse=True)
-    at = 0
-    while sum(share.values()) < period:
-        share[order[at % len(order)]] += 1
-        at += 1
-    while sum(share.values()) > period:
-        share[max(share, key=lambda s: (share[s], s))] -= 1
-    return share
+#: Blocks of the driver's plan, but for one more a source: a table of more rows than BLOCK_ROWS times this has larger
+#: blocks.
+PLAN_BLOCKS = 1 << 20
+#: Blocks in a row of the plan's table.
+PLAN_CHUNK = 1024
+#: Rows of a source that are ranked in one window.
+BUCKET_ROWS = 1000
 
 
 def exact_shares(weights: Mapping[str, float]) -> dict[str, int]:
@@ -57,54 +42,45 @@ def exact_shares(weights: Mapping[str, float]) -> dict[str, int]:
     return {s: x // common for s, x in whole.items()}
 
 
-def edf_period(share: Mapping[str, int], left: Mapping[str, int] | None = None) -> dict[str, list[int]]:
-    """Earliest deadline first over one period: the slots of each source's blocks, in order.
-
-    With ``left`` it ends with the slot in which the first source has run so many blocks, if the period doesn't."""
+def edf_phase(share: Mapping[str, int], left: Mapping[str, int]) -> list[str]:
+    """Earliest deadline first: the source that runs in each slot, up to the slot in which the first source has run
+    all the blocks that it has left."""
+    if len(share) == 1:
+        (only,) = share
+        return [only] * left[only]
     period = sum(share.values())
     waiting = [(0, -(-period // k), s, 0) for s, k in sorted(share.items())]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    slots: dict[str, list[int]] = {s: [] for s in share}
-    now = -1
-    while (now := now + 1) < period:
+    order: list[str] = []
+    while True:
+        now = len(order)
         while waiting and waiting[0][0] <= now:
             _, due, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (due, s, j))
         due, s, j = heapq.heappop(ready)
         if due < now + 1:
             raise AssertionError("a block missed its deadline")
-        slots[s].append(now)
-        if left is not None and j + 1 == left[s]:
-            break
-        if j + 1 < share[s]:
-            release, due = (j + 1) * period // share[s], -(-(j + 2) * period // share[s])
-            heapq.heappush(waiting, (max(release, now + 1), due, s, j + 1))
-    return slots
+        order.append(s)
+        if j + 1 == left[s]:
+            return order
+        release, due = (j + 1) * period // share[s], -(-(j + 2) * period // share[s])
+        heapq.heappush(waiting, (max(release, now + 1), due, s, j + 1))
 
 
-def plan_phases(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[dict]:
-    """Phases until every block has run; a phase ends with the last block of one of its sources."""
+def plan_order(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[str]:
+    """The source that runs in each slot until every block has run: one phase after another, each ending with the last
+    block of one of its sources. Sources without a weight come last, in the shares of their blocks."""
     left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    phases, base = [], 0
+    order: list[str] = []
     while left:
         active = {s: weights.get(s, 0.0) for s in left if weights.get(s, 0.0) > 0} or {s: float(blocks[s]) for s in left}
-        share = exact_shares(active)
-        period, slots = sum(share.values()), edf_period(share, left)
-        ran = sum(map(len, slots.values()))
-        if ran < period:
-            length = ran
-        else:
-            length = min((left[s] - 1) // share[s] * period + slots[s][(left[s] - 1) % share[s]] + 1 for s in active)
-        for s in active:
-            n = length // period * share[s] + sum(x < length % period for x in slots[s])
-            phases.append({"source": s, "first": done[s], "n": n, "base": base, "k": share[s], "period": period, "slots": slots[s]})
-            done[s] += n
-            left[s] -= n
+        phase = edf_phase(exact_shares(active), left)
+        for s in phase:
+            left[s] -= 1
         left = {s: n for s, n in left.items() if n}
-        base += length
-    return phases
+        order += phase
+    return order
 
 
 def source_key(source: Column) -> Column:
@@ -119,79 +95,65 @@ def mix_sources(
     source_col: str = "source",
     block_rows: int = BLOCK_ROWS,
     alpha: float = ALPHA,
-    bucket_rows: int = 5_000,
+    bucket_rows: int = BUCKET_ROWS,
+    plan_blocks: int = PLAN_BLOCKS,
 ) -> DataFrame:
     """All rows of ``docs`` with ``mix_block`` (in its source), ``mix_slot`` and ``mix_position`` (0 to n-1).
 
     ``weights`` maps sources to target weights; without it a source of n rows weighs n ** alpha. Sources given no
     weight, or one of zero, follow after all weighted ones. The less-than-one-block bound is held against the target
-    weights themselves, in every phase. Rows of a source run in the order
-    of xxhash64(id), then id; rows with equal ids are interchangeable. A null source is a source of its own, a null
-    id is an ordinary row. Nothing is dropped or repeated; an empty table gives an empty result. Columns named
-    like an added one are replaced. No source's rows ever meet in one task: ranks are taken in hash buckets of
-    about ``bucket_rows`` rows, and added up over the counts of the buckets.
+    weights themselves, in every phase. A block has ``block_rows`` rows, or the table's rows divided by
+    ``plan_blocks`` if those are more; the last block of a source may be short. Rows of a source run in the order of a
+    hash of their id, rows of one id in the order of a hash of their other columns; rows equal in all are
+    interchangeable, and only those are sure to be ranked in one task. A null source is a source of its own, a null id
+    is an ordinary row, an empty text too. Nothing is dropped or repeated; an empty table gives an empty result.
+    Columns named like one of the three are replaced, all others stay, whatever their names. Otherwise ranks are taken
+    in hash buckets of about ``bucket_rows`` rows, and added up over the counts of the buckets, so no source meets in
+    one task. The driver holds one number a source and the plan; its time grows with the square of the sources.
     """
     spark = docs.sparkSession
-    key, order = source_key(F.col(source_col)), F.xxhash64(F.col(id_col))
-    counts = {r["s"]: r["n"] for r in docs.groupBy(key.alias("s")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    kept = docs.drop("mix_block", "mix_slot", "mix_position")
+    src, one, two, bucket, buckets, rank, offset, chunk, slots, starts = fresh_names(kept, 10)
+    key = source_key(F.col(source_col))
+    counts = {r["s"]: r["n"] for r in docs.groupBy(key.alias("s")).agg(F.count("*").alias("n")).collect()}
     if weights is None:
         targets = {s: n**alpha for s, n in counts.items()}
     else:
         targets = {("-" if s is None else f"={s}"): float(w) for s, w in weights.items()}
-    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
-    phases = plan_phases(blocks, targets)
-
-    def slot_of(p: dict, j: int) -> int:
-        return p["base"] + j // p["k"] * p["period"] + p["slots"][j % p["k"]]
-
-    short = [
-        {"slot": slot_of(p, p["n"] - 1), "lack": blocks[p["source"]] * block_rows - counts[p["source"]]}
-        for p in phases
-        if p["n"] and p["first"] + p["n"] == blocks[p["source"]]
-    ]
-    short = [x for x in short if x["lack"]]
-    by_source: dict[str, list[dict]] = {}
-    plans: dict[str, list[int]] = {}
-    for p in phases:
-        own = plans.setdefault(p["source"], [])
-        # a period that the phase doesn't fill is never repeated: its numbers may be of any length
-        k, period = (p["k"], p["period"]) if p["k"] == len(p["slots"]) else (max(1, len(p["slots"])), 0)
-        by_source.setdefault(p["source"], []).append({"first": p["first"], "n": p["n"], "base": p["base"], "k": k, "period": period, "off": len(own)})
-        own.extend(p["slots"])
-    phase_type = "array<struct<first:long,n:long,base:long,k:long,period:long,off:long>>"
-
-    def literal_table(rows: list[dict], kind: str) -> DataFrame:
-        return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")).alias("x"))
-
-    table = literal_table([{"s": s, "phases": p} for s, p in by_source.items()], f"s:string,phases:{phase_type}").select(F.col("x.s").alias("__s"), F.col("x.phases").alias("__phases"))
-    chunks = [{"s": s, "c": at // PLAN_CHUNK, "slots": own[at : at + PLAN_CHUNK]} for s, own in plans.items() for at in range(0, len(own), PLAN_CHUNK)]
-    plan = literal_table(chunks, "s:string,c:long,slots:array<long>").select(F.col("x.s").alias("__s"), F.col("x.c").alias("__c"), F.col("x.slots").alias("__slots"))
-    if sum(map(len, plans.values())) <= BROADCAST_SLOTS:
-        plan = F.broadcast(plan)
-
-    n_buckets = max(1, -(-sum(counts.values()) // bucket_rows))
-    kept = docs.drop("mix_block", "mix_slot", "mix_position")
-    rows = kept.withColumns({"__s": key, "__h": order, "__b": F.pmod(order, F.lit(n_buckets)).cast("int")})
-    before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("__s", "__b").agg(F.count("*").alias("__n"))
-    offsets = sizes.select("__s", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    within = Window.partitionBy("__s", "__b").orderBy("__h", id_col)
-    ranked = rows.withColumn("__r", F.row_number().over(within) - 1).join(offsets, ["__s", "__b"]).withColumn("__r", F.col("__r") + F.col("__o"))
-    blocked = ranked.withColumn("mix_block", F.floor(F.col("__r") / F.lit(block_rows))).withColumn("mix_block", F.col("mix_block").cast("long"))
-    planned = blocked.join(F.broadcast(table), "__s").withColumn(
-        "__p", F.filter("__phases", lambda p: (F.col("mix_block") >= p["first"]) & (F.col("mix_block") < p["first"] + p["n"])).getItem(0)
+    size = max(block_rows, -(-sum(counts.values()) // plan_blocks))
+    order = plan_order({s: -(-n // size) for s, n in counts.items()}, targets)
+
+    # each source's slots, and the position of the first row of each: short last blocks shift what follows
+    own: dict[str, tuple[list[int], list[int]]] = {s: ([], []) for s in counts}
+    at = 0
+    for slot, s in enumerate(order):
+        own[s][0].append(slot)
+        own[s][1].append(at)
+        at += min(size, counts[s] - (len(own[s][0]) - 1) * size)
+
+    def literal_table(rows: list[dict], kind: str, names: list[str]) -> DataFrame:
+        table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")).alias("x"))
+        return F.broadcast(table.select(*[F.col(f"x.{k.split(':')[0]}").alias(n) for k, n in zip(kind.split(","), names, strict=True)]))
+
+    sized = literal_table([{"s": s, "b": -(-n // bucket_rows)} for s, n in counts.items()], "s:string,b:long", [src, buckets])
+    cut = [{"s": s, "c": i // PLAN_CHUNK, "at": x[i : i + PLAN_CHUNK], "first": y[i : i + PLAN_CHUNK]} for s, (x, y) in own.items() for i in range(0, len(x), PLAN_CHUNK)]
+    plan = literal_table(cut, "s:string,c:long,at:array<long>,first:array<long>", [src, chunk, slots, starts])
+
+    hashable = [c for c in kept.columns if c not in (id_col, source_col) and "map<" not in kept.schema[c].dataType.simpleString() and kept.schema[c].dataType.simpleString() != "variant"]
+    rest = F.xxhash64(*hashable) if hashable else F.lit(0).cast("long")
+    rows = kept.withColumns({src: key, one: F.xxhash64(id_col), two: rest}).join(sized, src)
+    rows = rows.withColumn(bucket, F.pmod(F.xxhash64(one, two), F.col(buckets))).drop(buckets)
+    before = Window.partitionBy(src).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(src, bucket).agg(F.count("*").alias(rank))
+    offsets = sizes.select(src, bucket, F.coalesce(F.sum(rank).over(before), F.lit(0)).alias(offset))
+    within = Window.partitionBy(src, bucket).orderBy(one, id_col, two)
+    ranked = rows.withColumn(rank, F.row_number().over(within) - 1).join(offsets, [src, bucket]).withColumn(rank, (F.col(rank) + F.col(offset)).cast("long"))
+    blocked = ranked.withColumn("mix_block", F.expr(f"{rank} div {size}")).withColumn(chunk, F.expr(f"mix_block div {PLAN_CHUNK}"))
+    place = F.pmod(F.col("mix_block"), F.lit(PLAN_CHUNK)).cast("int")
+    placed = blocked.join(plan, [src, chunk]).withColumns(
+        {"mix_slot": F.get(slots, place), "mix_position": F.get(starts, place) + F.pmod(F.col(rank), F.lit(size))}
     )
-    at = F.col("mix_block") - F.col("__p.first")
-    turn = F.pmod(at, F.col("__p.k"))
-    place = F.col("__p.off") + turn
-    turned = planned.withColumns({"__at": F.col("__p.base") + F.floor((at - turn) / F.col("__p.k")) * F.col("__p.period"), "__i": F.pmod(place, F.lit(PLAN_CHUNK)).cast("int"), "__c": F.floor(place / F.lit(PLAN_CHUNK))})
-    slotted = turned.drop("__phases", "__p").join(plan, ["__s", "__c"]).withColumn("mix_slot", (F.col("__at") + F.get("__slots", F.col("__i"))).cast("long"))
-    lacks = F.from_json(F.lit(json.dumps(short)), "array<struct<slot:long,lack:long>>")
-    earlier = F.aggregate(F.filter(lacks, lambda x: x["slot"] < F.col("mix_slot")), F.lit(0).cast("long"), lambda a, x: a + x["lack"])
-    position = F.col("mix_slot") * block_rows + F.pmod(F.col("__r"), F.lit(block_rows)) - earlier
-    return slotted.withColumn("mix_position", position.cast("long")).select(*kept.columns, "mix_block", "mix_slot", "mix_position")
+    return placed.select(*kept.columns, "mix_block", "mix_slot", "mix_position")
 
 
 def in_mixed_order(mixed: DataFrame, shard_rows: int = 4_000) -> DataFrame:
