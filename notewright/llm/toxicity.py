@@ -31,8 +31,8 @@ THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 FLUSH_WORDS = 60_000
 CACHE_WORDS = 120_000
-#: Windows drawn from one training text at most in an epoch; every window of every text is scored.
-TRAIN_WINDOWS = 24
+#: All windows of a training text are learned from; those of one with more than this weigh as much as so many.
+TEXT_WEIGHT = 24
 _EDGES = b"\"'`()[]{}<>.,;:!?*#$%&|-_"
 
 
@@ -217,19 +217,18 @@ def train(rows: list[tuple[bytes, int]], class_counts: dict[int, int], seed: int
     weight_of = {c: (class_counts[c] / total) / (have[c] / len(rows)) for c in (0, 1)}
     optimiser = rnn.Adam(model.params, RATE)
     place = np.arange(WINDOW)
+    ids, present, label, weigh = [], [], [], []
+    for i in learn:
+        starts = window_starts(len(coded[i]))
+        at = starts[:, None] + place[None]
+        ok = at < len(coded[i])
+        padded = np.concatenate((coded[i], np.zeros(WINDOW, np.int64)))
+        ids.append(np.where(ok, padded[at], 0).astype(np.int32))
+        present.append(ok)
+        label.append(np.full(len(starts), rows[i][1], np.float32))
+        weigh.append(np.full(len(starts), min(1.0, TEXT_WEIGHT / len(starts)), np.float32))
+    ids_all, present_all, label_all, weight_all = map(np.concatenate, (ids, present, label, weigh))
     for epoch in range(EPOCHS):
-        ids, present, label = [], [], []
-        for i in learn:
-            starts = window_starts(len(coded[i]))
-            if len(starts) > TRAIN_WINDOWS:
-                starts = rng.choice(starts, TRAIN_WINDOWS, replace=False)
-            at = starts[:, None] + place[None]
-            ok = at < len(coded[i])
-            padded = np.concatenate((coded[i], np.zeros(WINDOW, np.int64)))
-            ids.append(np.where(ok, padded[at], 0))
-            present.append(ok)
-            label.append(np.full(len(starts), rows[i][1], np.float32))
-        ids_all, present_all, label_all = np.concatenate(ids), np.concatenate(present), np.concatenate(label)
         order = rng.permutation(len(ids_all))
         optimiser.rate = RATE * (1.0, 0.5, 0.2, 0.1)[min(epoch, 3)]
         for start in range(0, len(order), BATCH):
@@ -239,7 +238,7 @@ def train(rows: list[tuple[bytes, int]], class_counts: dict[int, int], seed: int
             n = np.where(real, count[np.maximum(used - 1, 0)], 0)
             flat = np.repeat(begin[np.maximum(used - 1, 0)] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             bag = (grams[flat], np.repeat(np.arange(len(used)), n), n)
-            _, g = rnn.gradients(model.params, rows_of.reshape(len(part), WINDOW), bag, word_ids[used], present_all[part], label_all[part], np.ones(len(part), np.float32))
+            _, g = rnn.gradients(model.params, rows_of.reshape(len(part), WINDOW), bag, word_ids[used], present_all[part], label_all[part], weight_all[part])
             optimiser.step(model.params, g)
     rest = [i for i in range(len(rows)) if i % 4 == 0]
     scorer = Scorer(model)
@@ -271,9 +270,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(doc_id, held_out, score, predicted) for each row of ``docs``.
 
     The model is fitted on at most SAMPLE_PER_CLASS labelled rows of the folds other than the held-out one, or
-    given. Null and empty texts are scored as one window without words. Ids that are null or repeated, and texts of
-    any length, are scored like any other; a label without a document or of another value is ignored. Memory holds
-    one batch and a bounded table of words.
+    given. Null and empty texts are scored as one window without words. Ids that are null or repeated, equal rows and
+    texts or words of any length are scored like any other; a label without a document or of another value is ignored,
+    of several labels of one id the greatest counts. Other columns are not read; an empty table gives an empty result.
+    Memory holds one batch and a bounded table of words.
     """
     if model is None:
         model = train(*training_rows(docs, labels, id_col, text_col, "toxic", FOLDS, HELD_OUT, SAMPLE_PER_CLASS))
@@ -319,7 +319,9 @@ def _batch_scorer(docs: DataFrame, model: Model):
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows scored at the threshold or above, all columns kept, in one pass without a join.
 
-    Every row, also one with a null id or text, is judged by its own text.
+    Every row, also one with a null id or text or one that repeats another, is judged by its own text, of any length;
+    the other columns pass through, whatever their names. An empty table gives an empty result; without labels of both
+    classes nothing can be learned, and all rows get the share of label 1 as their score.
     """
     model = train(*training_rows(docs, labels, id_col, text_col, "toxic", FOLDS, HELD_OUT, SAMPLE_PER_CLASS))
     scorer, at = _batch_scorer(docs, model), docs.columns.index(text_col)
