@@ -124,8 +124,7 @@ def test_pairs_are_counted_over_all_training_texts(spark, small, monkeypatch):
         return seen[-1][1]
 
     monkeypatch.setattr(lm, "fit", spy)
-    monkeypatch.setattr(lm, "TRAIN_DOCS", 10)
-    lm.score_texts(docs)
+    lm.score_texts(docs, train_docs=10)
     encoder = lm.Encoder(lm.TOKENIZER, {})
     texts = [np.append(encoder.subwords(encoder.encode(w)), encoder.tokenizer.size) for w in kept]
     counts = np.bincount(np.concatenate(texts), minlength=encoder.tokenizer.size + 1)
