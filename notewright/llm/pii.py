@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import durable
+from notewright.llm.common import durable, fresh_names
 
 #: The kinds in order, and their expressions. Possessive quantifiers and the look-behind only keep the
 #: search linear: a match could not start inside a run that failed at its beginning.
@@ -25,21 +25,39 @@ EXPRESSIONS = {
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9]"}
 #: A possible identifier: a token with a digit or an at sign, and number groups that follow it after one space.
 CANDIDATE = r"(?<![^\s\"'<>,;=])[^\s\"'<>,;=]*[0-9@][^\s\"'<>,;=]*(?: \(?[0-9][0-9().-]*)*"
-ROUNDS = 3
+#: Rounds go on until nothing is taken up or given up and the beliefs stand still; so many end them in any case.
+MOST_ROUNDS = 50
+#: Copies of the smaller side in joins on values and patterns, so that a common one is dealt to so many tasks.
+SALTS = 16
 #: A pattern is trusted with so many distinct known values of a kind, if they are this share of all it surrounds.
 LEAST_KNOWN, LEAST_SHARE = 3, 0.6
 #: A value is taken up at this probability of being of a kind, by noisy-or over its trusted patterns.
 LEAST_BELIEF = 0.6
+#: A pattern is made of the nearest words, of a word that goes on beyond so many characters the nearer part.
 CONTEXT_CHARS = 60
-STEP = 128
+#: Steps of a fold whose results are put together at once; characters of a text in one piece.
+STEP, PIECE = 128, 512
 
 
-def _spans(matches: str, pieces: str) -> Column:
-    """Start, end (exclusive) and value of each match, from the matches and the pieces between them.
+def _fold(n: Column, at: Column, kind: str, step) -> Column:
+    """What ``step(state, i)`` has put into ``state.out`` (an array of ``kind``) for i from 0 to n - 1, n at least one.
 
-    The running place is carried through chunks of STEP matches, so that no list is copied once for each match.
+    The running ``state.at`` is carried through chunks of STEP steps, so that no list is copied once for each step.
     """
-    kind = "array<struct<start:int,end:int,value:string>>"
+
+    def chunk(state: Column, c: Column) -> Column:
+        start = F.struct(state["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        part = F.aggregate(F.sequence(c * STEP, F.least((c + 1) * STEP, n) - 1), start, step)
+        grown = F.transform(F.array(part), lambda p: F.struct(p["at"].alias("at"), F.concat(state["out"], F.array(p["out"])).alias("out")))
+        return F.get(grown, F.lit(0))
+
+    start = F.struct(at.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / STEP).cast("int")), start, chunk, lambda s: F.flatten(s["out"]))
+
+
+def _spans(matches: str, pieces: str) -> Column:
+    """Start, end (exclusive) and value of each match, from the matches and the pieces between them."""
+    kind = "struct<start:int,end:int,value:string>"
 
     def step(state: Column, i: Column) -> Column:
         begin = state["at"] + F.length(F.get(pieces, i))
@@ -47,15 +65,25 @@ def _spans(matches: str, pieces: str) -> Column:
         one = F.array(F.struct(begin.alias("start"), end.alias("end"), F.get(matches, i).alias("value")))
         return F.struct(end.alias("at"), F.concat(state["out"], one).alias("out"))
 
-    def chunk(state: Column, c: Column) -> Column:
-        start = F.struct(state["at"].alias("at"), F.array().cast(kind).alias("out"))
-        part = F.aggregate(F.sequence(c * STEP, F.least((c + 1) * STEP, F.size(matches)) - 1), start, step)
-        grown = F.transform(F.array(part), lambda p: F.struct(p["at"].alias("at"), F.concat(state["out"], F.array(p["out"])).alias("out")))
-        return F.get(grown, F.lit(0))
+    run = _fold(F.size(matches), F.lit(0), kind, step)
+    return F.when(F.col(matches).isNotNull() & (F.size(matches) > 0), run).otherwise(F.array().cast(f"array<{kind}>"))
+
+
+def _cut(text: Column) -> Column:
+    """The text in pieces of PIECE characters: a place in it is found without counting from the start."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), 0)
+
+
+def _between(parts: Column, a: Column, b: Column) -> Column:
+    """Characters a to b - 1 of a text cut into pieces."""
+    i, j = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+
+    def part(at: Column) -> Column:
+        return F.coalesce(F.get(parts, at), F.lit(""))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
-    run = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / STEP).cast("int")), start, chunk, lambda s: F.flatten(s["out"]))
-    return F.when(F.col(matches).isNotNull() & (F.size(matches) > 0), run).otherwise(F.array().cast(kind))
+    first = F.substring(part(i), (a - i * PIECE + 1).cast("int"), F.lit(PIECE))
+    apart = F.concat(first, F.array_join(F.slice(parts, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(part(j), F.lit(1), (b - j * PIECE).cast("int")))
+    return F.when(b <= a, F.lit("")).when(i == j, F.substring(part(i), (a - i * PIECE + 1).cast("int"), (b - a).cast("int"))).otherwise(apart)
 
 
 def _luhn(digits: Column) -> Column:
@@ -103,7 +131,16 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     s = s.withColumns(
         {"base": F.concat(*[placed(i, k) for i, k in enumerate(KINDS)]), "others": placed(-1, "other")}
     ).drop(*[f"{k}_s" for k in steps])
-    outside = F.filter("others", lambda o: ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
+    # the base spans that touch each piece of the text: a candidate is only held against those of its own pieces
+    pieces = F.sequence(F.lit(0), F.floor(F.length("t") / PIECE).cast("int"))
+    near = F.transform(pieces, lambda c: F.filter("base", lambda b: (b["start"] < (c + 1) * PIECE) & (b["end"] > c * PIECE)))
+    s = s.withColumns({"near": F.when(F.col("some"), near), "parts": F.when(F.col("some"), _cut(F.col("t")))})
+
+    def touched(o: Column) -> Column:
+        i, j = F.floor(o["start"] / PIECE).cast("int"), F.floor(o["end"] / PIECE).cast("int")
+        return F.exists(F.flatten(F.slice("near", i + 1, j - i + 1)), lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"]))
+
+    outside = F.filter("others", lambda o: ~touched(o))
     # a candidate ends at its last letter or digit
     trimmed = F.transform(
         outside,
@@ -117,8 +154,8 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def context(x: Column) -> Column:
         low = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-        left = F.lower(F.substring("t", low + 1, x["start"] - low))
-        right = F.lower(F.substring("t", x["end"] + 1, F.lit(CONTEXT_CHARS)))
+        left = F.lower(_between(F.col("parts"), low, x["start"]))
+        right = F.lower(_between(F.col("parts"), x["end"], F.least(x["end"] + CONTEXT_CHARS, F.length("t"))))
         two, one = F.regexp_extract(left, r"(\S+\s+\S+)\s*\S?$", 1), F.regexp_extract(left, r"(\S+)\s*$", 1)
         after = F.regexp_extract(right, r"^\S*\s+(\S+)", 1)
         return F.struct(
@@ -129,23 +166,36 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return s.select("doc_id", F.xxhash64("t").alias("text_hash"), F.transform("base", context).alias("base"), F.transform(trimmed, context).alias("others"))
 
 
-def score_graph(edges: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _spread_join(many: DataFrame, few: DataFrame, key: str, salt: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few`` on ``key``, a key's rows of ``many`` dealt to SALTS tasks by a hash of ``salt``."""
+    left = many.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    right = few.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return left.join(right, [key, "salt"], how).drop("salt")
+
+
+def score_graph(edges: DataFrame, known: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
     """Values taken up beyond the ``known`` ones: (value, k, belief).
 
     ``edges``: distinct (pattern, value). ``known``: (value, k). Every round sums over distinct edges with map-side
-    partial sums, so that neither a common pattern nor a common value gathers its occurrences in one task.
+    partial sums, and deals the edges of one value or pattern to several tasks, so that neither a common pattern nor a
+    common value gathers its occurrences in one. Rounds go on to the fixed point.
     """
-    spread = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    believed = known.withColumn("belief", F.lit(1.0))
+    patterns = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    seeds = known.withColumn("belief", F.lit(1.0))
+    believed, before = seeds, None
     for _ in range(rounds):
-        held = edges.join(believed, "value").groupBy("pattern", "k").agg(F.count("*").alias("f"), F.sum("belief").alias("w"))
-        trusted = held.where(F.col("f") >= LEAST_KNOWN).join(spread, "pattern").withColumn("share", F.col("w") / F.col("n")).where(F.col("share") >= LEAST_SHARE)
-        votes = edges.join(trusted.select("pattern", "k", "share"), "pattern").join(known.select("value").distinct(), "value", "left_anti")
+        held = _spread_join(edges, believed, "value", "pattern").groupBy("pattern", "k").agg(F.count("*").alias("f"), F.sum("belief").alias("w"))
+        trusted = held.where(F.col("f") >= LEAST_KNOWN).join(patterns, "pattern").withColumn("share", F.col("w") / F.col("n")).where(F.col("share") >= LEAST_SHARE)
+        votes = _spread_join(edges, trusted.select("pattern", "k", "share"), "pattern", "value")
         taken = votes.groupBy("value", "k").agg((1 - F.exp(F.sum(F.ln(1 - F.least("share", F.lit(0.999)))))).alias("belief"))
         best = taken.groupBy("value").agg(F.max(F.struct("belief", (-F.col("k")).alias("k"))).alias("b"))
         best = best.where(F.col("b.belief") >= LEAST_BELIEF).select("value", (-F.col("b.k")).alias("k"), F.col("b.belief").alias("belief"))
-        believed = durable(known.withColumn("belief", F.lit(1.0)).unionByName(best))
-    return believed.join(known.select("value").distinct(), "value", "left_anti")
+        new = durable(best.join(known.select("value").distinct(), "value", "left_anti"))
+        now = new.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("value", "k")).alias("h"), F.coalesce(F.sum("belief"), F.lit(0.0)).alias("b")).first()
+        if before is not None and (now["n"], now["h"]) == (before["n"], before["h"]) and abs(now["b"] - before["b"]) < 1e-3:
+            break
+        believed, before = seeds.unionByName(new), now
+    return new
 
 
 def _labelled(spans: Column) -> Column:
@@ -156,8 +206,10 @@ def _labelled(spans: Column) -> Column:
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text_hash, base (array of spans), found (array of spans the method adds).
 
-    A span is (k: index in KINDS, start, end, value), in code points, end exclusive. Null texts have none; repeated
-    rows each get their row; a null id is passed on; an empty table gives an empty result.
+    A span is (k: index in KINDS, start, end, value), in code points, end exclusive. Null and empty texts have none;
+    repeated rows each get their row, and count once as evidence; a null id is passed on; rows that share an id are told
+    apart by their text. Texts of any length are read whole. Other columns, whatever their names, are not read; an empty
+    table gives an empty result. A value that two kinds of patterns claim alike is of the first kind.
     """
     marked = durable(base_spans(docs, id_col, text_col))
     row = ["doc_id", "text_hash"]
@@ -165,7 +217,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = durable(flat.select(F.explode("patterns").alias("pattern"), "value").distinct())
     known = durable(flat.where("k >= 0").select("value", "k").distinct().groupBy("value").agg(F.min("k").alias("k")))
     taken = score_graph(edges, known).select("value", F.col("k").alias("kind"))
-    added = flat.where("k < 0").join(taken, "value").select(*row, F.struct(F.col("kind").alias("k"), "start", "end", "value").alias("x"))
+    added = _spread_join(flat.where("k < 0"), taken, "value", "text_hash").select(*row, F.struct(F.col("kind").alias("k"), "start", "end", "value").alias("x"))
     by_row = added.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.sort_array(F.collect_set("x")).alias("found"))
     plain = F.transform("base", lambda x: F.struct(x["k"].alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
     none = F.array().cast("array<struct<k:int,start:int,end:int,value:string>>")
@@ -186,30 +238,32 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``docs`` with every span of personal data in the text replaced by its kind in square brackets.
 
     Overlapping spans become one, of the kind of the one that starts first, the longer of two that start together. The values that the
-    method adds are replaced wherever they stand as candidates. Rows and columns stay as they are but for the text
-    and for ``n_chars`` where there is one, which follows the text. A null text stays null.
+    method adds are replaced wherever they stand as candidates. Rows and columns, whatever their names, stay as they are
+    but for the text and for ``n_chars`` where there is one, which follows the text. A null text stays null, an empty
+    one empty; equal rows are changed alike; long texts are rebuilt whole; an empty table gives an empty result.
     """
     found = find_personal_data(docs, id_col, text_col).where((F.size("base") > 0) | (F.size("found") > 0))
     spans = F.transform(F.concat("base", "found"), lambda x: F.struct(x["start"].alias("s"), (-x["end"]).alias("e"), x["k"].alias("k")))
-    some = found.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.sort_array(spans).alias("__spans")).dropDuplicates(["__d", "__h"])
-    same = docs[id_col].eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__h"))
-    joined = docs.join(some, same, "left")
+    one, two, spots, parts, shown = fresh_names(docs, 5)
+    some = found.select(F.col("doc_id").alias(one), F.col("text_hash").alias(two), F.sort_array(spans).alias(spots)).dropDuplicates([one, two])
+    same = docs[id_col].eqNullSafe(F.col(one)) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col(two))
+    joined = docs.join(some, same, "left").withColumn(parts, F.when(F.col(spots).isNotNull(), _cut(F.col(text_col))))
     name = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(state: Column, x: Column) -> Column:
-        text = F.concat(state["out"], F.substring(F.col(text_col), state["at"] + 1, x["s"] - state["at"]), F.get(name, x["k"]))
-        longer = F.struct(F.greatest(state["at"], -x["e"]).alias("at"), state["out"].alias("out"))
-        return F.when(x["s"] < state["at"], longer).otherwise(F.struct((-x["e"]).alias("at"), text.alias("out")))
+    def step(state: Column, i: Column) -> Column:
+        x = F.get(spots, i)
+        new = F.concat(_between(F.col(parts), state["at"], x["s"]), F.get(name, x["k"]))
+        return F.struct(F.greatest(state["at"], -x["e"]).alias("at"), F.concat(state["out"], F.array(F.when(x["s"] >= state["at"], new).otherwise(""))).alias("out"))
 
-    rebuilt = F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.length(text_col))))
-    joined = joined.withColumn("__text", F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(rebuilt))
+    rebuilt = F.array_join(_fold(F.size(spots), F.lit(0), "string", step), "")
+    rest = _between(F.col(parts), F.array_max(F.transform(spots, lambda x: -x["e"])), F.length(text_col))
+    joined = joined.withColumn(shown, F.when(F.col(spots).isNull(), F.col(text_col)).otherwise(F.concat(rebuilt, rest)))
     columns = []
     for c in docs.columns:
         if c == text_col:
-            columns.append(F.col("__text").alias(c))
+            columns.append(F.col(shown).alias(c))
         elif c == "n_chars":
-            columns.append(F.when(F.col("__spans").isNull(), F.col(c)).otherwise(F.length("__text")).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(F.col(spots).isNull(), F.col(c)).otherwise(F.length(shown)).cast(docs.schema[c].dataType).alias(c))
         else:
             columns.append(F.col(c))
     return joined.select(*columns)

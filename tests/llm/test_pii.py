@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from notewright.llm import pii
@@ -61,6 +62,73 @@ def test_graph_scores_against_loops(spark):
     assert {r["value"]: round(r["belief"], 6) for r in got} == {"v5": round(share, 6), "new": round(share, 6)}
 
 
+def plain_rounds(edges, known):
+    """The graph's rounds as loops over dictionaries, until nothing changes."""
+    of = {}
+    for p, v in edges:
+        of.setdefault(p, set()).add(v)
+    new = {}
+    while True:
+        trust = {}
+        for p, values in of.items():
+            for k in range(4):
+                w = [1.0 if known.get(v) == k else new[v][1] for v in values if known.get(v) == k or (v in new and new[v][0] == k)]
+                if len(w) >= pii.LEAST_KNOWN and sum(w) / len(values) >= pii.LEAST_SHARE:
+                    trust[p, k] = sum(w) / len(values)
+        belief = {}
+        for (p, k), share in trust.items():
+            for v in of[p] - set(known):
+                belief[v, k] = 1 - (1 - belief.get((v, k), 0.0)) * (1 - min(share, 0.999))
+        now = {}
+        for v in {v for v, _ in belief}:
+            k = max(range(4), key=lambda k: (belief.get((v, k), 0.0), -k))
+            if belief[v, k] >= pii.LEAST_BELIEF:
+                now[v] = (k, belief[v, k])
+        if {v: k for v, (k, _) in now.items()} == {v: k for v, (k, _) in new.items()} and abs(sum(b for _, b in now.values()) - sum(b for _, b in new.values())) < 1e-3:
+            return now
+        new = now
+
+
+def test_graph_goes_on_to_its_fixed_point(spark):
+    """A chain of patterns, each trusted only once the one before has brought in its values, and random graphs."""
+    chain = [(f"p{i}", f"v{j}") for i in range(7) for j in range(i, i + 5)]
+    graphs = [(chain, {f"v{j}": 1 for j in range(4)})]
+    for seed in range(2):
+        r = random.Random(seed)
+        edges = sorted({(f"p{r.randrange(12)}", f"v{r.randrange(40)}") for _ in range(150)})
+        graphs.append((edges, {f"v{i}": r.randrange(2) for i in range(26)}))
+    for edges, known in graphs:
+        want = plain_rounds(edges, known)
+        found = pii.score_graph(spark.createDataFrame(edges, "pattern string, value string"), spark.createDataFrame(sorted(known.items()), "value string, k int")).collect()
+        got = {r["value"]: (r["k"], r["belief"]) for r in found}
+        assert {v: k for v, (k, _) in got.items()} == {v: k for v, (k, _) in want.items()}
+        assert all(abs(got[v][1] - want[v][1]) < 1e-6 for v in want)
+    assert len(plain_rounds(*graphs[0])) > 3
+
+
+def test_long_texts_with_very_many_spans(spark):
+    r = random.Random(2)
+    words = [f"a{i}@b.c" if r.random() < 0.3 else r.choice(["é🙂", "word", "n5", "1.2.3.4", "+1 (040) 555-0631", "x" * 700]) for i in range(6000)]
+    text = " ".join(words)
+    df = spark.createDataFrame([(1, text), (2, "x" * 3000 + " a@b.c")], "doc_id long, text string")
+    row = {x["doc_id"]: x for x in pii.span_digest(pii.find_personal_data(df)).collect()}
+    want = brute(text)
+    assert row[1]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+    spans = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in row[1]["spans"].split(",")))
+    out, at = [], 0
+    for a, b, k in spans:
+        if a >= at:
+            out += [text[at:a], f"[{k}]"]
+        at = max(at, b)
+    shown = {x["doc_id"]: x["text"] for x in pii.redact(df).collect()}
+    assert shown[1] == "".join(out) + text[at:] and shown[2] == "x" * 3000 + " [email]"
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a@b.c", "p", "q"), (1, "", "r", None)], "doc_id long, text string, __k0 string, value string")
+    assert sorted(map(tuple, pii.redact(df).collect())) == [(1, "", "r", None), (1, "[email]", "p", "q")]
+
+
 def test_redaction_and_edges(spark):
     rows = [(1, "a@b.c and é +1 (040) 555-0631.", 30), (1, "a@b.c and é +1 (040) 555-0631.", 30), (2, None, 0), (None, "x a@b.c", 7), (3, "plain", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
