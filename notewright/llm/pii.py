@@ -37,6 +37,8 @@ LEAST_BELIEF = 0.6
 CONTEXT_CHARS = 60
 #: Steps of a fold whose results are put together at once; characters of a text in one piece.
 STEP, PIECE = 128, 512
+#: Characters of a text whose base spans are looked through together for one that a candidate touches.
+STRETCH = 8192
 
 
 def _fold(n: Column, at: Column, kind: str, step) -> Column:
@@ -75,7 +77,7 @@ def _cut(text: Column) -> Column:
 
 
 def _between(parts: Column, a: Column, b: Column) -> Column:
-    """Characters a to b - 1 of a text cut into pieces."""
+    """Characters a to b - 1 of a text cut into pieces, as far as it goes."""
     i, j = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
 
     def part(at: Column) -> Column:
@@ -131,16 +133,17 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     s = s.withColumns(
         {"base": F.concat(*[placed(i, k) for i, k in enumerate(KINDS)]), "others": placed(-1, "other")}
     ).drop(*[f"{k}_s" for k in steps])
-    # the base spans that touch each piece of the text: a candidate is only held against those of its own pieces
-    pieces = F.sequence(F.lit(0), F.floor(F.length("t") / PIECE).cast("int"))
-    near = F.transform(pieces, lambda c: F.filter("base", lambda b: (b["start"] < (c + 1) * PIECE) & (b["end"] > c * PIECE)))
-    s = s.withColumns({"near": F.when(F.col("some"), near), "parts": F.when(F.col("some"), _cut(F.col("t")))})
+    # the base spans that touch each stretch of the text: a candidate is only held against those of its own stretches
+    stretches = F.sequence(F.lit(0), F.floor(F.length("t") / STRETCH).cast("int"))
+    near = F.transform(stretches, lambda c: F.filter("base", lambda b: (b["start"] < (c + 1) * STRETCH) & (b["end"] > c * STRETCH)))
+    s = s.withColumn("parts", F.when(F.col("some"), _cut(F.col("t"))))
 
-    def touched(o: Column) -> Column:
-        i, j = F.floor(o["start"] / PIECE).cast("int"), F.floor(o["end"] / PIECE).cast("int")
-        return F.exists(F.flatten(F.slice("near", i + 1, j - i + 1)), lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"]))
+    def touched(o: Column, near: Column) -> Column:
+        i, j = F.floor(o["start"] / STRETCH).cast("int"), F.floor(o["end"] / STRETCH).cast("int")
+        return F.exists(F.flatten(F.slice(near, i + 1, j - i + 1)), lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"]))
 
-    outside = F.filter("others", lambda o: ~touched(o))
+    # bound as a variable, or else it would be made anew for each candidate
+    outside = F.get(F.transform(F.array(near), lambda n: F.filter("others", lambda o: ~touched(o, n))), F.lit(0))
     # a candidate ends at its last letter or digit
     trimmed = F.transform(
         outside,
@@ -155,7 +158,7 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def context(x: Column) -> Column:
         low = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
         left = F.lower(_between(F.col("parts"), low, x["start"]))
-        right = F.lower(_between(F.col("parts"), x["end"], F.least(x["end"] + CONTEXT_CHARS, F.length("t"))))
+        right = F.lower(_between(F.col("parts"), x["end"], x["end"] + CONTEXT_CHARS))
         two, one = F.regexp_extract(left, r"(\S+\s+\S+)\s*\S?$", 1), F.regexp_extract(left, r"(\S+)\s*$", 1)
         after = F.regexp_extract(right, r"^\S*\s+(\S+)", 1)
         return F.struct(
