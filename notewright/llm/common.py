@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 #: The white space that ends a word, as characters and as a Java character class.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Tasks that the rows of one key are dealt to in a join with few rows a key.
+SALTS = 16
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -63,6 +66,32 @@ def fresh_names(df: DataFrame, n: int) -> list[str]:
     return out
 
 
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a table in the shared folder, read back, for as long as the block lasts."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        forget(spark, path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], salt: str) -> DataFrame:
+    """``many`` joined with ``few`` on ``keys``, the rows of ``many`` with one key dealt to SALTS tasks by a hash of
+    ``salt``; ``few`` is copied to each."""
+    left = many.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    right = few.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return left.join(right, [*keys, "salt"]).drop("salt")
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array: runs of anything but the six ASCII white-space characters; null gives none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -17,15 +17,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import durable, text_bytes
+from notewright.llm.common import durable, fresh_names, spread_join, text_bytes
 
 WIDTH = 8
-#: Items shorter than a window are matched as a whole, down to this many tokens; yet shorter ones are never matched.
+#: Items shorter than a window are matched as a whole, down to this many tokens. Yet shorter ones, which stand in any
+#: prose, are never matched.
 LEAST_TOKENS = 4
 #: Item tokens that consistent windows must cover, or this share of the item if that is less.
 COVER_TOKENS, COVER_SHARE = 13, 0.8
+#: Windows with a smaller share of literals are hashed with the values of their slots: they match word for word only.
 LITERAL_SHARE = 0.6
-FILTER_BITS = 24
+#: The bit table has this many bits for each of the benchmark's windows, and 2 ** MOST_BITS (32 MB) at most.
+BITS_EACH, MOST_BITS = 16, 28
 FLUSH_WORDS = 200_000
 CACHE_WORDS = 250_000
 #: Units of measure, lower case.
@@ -75,14 +78,19 @@ class Lexicon(dict):
 _UNIT_SET = frozenset(UNITS)
 
 
-def template(ids: np.ndarray, first: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """(token hashes, slot values): a literal has slot value zero. ``first``: True where a text begins."""
+def template(ids: np.ndarray, first: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word that each token begins with, token hashes, slot values): a literal has slot value zero, a run of names is
+    one token. ``first``: True where a text begins."""
     lit, value, kind, ends = (a[ids] for a in lexicon.columns())
     before_number = np.concatenate(([False], kind[:-1] == NUMBER)) & ~first
     inside = np.concatenate(([False], ~ends[:-1])) & ~first
     kind = np.where((kind == UNIT) & ~before_number, LITERAL, kind)
     kind = np.where((kind == NAME) & ~inside, LITERAL, kind)
-    return np.where(kind == LITERAL, lit, _PLACE[kind]), np.where(kind == LITERAL, np.uint64(0), value | np.uint64(1))
+    begins = np.flatnonzero(np.concatenate(([True], ~((kind[1:] == NAME) & (kind[:-1] == NAME)))) | first)
+    turn = np.arange(len(ids)) - np.repeat(begins, np.diff(np.append(begins, len(ids))))
+    value = np.add.reduceat(value * (2 * turn.astype(np.uint64) + np.uint64(1)), begins) if len(ids) else value
+    kind, lit = kind[begins], lit[begins]
+    return begins, np.where(kind == LITERAL, lit, _PLACE[kind]), np.where(kind == LITERAL, np.uint64(0), value | np.uint64(1))
 
 
 def window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
@@ -99,7 +107,8 @@ def window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
 def windows(table: DataFrame, id_col: str, text_col: str, widths: list[int], whole_short: bool = False, keep: np.ndarray | None = None) -> DataFrame:
     """(id, pos, width, hash, slots, n_tokens) of template windows; ``keep``: a bit table that hashes must hit.
 
-    With ``whole_short`` a text shorter than the greatest width gives one window of its own length instead.
+    With ``whole_short`` a text shorter than the greatest width gives one window of its own length instead. Positions
+    and lengths count tokens, of which a run of names is one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,21 +121,24 @@ def windows(table: DataFrame, id_col: str, text_col: str, widths: list[int], who
             lengths = np.array([len(x) for _, x in pending])
             ids = np.concatenate([x for _, x in pending])
             owner = np.repeat(np.arange(len(pending)), lengths)
-            place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            tokens, slots = template(ids, place == 0, lexicon)
+            begins, tokens, slots = template(ids, np.concatenate(([True], owner[1:] != owner[:-1])), lexicon)
+            owner = owner[begins]
+            lengths = np.bincount(owner, minlength=len(pending))
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            valued = np.where(slots == 0, tokens, slots * _STEP)
             literal = np.concatenate(([0], np.cumsum(slots == 0)))
             names = np.array([k for k, _ in pending], np.int64)
             for width in widths:
-                n = len(ids) - width + 1
+                n = len(owner) - width + 1
                 if n <= 0:
                     continue
                 good = owner[:n] == owner[width - 1 :]
-                good &= literal[width:] - literal[: n] >= np.ceil(LITERAL_SHARE * width)
+                told = literal[width:] - literal[:n] >= np.ceil(LITERAL_SHARE * width)
                 if whole_short:
                     good &= (lengths[owner[:n]] == width) | (width == max(widths))
-                h = window_hashes(tokens, width)
+                h = np.where(told, window_hashes(tokens, width), window_hashes(valued, width))
                 if keep is not None:
-                    low = h & np.uint64((1 << FILTER_BITS) - 1)
+                    low = h & np.uint64(64 * len(keep) - 1)
                     good &= (keep[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
                 hit = np.flatnonzero(good)
                 for at in range(0, len(hit), 20_000):
@@ -165,14 +177,14 @@ def windows(table: DataFrame, id_col: str, text_col: str, widths: list[int], who
     return source.mapInArrow(run, "id long, pos int, width int, hash long, slots array<long>, n_tokens int")
 
 
-def bit_table(hashes: DataFrame) -> np.ndarray:
-    """A filter of 2 ** FILTER_BITS bits, set for every hash: its size does not depend on the benchmark's."""
-    low = F.col("hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = hashes.select(F.shiftright(low, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(hash & 63 as int))").alias("b"))
-    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).collect()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in rows:
-        table[r["w"]] = r["b"]
+def bit_table(hashes: DataFrame, n: int) -> np.ndarray:
+    """A filter with a bit set for every one of ``n`` hashes."""
+    bits = min(MOST_BITS, max(16, (BITS_EACH * n).bit_length()))
+    low = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
+    words = hashes.select(F.shiftright(low, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("b"))
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
     return table.view(np.uint64)
 
 
@@ -186,19 +198,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row for each document and benchmark item that it holds: doc_id, item_id, n_windows, covered, item_tokens,
     slots_changed (true if a number, unit or name differs from the item's: a re-parameterised question).
 
-    A pair counts if consistent windows cover COVER_TOKENS of the item's tokens, or COVER_SHARE of a shorter item.
-    Null or empty texts and rows with a null id match nothing; repeated rows of one id count as one document; an
-    empty table on either side gives an empty result. Whole texts are read once; the benchmark, of any size, is
-    joined by hash, and only windows that pass a fixed-size bit table made from it are ever shuffled.
+    A pair counts if consistent windows cover COVER_TOKENS of the item's tokens, or COVER_SHARE of a shorter item. Items
+    under LEAST_TOKENS tokens match nothing. Windows that are mostly numbers and names match word for word only; so an
+    item made of such windows is found as a copy, not with new values. Null or empty texts and rows with a null id
+    match nothing; rows that share an id, equal or not, count as one document's parts; texts of any length are read
+    whole; an empty table on either side gives an empty result; other columns, whatever their names, are not read.
+    The benchmark, of any size, is joined by hash, a window that many documents hold being dealt to several tasks, and
+    only windows that pass a bit table made from it are ever shuffled.
     """
     widths = list(range(LEAST_TOKENS, WIDTH + 1))
     items = durable(windows(benchmark, item_col, item_text_col, widths, whole_short=True))
     used = [r["width"] for r in items.select("width").distinct().collect()]
-    found = windows(docs, id_col, text_col, sorted(used) or [WIDTH], keep=bit_table(items))
+    found = windows(docs, id_col, text_col, sorted(used) or [WIDTH], keep=bit_table(items, items.count()))
     right = items.select(
         F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "width", "hash", F.col("slots").alias("item_slots"), F.col("n_tokens").alias("item_tokens")
     )
-    pairs = found.select(F.col("id").alias("doc_id"), "pos", "width", "hash", "slots").join(right, ["width", "hash"])
+    pairs = found.select(F.col("id").alias("doc_id"), "pos", "width", "hash", "slots")
+    pairs = spread_join(pairs, right, ["width", "hash"], "doc_id")
     both = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"] != 0)
     pairs = pairs.withColumns({"both": both, "shift": F.col("pos") - F.col("item_pos")})
     # windows at one shift are one reading of the item: a value of the item must stand for one value all along, or else
@@ -221,6 +237,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows with a null id are kept."""
-    leaks = find_leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, docs[id_col].cast("long") == leaks["__leak"], "left_anti")
+    """``docs`` without the documents that hold a benchmark item; rows with a null id, which no item is found in, are kept.
+
+    Null and empty texts hold nothing and stay, equal rows go or stay together, long texts are searched whole; rows
+    that share an id go if any of them holds an item. Columns, whatever their names, stay as they are; an empty table
+    on either side takes nothing away.
+    """
+    (leak,) = fresh_names(docs, 1)
+    leaks = find_leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(leaks, docs[id_col].cast("long") == leaks[leak], "left_anti")

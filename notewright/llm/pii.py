@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import durable, fresh_names
+from notewright.llm.common import durable, fresh_names, spread_join
 
 #: The kinds in order, and their expressions. Possessive quantifiers and the look-behind only keep the
 #: search linear: a match could not start inside a run that failed at its beginning.
@@ -27,8 +27,6 @@ HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[
 CANDIDATE = r"(?<![^\s\"'<>,;=])[^\s\"'<>,;=]*[0-9@][^\s\"'<>,;=]*(?: \(?[0-9][0-9().-]*)*"
 #: Rounds go on until nothing is taken up or given up and the beliefs stand still; so many end them in any case.
 MOST_ROUNDS = 50
-#: Copies of the smaller side in joins on values and patterns, so that a common one is dealt to so many tasks.
-SALTS = 16
 #: A pattern is trusted with so many distinct known values of a kind, if they are this share of all it surrounds.
 LEAST_KNOWN, LEAST_SHARE = 3, 0.6
 #: A value is taken up at this probability of being of a kind, by noisy-or over its trusted patterns.
@@ -169,13 +167,6 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return s.select("doc_id", F.xxhash64("t").alias("text_hash"), F.transform("base", context).alias("base"), F.transform(trimmed, context).alias("others"))
 
 
-def _spread_join(many: DataFrame, few: DataFrame, key: str, salt: str, how: str = "inner") -> DataFrame:
-    """``many`` joined with ``few`` on ``key``, a key's rows of ``many`` dealt to SALTS tasks by a hash of ``salt``."""
-    left = many.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
-    right = few.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return left.join(right, [key, "salt"], how).drop("salt")
-
-
 def score_graph(edges: DataFrame, known: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
     """Values taken up beyond the ``known`` ones: (value, k, belief).
 
@@ -187,9 +178,9 @@ def score_graph(edges: DataFrame, known: DataFrame, rounds: int = MOST_ROUNDS) -
     seeds = known.withColumn("belief", F.lit(1.0))
     believed, before = seeds, None
     for _ in range(rounds):
-        held = _spread_join(edges, believed, "value", "pattern").groupBy("pattern", "k").agg(F.count("*").alias("f"), F.sum("belief").alias("w"))
+        held = spread_join(edges, believed, ["value"], "pattern").groupBy("pattern", "k").agg(F.count("*").alias("f"), F.sum("belief").alias("w"))
         trusted = held.where(F.col("f") >= LEAST_KNOWN).join(patterns, "pattern").withColumn("share", F.col("w") / F.col("n")).where(F.col("share") >= LEAST_SHARE)
-        votes = _spread_join(edges, trusted.select("pattern", "k", "share"), "pattern", "value")
+        votes = spread_join(edges, trusted.select("pattern", "k", "share"), ["pattern"], "value")
         taken = votes.groupBy("value", "k").agg((1 - F.exp(F.sum(F.ln(1 - F.least("share", F.lit(0.999)))))).alias("belief"))
         best = taken.groupBy("value").agg(F.max(F.struct("belief", (-F.col("k")).alias("k"))).alias("b"))
         best = best.where(F.col("b.belief") >= LEAST_BELIEF).select("value", (-F.col("b.k")).alias("k"), F.col("b.belief").alias("belief"))
@@ -220,7 +211,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = durable(flat.select(F.explode("patterns").alias("pattern"), "value").distinct())
     known = durable(flat.where("k >= 0").select("value", "k").distinct().groupBy("value").agg(F.min("k").alias("k")))
     taken = score_graph(edges, known).select("value", F.col("k").alias("kind"))
-    added = _spread_join(flat.where("k < 0"), taken, "value", "text_hash").select(*row, F.struct(F.col("kind").alias("k"), "start", "end", "value").alias("x"))
+    added = spread_join(flat.where("k < 0"), taken, ["value"], "text_hash").select(*row, F.struct(F.col("kind").alias("k"), "start", "end", "value").alias("x"))
     by_row = added.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.sort_array(F.collect_set("x")).alias("found"))
     plain = F.transform("base", lambda x: F.struct(x["k"].alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
     none = F.array().cast("array<struct<k:int,start:int,end:int,value:string>>")
