@@ -84,7 +84,8 @@ def alpha_ratio(c: Column) -> Column:
 
 
 def text_hash(c: Column) -> Column:
-    return F.md5(c.cast("binary"))
+    """MD5 of the lightly normalised text: texts that differ in white space alone are equal."""
+    return F.md5(whitespace(c).cast("binary"))
 
 
 def clean_value(c: Column, limit: int = 500) -> Column:

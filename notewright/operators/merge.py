@@ -24,11 +24,17 @@ def merge_keys() -> dict[str, Column]:
 
 def merge_mentions(mentions: DataFrame, subject: str = "subject", seq: str = "seq") -> DataFrame:
     """One row per subject and identity. Spelling, certainty and date come from the first mention by ``seq``; the
-    quote is the first that isn't empty; pages, evidence, artifacts and origins are sorted unions. Equal keys
-    combine map-side; lists are gathered only inside one identity."""
+    quote, and the attributes (a map) if there are any, are the first that aren't empty; pages, evidence, artifacts (if
+    there are any) and origins are sorted unions. Equal keys combine map-side; lists are gathered only inside one
+    identity."""
     first = lambda name: F.min_by(name, seq).alias(name)
     union = lambda name, to: F.array_sort(F.collect_set(name)).alias(to)
     keyed = mentions.withColumns(merge_keys())
+    more = []
+    if "attributes" in mentions.columns:
+        more.append(F.min_by("attributes", F.when(F.size("attributes") > 0, F.col(seq))).alias("attributes"))
+    if "evidence_artifact_id" in mentions.columns:
+        more.append(union("evidence_artifact_id", "evidence_artifact_ids"))
     return keyed.groupBy(subject, *KEY).agg(
         *[first(x) for x in ("category", "label", "value", "normalized_value", "date_text", "certainty")],
         F.min(seq).alias(seq),
@@ -37,9 +43,27 @@ def merge_mentions(mentions: DataFrame, subject: str = "subject", seq: str = "se
         union("evidence_id", "evidence_ids"),
         union("origin", "origins"),
         F.min_by("evidence_quote", F.when(filled("evidence_quote") != "", F.col(seq))).alias("evidence_quote"),
+        *more,
     )
 
 
+def union_mentions(sources: dict[str, DataFrame | None]) -> DataFrame:
+    """The mentions of all sources (patterns, artifacts, a model) in one bag, each with its source as ``origin``; a
+    source that isn't there adds nothing, columns that one lacks are null. Nothing is merged or dropped."""
+    parts = [df.withColumn("origin", F.lit(name)) for name, df in sources.items() if df is not None]
+    if not parts:
+        raise ValueError("no source of mentions")
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def with_subject(mentions: DataFrame, notes: DataFrame, keys: list[str]) -> DataFrame:
+    """``mentions`` with the columns of their note. ``keys`` names the subject too: note ids repeat between subjects."""
+    return mentions.join(notes, keys)
+
+
 def record_stats(subjects: DataFrame, mentions: DataFrame, merged: DataFrame, subject: str = "subject") -> DataFrame:
     """Per subject, also those without mentions: raw and merged counts, categories, pages and evidence, review flag."""
     raw = mentions.groupBy(subject).agg(F.count("*").alias("n_raw"), F.countDistinct("page").alias("n_pages"), F.countDistinct("evidence_id").alias("n_evidence"))
@@ -63,6 +87,13 @@ def grouped_record(merged: DataFrame, subject: str = "subject") -> DataFrame:
     return s.groupBy(subject).agg(F.map_from_entries(entries).alias("sections"))
 
 
+def section_items(record: DataFrame, subject: str = "subject") -> DataFrame:
+    """The items of all sections of ``grouped_record``, one a row, each with its section's category; empty sections give
+    none."""
+    flat = record.select(subject, F.explode("sections").alias("category", "section"))
+    return flat.select(subject, "category", F.explode("section.items").alias("item")).select(subject, "category", "item.*")
+
+
 def validate(subjects: DataFrame, merged: DataFrame, subject: str = "subject") -> DataFrame:
     """The rule-based check of each record: missing medical categories, flags, confidence."""
     facts = merged.groupBy(subject).agg(
@@ -88,19 +119,30 @@ def validate(subjects: DataFrame, merged: DataFrame, subject: str = "subject") -
     )
 
 
-def qc_rows(merged: DataFrame, subject: str = "subject") -> DataFrame:
-    """Per subject: mentions, categories, and whether the main categories are there."""
-    has = {f"has_{x}": F.max(F.col("k_category") == x).alias(f"has_{x}") for x in ("diagnosis", "medication", "imaging", "lab")}
-    return merged.groupBy(subject).agg(F.count("*").alias("mention_count"), F.countDistinct("k_category").alias("category_count"), *has.values())
+QC_CATEGORIES = ("diagnosis", "medication", "imaging", "pathology")
+
+
+def qc_rows(stats: DataFrame, merged: DataFrame, subject: str = "subject") -> DataFrame:
+    """Per subject of ``record_stats``: mentions, categories, sizes of the trace, review flags, and whether the main
+    categories are there."""
+    has = [F.max(F.col("k_category") == x).alias(f"has_{x}") for x in QC_CATEGORIES]
+    facts = merged.groupBy(subject).agg(F.array_sort(F.collect_set("k_category")).alias("categories"), *has)
+    rows = stats.join(facts, subject, "left")
+    return rows.select(
+        subject, F.col("n_merged").alias("mention_count"), F.col("n_categories").alias("category_count"), F.col("n_pages").alias("trace_pages"),
+        F.col("n_evidence").alias("trace_evidence_ids"), (F.col("review_flag") != "").cast("int").alias("review_flags"), F.col("n_raw").alias("raw_mentions_before_merge"),
+        F.coalesce("categories", F.array().cast("array<string>")).alias("categories"), *[F.coalesce(f"has_{x}", F.lit(False)).alias(f"has_{x}") for x in QC_CATEGORIES],
+    )
 
 
 def qc_summary(rows: DataFrame) -> DataFrame:
-    """One row over all subjects."""
+    """One row over all subjects: totals, spread, flags and coverage."""
     share = lambda c: F.round(100 * F.count_if(c) / F.count("*")).cast("long")
     return rows.agg(
         F.count("*").alias("subjects"), F.sum("mention_count").alias("mentions"), F.round(F.avg("mention_count"), 1).alias("avg_mentions"),
-        F.min("mention_count").alias("least"), F.max("mention_count").alias("most"), share(F.col("has_diagnosis")).alias("diagnosis_percent"),
-        share(F.col("has_medication")).alias("medication_percent"),
+        F.min("mention_count").alias("least"), F.max("mention_count").alias("most"), F.count_if(F.col("review_flags") > 0).alias("subjects_with_flags"),
+        F.sum("review_flags").alias("total_review_flags"), *[F.count_if(f"has_{x}").alias(f"with_{x}") for x in QC_CATEGORIES],
+        *[share(F.col(f"has_{x}")).alias(f"{x}_percent") for x in QC_CATEGORIES],
     )
 
 

@@ -43,7 +43,7 @@ def _mentions_sql() -> str:
     parts: list[str] = []
 
     def put(category: str, label: str, values: str) -> None:
-        parts.append(f"select {K}, '{category}' as category, '{label}' as label, unnest({values}) as value, {len(parts)} as g from notes")
+        parts.append(f"select {K}, '{category}' as category, '{label}' as label, unnest(v) as value, generate_subscripts(v, 1) as i, {len(parts)} as g from (select {K}, {values} as v from notes)")
 
     def every(c: str, p: str) -> str:
         return f"regexp_extract_all({c}, '(?i){p}', 1)"
@@ -66,14 +66,14 @@ def _mentions_sql() -> str:
     return " union all ".join(parts)
 
 
-MENTIONS = f"""raw as ({_mentions_sql()}), bare as (select {K}, category, label, regexp_replace(value, '^\\s+|\\s+$', '', 'g') as value, g from raw),
- one as (select {K}, category, label, any_value(value order by g, value) as value, lower(value) as v from bare where value <> '' group by {K}, category, label, lower(value))"""
+MENTIONS = f"""raw as ({_mentions_sql()}), bare as (select {K}, category, label, regexp_replace(value, '^\\s+|\\s+$', '', 'g') as value, g, i from raw),
+ one as (select {K}, category, arg_min(label, (g, i)) as label, arg_min(value, (g, i)) as value from bare where value <> '' group by {K}, category, lower(label), lower(value))"""
 
 
-@query(f"with {N}, {MENTIONS} select {K}, category, lower(label) as label, v as value from one")
+@query(f"with {N}, {MENTIONS} select {K}, category, label, value, left(value, 240) as evidence_quote, coalesce({dates_sql('note')}[1], '') as date_text from one join notes using ({K})")
 def ext_mentions(spark, sf_dir):
     m = extract.note_mentions(notes(spark, sf_dir), KEYS)
-    return m.select(*KEYS, "category", F.lower("label").alias("label"), F.lower("value").alias("value"))
+    return m.select(*KEYS, "category", "label", "value", "evidence_quote", "date_text")
 
 
 @query(f"with {N} select {K}, array_to_string({distinct_in_order(dates_sql('note'))}, ';') as dates, coalesce({dates_sql('note')}[1], '') as first_date from notes")

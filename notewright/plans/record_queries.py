@@ -72,18 +72,70 @@ def val_confidence(spark, sf_dir):
     return v.select("subject", F.array_join("missing", ",").alias("missing"), F.array_join("flags", ",").alias("flags"), "confidence")
 
 
-QC = "qc as (select subject, count(*) as mention_count, count(distinct k_category) as category_count, " + ", ".join(f"bool_or(k_category = '{x}') as has_{x}" for x in ("diagnosis", "medication", "imaging", "lab")) + " from merged group by subject)"
+_MAIN = merge.QC_CATEGORIES
+QC = f"""r as (select subject, count(*) as n_raw, count(distinct page) as n_pages, count(distinct evidence_id) as n_evidence from mentions group by subject),
+ f as (select subject, count(*) as n, array_to_string(list_sort(list_distinct(list(k_category))), ',') as cats from merged group by subject),
+ qc as (select s_suppkey as subject, coalesce(n, 0) as mention_count, coalesce(len(string_split(cats, ',')), 0) as category_count, coalesce(n_pages, 0) as trace_pages, coalesce(n_evidence, 0) as trace_evidence_ids,
+ case when n is null then 1 else 0 end as review_flags, coalesce(n_raw, 0) as raw_mentions_before_merge, coalesce(cats, '') as categories,
+ {", ".join(f"list_contains(string_split(coalesce(cats, ''), ','), '{x}') as has_{x}" for x in _MAIN)} from supplier left join r on r.subject = s_suppkey left join f on f.subject = s_suppkey)"""
+
+
+def _qc(spark, sf_dir):
+    m, merged = mentions(spark, sf_dir), _merged(spark, sf_dir)
+    return merge.qc_rows(merge.record_stats(_subjects(spark, sf_dir), m, merged), merged)
 
 
 @query(f"with {KEYED}, {QC} select * from qc")
 def qc_rows(spark, sf_dir):
-    return merge.qc_rows(_merged(spark, sf_dir))
+    return _qc(spark, sf_dir).withColumn("categories", F.array_join("categories", ","))
 
 
 @query(f"""with {KEYED}, {QC} select count(*) as subjects, sum(mention_count)::bigint as mentions, round(avg(mention_count), 1) as avg_mentions, min(mention_count) as least, max(mention_count) as most,
- round(100 * count(*) filter (has_diagnosis) / count(*))::bigint as diagnosis_percent, round(100 * count(*) filter (has_medication) / count(*))::bigint as medication_percent from qc""")
+ count(*) filter (review_flags > 0) as subjects_with_flags, sum(review_flags)::bigint as total_review_flags, {", ".join(f"count(*) filter (has_{x}) as with_{x}" for x in _MAIN)},
+ {", ".join(f"round(100 * count(*) filter (has_{x}) / count(*))::bigint as {x}_percent" for x in _MAIN)} from qc""")
 def qc_summary(spark, sf_dir):
-    return merge.qc_summary(merge.qc_rows(_merged(spark, sf_dir)))
+    return merge.qc_summary(_qc(spark, sf_dir))
+
+
+@query(f"""with {KEYED} select subject, k_category, k_label, k_norm, k_date, arg_min('of ' || evidence_quote, seq) filter (evidence_quote <> '') as quote_of,
+ coalesce(array_to_string(list_sort(list_distinct(list('a_' || evidence_id) filter (date_text <> ''))), ','), '') as artifacts from keyed group by all""")
+def mrg_attributes_and_artifacts(spark, sf_dir):
+    m = mentions(spark, sf_dir).withColumns(
+        {
+            "attributes": F.when(F.col("evidence_quote") == "", F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("quote_of"), F.concat(F.lit("of "), "evidence_quote"))),
+            "evidence_artifact_id": F.when(F.col("date_text") != "", F.concat(F.lit("a_"), "evidence_id")),
+        }
+    )
+    merged = merge.merge_mentions(m)
+    return merged.select("subject", *merge.KEY, F.col("attributes")["quote_of"].alias("quote_of"), F.array_join("evidence_artifact_ids", ",").alias("artifacts"))
+
+
+@query(f"""with {M}, bag as (select subject, category, value, 'regex' as origin from mentions where origin = 'regex' union all select subject, category, upper(value), 'llm' from mentions where origin = 'llm'
+ union all select s_suppkey, 'form', s_name, 'artifact' from supplier) select subject, origin, count(*) as n, count(distinct value) as n_values from bag group by subject, origin""")
+def mrg_union_sources(spark, sf_dir):
+    m = mentions(spark, sf_dir).select("subject", "category", "value", "origin")
+    sources = {
+        "regex": m.where("origin = 'regex'").drop("origin"),
+        "artifact": table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("subject"), F.lit("form").alias("category"), F.col("s_name").alias("value")),
+        "llm": m.where("origin = 'llm'").withColumn("value", F.upper("value")).drop("origin"),
+        "vision": None,
+    }
+    return merge.union_mentions(sources).groupBy("subject", "origin").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"))
+
+
+@query("""select l_suppkey as subject, l_linenumber as note_id, count(*) as n, count(distinct c_name) as owners from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey group by all""")
+def jon_note_owner(spark, sf_dir):
+    """Notes are named by order and line: the line alone repeats in every order."""
+    notes = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("doc"), "c_name")
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_suppkey").alias("subject"), F.col("l_linenumber").alias("note_id"))
+    return merge.with_subject(m, notes, ["doc"]).groupBy("subject", "note_id").agg(F.count("*").alias("n"), F.countDistinct("c_name").alias("owners"))
+
+
+@query(f"""with {KEYED} select subject, k_category as category, label, coalesce(nullif(normalized_value, ''), value) as shown, count(*) as n from merged where k_category <> 'plan' group by all""")
+def jsn_section_items(spark, sf_dir):
+    record = merge.grouped_record(_merged(spark, sf_dir).where("k_category <> 'plan'"))
+    items = merge.section_items(record)
+    return items.groupBy("subject", "category", "label", F.coalesce(F.nullif("normalized_value", F.lit("")), "value").alias("shown")).agg(F.count("*").alias("n"))
 
 
 EDGES = f"""e0 as (select subject, k_category, {IDENTITY} as key, list_sort(list_distinct(flatten(list(pages)))) as pages from merged group by all),

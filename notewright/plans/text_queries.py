@@ -112,7 +112,7 @@ def txt_alpha_ratio(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.alpha_ratio(F.col("text")).alias("alpha"))
 
 
-@query("select md5(text) as text_hash, min(doc_id) as doc_id, count(*) as n from documents group by md5(text)")
+@query(f"select md5({LIGHT}) as text_hash, min(doc_id) as doc_id, count(*) as n from documents group by all")
 def txt_hash_dedup(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", text.text_hash(F.col("text")).alias("text_hash"))
     return d.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
@@ -225,11 +225,11 @@ def txt_vocabulary(spark, sf_dir):
     return d.groupBy("token").agg(F.count("*").alias("documents")).where("documents >= 20")
 
 
-@query("""select conv_id, turn, row_number() over (partition by conv_id, md5(text) order by turn) = 1 as first_of_text from conversations""")
+@query(f"""with h as (select conv_id, turn, md5({LIGHT}) as h from conversations), m as (select conv_id, min(turn) as turn, h from h group by conv_id, h)
+ select conv_id, turn, h as text_hash from m""")
 def seg_exact_dedup(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.text_hash(F.col("text")).alias("h"))
-    w = Window.partitionBy("conv_id", "h").orderBy("turn")
-    return c.select("conv_id", "turn", (F.row_number().over(w) == 1).alias("first_of_text"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return segment.first_of_equal(c, ["conv_id"], ["turn"], "text").select("conv_id", "turn", "text_hash")
 
 
 @query(r"select page_id, case when regexp_extract(lower(url), '\.([^./]+)$', 1) = 'json' then 'import' when regexp_extract(lower(url), '\.([^./]+)$', 1) in ('pdf', 'txt', 'text') then 'document' else 'error' end as route from pages")
