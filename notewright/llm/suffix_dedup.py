@@ -15,12 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm.bwt import build_shard, repeated_intervals
-from notewright.llm.common import freeing_shuffles, text_bytes
+from notewright.llm.common import freeing_shuffles, text_bytes, written
 
 LENGTH, PIECE = 50, 24
 SPAN = LENGTH - PIECE
@@ -123,8 +122,10 @@ def _filter_of(keys: DataFrame) -> np.ndarray:
     """A filter of FILTER_BITS bits with those of the column h, of any number of rows."""
     low = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     words = keys.select(F.shiftright(low, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b"))
-    packed = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    # written first: the shuffles behind it are freed with the write, before the driver reads the words
+    with written(words.groupBy("w").agg(F.bit_or("b").alias("b"))) as ready:
+        packed = ready.toArrow()
     table[packed.column("w").to_numpy()] = packed.column("b").to_numpy()
     return table.view(np.uint64)
 
@@ -191,10 +192,8 @@ def differing_anchors(docs: DataFrame, keep: np.ndarray, hot_rows: int = HOT_ROW
 
     with freeing_shuffles(docs.sparkSession):
         spread = docs.select("text").mapInArrow(run, "h long, f long").groupBy("h").agg(F.min("f").alias("low"), F.max("f").alias("high"), F.count("*").alias("n"))
-        spread = spread.where("low < high").select("h", "n").persist(StorageLevel.DISK_ONLY)
-        differ, hot = _filter_of(spread.select("h")), _filter_of(spread.where(F.col("n") > hot_rows).select("h"))
-        spread.unpersist()
-    return differ, hot
+        with written(spread.where("low < high").select("h", "n")) as several:
+            return _filter_of(several.select("h")), _filter_of(several.where(F.col("n") > hot_rows).select("h"))
 
 
 def _leaves(pieces: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
