@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import durable, fresh_names, spread_join
+from notewright.llm.common import durable, fresh_names
 
 #: The kinds in order, and their expressions. Possessive quantifiers and the look-behind only keep the
 #: search linear: a match could not start inside a run that failed at its beginning.
@@ -171,16 +171,16 @@ def score_graph(edges: DataFrame, known: DataFrame, rounds: int = MOST_ROUNDS) -
     """Values taken up beyond the ``known`` ones: (value, k, belief).
 
     ``edges``: distinct (pattern, value). ``known``: (value, k). Every round sums over distinct edges with map-side
-    partial sums, and deals the edges of one value or pattern to several tasks, so that neither a common pattern nor a
-    common value gathers its occurrences in one. Rounds go on to the fixed point.
+    partial sums; the edges of a common value or pattern stream through joins with one row of the other side, which
+    adaptive execution splits where they are skewed. Rounds go on to the fixed point.
     """
     patterns = edges.groupBy("pattern").agg(F.count("*").alias("n"))
     seeds = known.withColumn("belief", F.lit(1.0))
     believed, before = seeds, None
     for _ in range(rounds):
-        held = spread_join(edges, believed, ["value"], "pattern").groupBy("pattern", "k").agg(F.count("*").alias("f"), F.sum("belief").alias("w"))
+        held = edges.join(believed, "value").groupBy("pattern", "k").agg(F.count("*").alias("f"), F.sum("belief").alias("w"))
         trusted = held.where(F.col("f") >= LEAST_KNOWN).join(patterns, "pattern").withColumn("share", F.col("w") / F.col("n")).where(F.col("share") >= LEAST_SHARE)
-        votes = spread_join(edges, trusted.select("pattern", "k", "share"), ["pattern"], "value")
+        votes = edges.join(trusted.select("pattern", "k", "share"), "pattern")
         taken = votes.groupBy("value", "k").agg((1 - F.exp(F.sum(F.ln(1 - F.least("share", F.lit(0.999)))))).alias("belief"))
         best = taken.groupBy("value").agg(F.max(F.struct("belief", (-F.col("k")).alias("k"))).alias("b"))
         best = best.where(F.col("b.belief") >= LEAST_BELIEF).select("value", (-F.col("b.k")).alias("k"), F.col("b.belief").alias("belief"))
@@ -211,7 +211,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = durable(flat.select(F.explode("patterns").alias("pattern"), "value").distinct())
     known = durable(flat.where("k >= 0").select("value", "k").distinct().groupBy("value").agg(F.min("k").alias("k")))
     taken = score_graph(edges, known).select("value", F.col("k").alias("kind"))
-    added = spread_join(flat.where("k < 0"), taken, ["value"], "text_hash").select(*row, F.struct(F.col("kind").alias("k"), "start", "end", "value").alias("x"))
+    added = flat.where("k < 0").join(taken, "value").select(*row, F.struct(F.col("kind").alias("k"), "start", "end", "value").alias("x"))
     by_row = added.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.sort_array(F.collect_set("x")).alias("found"))
     plain = F.transform("base", lambda x: F.struct(x["k"].alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
     none = F.array().cast("array<struct<k:int,start:int,end:int,value:string>>")
