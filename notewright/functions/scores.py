@@ -90,7 +90,7 @@ def photo_score(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, h
     return (
         F.when(x0 <= 0.25 * width, 3.0).otherwise(0.0)
         + F.when((y0 >= 0.18 * height) & (y0 <= 0.5 * height), 3.0).otherwise(0.0)
-        + F.when((y1 - y0) > (x1 - x0), 2.0).otherwise(0.0)
+        + F.when((y1 - y0) >= (x1 - x0), 2.0).otherwise(0.0)
         + F.least(100 * area, F.lit(2.0))
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import Protocol
 
 import pandas as pd
@@ -32,6 +33,24 @@ class Parser(Protocol):
     def parse(self, content: bytes) -> list[dict]: ...
 
 
+class LineParser:
+    """A stand-in parser: the non-empty lines of UTF-8 text are its blocks."""
+
+    def is_available(self) -> bool:
+        return True
+
+    def parse(self, content: bytes) -> list[dict]:
+        lines = (x.strip(" \t\n\v\f\r") for x in content.decode("utf-8", "replace").split("\n"))
+        return [{"text": x, "role": "body"} for x in lines if x]
+
+
+class BrokenParser(LineParser):
+    """A stand-in for a parser that fails on every document."""
+
+    def parse(self, content: bytes) -> list[dict]:
+        raise ValueError("not a document of this kind")
+
+
 class EchoGenerator:
     """A stand-in without a model: replies with one mention that quotes the prompt's first words."""
 
@@ -39,6 +58,13 @@ class EchoGenerator:
         return [json.dumps({"mentions": [{"category": "note", "label": "head", "value": " ".join(p.split()[:5])}]}) for p in prompts]
 
 
+class FixedVerdict:
+    """A stand-in for a validating model: one verdict for every record."""
+
+    def generate(self, prompts: list[str], max_tokens: int) -> list[str]:
+        return [json.dumps({"confidence": 0.5, "flags": ["model"], "notes": p}) for p in prompts]
+
+
 def strip_reply(c: Column) -> Column:
     """Stage one of loose JSON: fences, tags, a speaker's name and trailing commas go."""
     t = F.regexp_replace(c, r"(?i)```(?:json)?|</?json>", "")
@@ -113,30 +139,114 @@ def clean_replies(replies: DataFrame, keys: list[str], reply: str, note_date: st
     )
 
 
-def run_generator(batches: DataFrame, make: Callable[[], Generator], key: str, prompt: str, budget: str) -> DataFrame:
-    """(key, reply, error): one attempt, a second with half as many tokens again if the reply is no JSON; an
-    exception becomes the row's error. The generator is made once in each task."""
+def _in_groups(model: Generator, prompts: list[str], tokens: list[int], size: int) -> list[str | Exception]:
+    """Replies of neighbouring prompts of one budget, ``size`` at a call; a group that fails is asked one by one."""
+    out: list[str | Exception] = []
+    for budget, group in groupby(range(len(prompts)), key=lambda i: tokens[i]):
+        rows = list(group)
+        for at in range(0, len(rows), size):
+            part = [prompts[i] for i in rows[at : at + size]]
+            try:
+                replies = list(model.generate(part, budget))
+                if len(replies) != len(part):
+                    raise ValueError(f"{len(replies)} replies to {len(part)} prompts")
+                out += replies
+            except Exception as e:  # a model may raise anything; the row carries it
+                out += [e] if len(part) == 1 else _in_groups(model, part, [budget] * len(part), 1)
+    return out
+
+
+def run_generator(batches: DataFrame, make: Callable[[], Generator], key: str, prompt: str, budget: str, size: int = 1) -> DataFrame:
+    """(key, reply, error): one attempt, ``size`` prompts at a call, a second alone with half as many tokens again if the
+    reply is no JSON; an exception becomes the row's error. The generator is made once in each task."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for b in parts:
+            tokens = [int(x) for x in b["budget"]]
             replies, errors = [], []
-            for text, tokens in zip(b["prompt"], b["budget"]):
-                try:
-                    reply = model.generate([text], int(tokens))[0]
-                    if loose_json(reply) is None:
-                        reply = model.generate([text], int(tokens) * 3 // 2)[0]
-                    replies.append(reply)
-                    errors.append(None if loose_json(reply) is not None else "no JSON in the reply")
-                except Exception as e:  # a model may raise anything; the row carries it
-                    replies.append(None)
-                    errors.append(f"{type(e).__name__}: {e}"[:300])
+            for text, n, reply in zip(b["prompt"], tokens, _in_groups(model, list(b["prompt"]), tokens, size)):
+                if isinstance(reply, str) and loose_json(reply) is None:
+                    reply = _in_groups(model, [text], [n * 3 // 2], 1)[0]
+                failed = isinstance(reply, Exception)
+                replies.append(None if failed else reply)
+                errors.append(f"{type(reply).__name__}: {reply}"[:300] if failed else None if loose_json(reply) is not None else "no JSON in the reply")
             yield pd.DataFrame({"key": b["key"], "reply": replies, "error": errors})
 
     source = batches.select(F.col(key).cast("string").alias("key"), F.col(prompt).alias("prompt"), F.col(budget).alias("budget"))
     return source.mapInPandas(run, "key string, reply string, error string")
 
 
+def parse_documents(files: DataFrame, makes: list[Callable[[], Parser]], key: str, content: str, rows: int = 10_000) -> DataFrame:
+    """(key, reading_order, role, text, bbox, error): the blocks of the first parser at hand that finds any, from one on.
+    A document without blocks is one row, with the errors of the parsers that failed on it, if any. Parsers are made once
+    in each task; rows leave in batches of about ``rows``."""
+    names = ["key", "reading_order", "role", "text", "bbox", "error"]
+
+    def blocks_of(parsers: list[Parser], x: bytes) -> tuple[list[dict], str | None]:
+        errors = []
+        for parser in parsers:
+            try:
+                blocks = parser.parse(x)
+            except Exception as e:
+                errors.append(f"{type(e).__name__}: {e}"[:300])
+                continue
+            if blocks:
+                return blocks, None
+        return [], " | ".join(errors) or None
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parsers = [p for p in (make() for make in makes) if p.is_available()]
+        out: list[tuple] = []
+        for b in parts:
+            for k, x in zip(b["key"], b["content"]):
+                blocks, error = blocks_of(parsers, b"" if x is None else bytes(x))
+                out += [(k, i, y.get("role"), y.get("text"), y.get("bbox"), None) for i, y in enumerate(blocks, 1)] or [(k, None, None, None, None, error)]
+                if len(out) >= rows:
+                    yield pd.DataFrame(out, columns=names).astype({"reading_order": "Int32"})
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=names).astype({"reading_order": "Int32"})
+
+    source = files.select(F.col(key).cast("string").alias("key"), F.col(content).alias("content"))
+    return source.mapInPandas(run, "key string, reading_order int, role string, text string, bbox array<double>, error string")
+
+
+def validate_records(records: DataFrame, models: list[tuple[str, Callable[[], Generator]]], key: str, prompt: str, max_tokens: int = 512) -> DataFrame:
+    """(key, model, status, confidence, flags, missing, notes): the first model whose reply is a JSON object with one of
+    confidence, flags, missing_categories and notes adds its verdict to the record's own flags, confidence and missing.
+
+    A model that fails once is not asked again in the task. If all fail, the record's own verdict stays, with a flag."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: dict[str, Generator] = {}
+        failed: set[str] = set()
+        for b in parts:
+            out = []
+            for k, text, own, sure, missing in zip(b["key"], b["prompt"], b["flags"], b["confidence"], b["missing"]):
+                own, missing, errors, row = list(own) if own is not None else [], list(missing) if missing is not None else [], [], None
+                for name, make in models:
+                    if name in failed or row:
+                        continue
+                    try:
+                        model = made.setdefault(name, None) or make()
+                        made[name] = model
+                        reply = model.generate([text], max_tokens)[0]
+                        got = loose_json(reply)
+                        if not isinstance(got, dict) or not {"confidence", "flags", "missing_categories", "notes"} & set(got):
+                            raise ValueError(f"no verdict in the reply: {reply}"[:300])
+                        flags = sorted({*own, *map(str, got.get("flags") or [])})
+                        row = (k, name, "completed", float(got.get("confidence", sure)), flags, list(map(str, got.get("missing_categories") or missing)), str(got.get("notes", reply))[:1000])
+                    except Exception as e:
+                        failed.add(name)
+                        errors.append(f"{name}: {e}")
+                out.append(row or (k, models[0][0] if models else None, "failed", sure, sorted({*own, "validation_model_failed"}), missing, " | ".join(errors[-3:])))
+            yield pd.DataFrame(out, columns=["key", "model", "status", "confidence", "flags", "missing", "notes"])
+
+    source = records.select(F.col(key).cast("string").alias("key"), F.col(prompt).alias("prompt"), "flags", F.col("confidence").cast("double").alias("confidence"), "missing")
+    return source.mapInPandas(run, "key string, model string, status string, confidence double, flags array<string>, missing array<string>, notes string")
+
+
 def recognise(images: DataFrame, make: Callable[[], Recogniser], key: str, content: str) -> DataFrame:
     """(key, text, confidence, error) for each image."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notewright.functions import scores, vocab
-from notewright.functions.text import strip, text_hash, word_count
+from notewright.functions.text import clean_block, nz, strip, text_hash, word_count
 
 MARK = "\x01"
 
@@ -55,6 +55,19 @@ def join_islands(blocks: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def layout_notes(artifacts: DataFrame, doc: str, page: str, gap: float = 42.0, min_words: int = 12) -> DataFrame:
+    """Notes of a document's artifacts (artifact_type, role, top, bottom, reading_order, text, block_id): text blocks and
+    handwriting outside headers and footers, joined by their place on the page and cleaned. The index counts the pieces
+    of a page that are dropped too, for few words or for a text that an earlier note of the document has."""
+    outside = ~F.coalesce(F.col("role").isin("header", "footer"), F.lit(False))
+    top = F.coalesce("top", F.lit(0.0))
+    kept = artifacts.where(F.col("artifact_type").isin("text_block", "handwriting") & outside)
+    kept = kept.withColumns({"top": top, "bottom": F.coalesce(F.col("bottom"), top), "text": nz(F.col("text")), "role": nz(F.col("role"))})
+    joined = join_islands(layout_islands(kept, [doc, page], gap), [doc, page]).withColumn("note", clean_block(F.col("text")))
+    notes = joined.where(word_count(F.col("note")) >= min_words).withColumnRenamed("island", "note_ix").drop("text")
+    return first_of_equal(notes, [doc], [page, "note_ix"]).withColumn("note_id", note_id(F.col(page), F.col("note_ix")))
+
+
 def triage(notes: DataFrame, keys: list[str], cap: int = 40) -> DataFrame:
     """``notes`` (with needs_model, signal, words, note_ix) with state: resolved, unresolved or, beyond the cap per
     document, overflow; and the rank among those that need the model."""

@@ -247,7 +247,7 @@ def seg_page_zones(spark, sf_dir):
     return z.select("doc", "zone", "x0", "y1")
 
 
-@query(f"""with {B}, s as (select doc, block_id, (case when x0 <= 150 then 3.0 else 0 end + case when top >= 144 and top <= 400 then 3.0 else 0 end + case when bottom - top > x1 - x0 then 2.0 else 0 end
+@query(f"""with {B}, s as (select doc, block_id, (case when x0 <= 150 then 3.0 else 0 end + case when top >= 144 and top <= 400 then 3.0 else 0 end + case when bottom - top >= x1 - x0 then 2.0 else 0 end
  + least(100 * (x1 - x0) * (bottom - top) / 480000.0, 2.0))::double as score from boxes), r as (select *, row_number() over (partition by doc order by round(score, 6) desc, block_id) as n from s) select doc, block_id, floor(score * 100 + 0.000001)::bigint as score from r where n = 1""")
 def prd_photo_choice(spark, sf_dir):
     c = F.col
