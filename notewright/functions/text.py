@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.functions import vocab
@@ -99,6 +99,34 @@ def head_tail(c: Column, limit: int, marker: str = "\n[...]\n", share: float = 0
     return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.left(c, F.lit(head)), F.lit(marker), F.right(c, F.lit(room - head))))
 
 
+def _cut_middle(c: Column, limit: int, spare: int, marker: str) -> Column:
+    """Texts over ``limit`` to 65 % of it, a marker, and their end; ``spare`` is what the marker is reckoned with."""
+    head = int(limit * 0.65)
+    parts = [F.left(c, F.lit(head)), F.lit(marker), F.right(c, F.lit(limit - head - spare))]
+    if marker.startswith("\n\n"):  # a marker in a paragraph of its own stands between bare ends
+        parts[0], parts[2] = F.regexp_replace(parts[0], r"\s+$", ""), F.regexp_replace(parts[2], r"^\s+", "")
+    return F.when(F.length(c) <= limit, c).otherwise(F.concat(*parts))
+
+
+def note_trim(c: Column, limit: int = 9000) -> Column:
+    """A note cut in the middle for a prompt."""
+    return _cut_middle(whitespace(c), limit, 32, "\n\n...[middle truncated for token budget]...\n\n")
+
+
+def source_trim(c: Column, limit: int = 5500) -> Column:
+    """A source text in one line, cut in the middle for a prompt."""
+    return _cut_middle(F.trim(F.regexp_replace(filled(c), r"\s+", " ")), limit, 48, "\n...[middle omitted]...\n")
+
+
+# Width and default of the stored fields of a mention.
+STORED = {"category": (50, "unknown"), "label": (200, ""), "date_text": (100, ""), "certainty": (20, "unknown")}
+
+
+def stored_fields(df: DataFrame) -> DataFrame:
+    """``df`` with a mention's short fields as they are stored: bounded, blank ones by their default."""
+    return df.withColumns({f: bounded(F.col(f), n, default) for f, (n, default) in STORED.items() if f in df.columns})
+
+
 def category_key(c: Column) -> Column:
     return F.coalesce(nz(F.btrim(F.regexp_replace(F.lower(filled(c)), "[^a-z0-9]+", "_"), F.lit("_"))), F.lit("uncategorized"))
 

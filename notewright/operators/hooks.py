@@ -271,17 +271,28 @@ def better_text(native: Column, read: Column) -> Column:
     return F.when(F.length(F.coalesce(read, F.lit(""))) > F.length(F.coalesce(native, F.lit(""))), read).otherwise(native)
 
 
-def merge_votes(candidates: Column) -> Column:
-    """Candidates (drug, dose, score) in order to one row per drug: the nth vote adds 4 (n - 1), 100 at most; the
-    greatest score stays, and a dose if any vote has one. Sorted by score, then drug."""
-    start = F.expr("map()").cast("map<string,struct<n:int,score:int,dose:string>>")
+def merge_votes(candidates: Column, most: int = 12) -> Column:
+    """Candidates (drug, dose, score) in order to one row per drug, its name in any case: the nth vote adds 4 (n - 1), 100
+    at most. A vote with a dose replaces one without and keeps the greater score; else the greater score stays. The best
+    ``most``, sorted by score, then drug."""
+    start = F.expr("map()").cast("map<string,struct<n:int,drug:string,score:int,dose:string>>")
 
     def step(m: Column, x: Column) -> Column:
-        old = F.try_element_at(m, x["drug"])
+        key = F.lower(x["drug"])
+        old = F.try_element_at(m, key)
         n = F.coalesce(old["n"], F.lit(0)) + 1
-        score = F.least(F.lit(100), x["score"] + 4 * (n - 1))
-        new = F.struct(n.cast("int").alias("n"), F.greatest(score, F.coalesce(old["score"], F.lit(0))).cast("int").alias("score"), F.coalesce(F.nullif(old["dose"], F.lit("")), x["dose"]).alias("dose"))
-        return F.map_concat(F.map_filter(m, lambda k, v: k != x["drug"]), F.create_map(x["drug"], new))
-
-    entries = lambda m: F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct((-e["value"]["score"]).alias("o"), e["key"].alias("drug"), e["value"]["score"].alias("score"), e["value"]["dose"].alias("dose"))))
+        score = F.least(F.lit(100), x["score"] + 4 * (n - 1)).cast("int")
+        dosed = lambda d: F.coalesce(d, F.lit("")) != ""
+        row = lambda drug, s, d: F.struct(n.cast("int").alias("n"), drug.alias("drug"), s.cast("int").alias("score"), d.alias("dose"))
+        taken = row(x["drug"], score, x["dose"])
+        new = (
+            F.when(old.isNull(), taken)
+            .when(dosed(x["dose"]) & ~dosed(old["dose"]), row(x["drug"], F.greatest(score, old["score"]), x["dose"]))
+            .when(score > old["score"], taken)
+            .otherwise(row(old["drug"], old["score"], old["dose"]))
+        )
+        kept = F.when(F.coalesce(x["drug"], F.lit("")) == "", m)
+        return kept.otherwise(F.map_concat(F.map_filter(m, lambda k, v: k != key), F.create_map(F.coalesce(key, F.lit("")), new)))
+
+    entries = lambda m: F.slice(F.array_sort(F.transform(F.map_values(m), lambda v: F.struct((-v["score"]).alias("o"), v["drug"].alias("drug"), v["score"].alias("score"), v["dose"].alias("dose")))), 1, most)
     return F.transform(F.aggregate(candidates, start, step, entries), lambda e: F.struct(e["drug"].alias("drug"), e["score"].alias("score"), e["dose"].alias("dose")))

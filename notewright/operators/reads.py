@@ -116,3 +116,24 @@ def cancel_runs(runs: DataFrame, chosen: DataFrame, now: Column) -> DataFrame:
     stop = F.col("__hit") & ~F.col("status").isin("completed", "failed")
     new = {"status": F.lit("failed"), "error_message": F.lit(CANCELLED), "completed": now}
     return hit.withColumns({c: F.when(stop, v).otherwise(F.col(c)) for c, v in new.items()}).drop("__hit")
+
+
+def with_progress(df: DataFrame) -> DataFrame:
+    """``df`` (total, done, seconds since the start) with whole percent and the whole seconds left at the pace so far;
+    null where nothing is done yet, zero percent of nothing."""
+    total, done = F.col("total"), F.least("done", "total")
+    percent = F.when(total > 0, F.expr("100 * least(done, total) div total")).otherwise(F.lit(0).cast("long"))
+    left = F.when(done > 0, F.ceil((total - done) * (F.col("seconds") / done)).cast("long"))
+    return df.withColumns({"percent": percent, "eta_seconds": left})
+
+
+def describe(df: DataFrame, columns: list[str], accuracy: int = 100_000) -> DataFrame:
+    """(name, n, mean, deviation, least, quarter, half, three_quarters, most), a row for each numeric column, in one pass
+    over the rows; quartiles are values of the column, exact to a part in ``accuracy`` of the ranks."""
+    one = lambda c: F.struct(
+        F.lit(c).alias("name"), F.count(c).alias("n"), F.avg(c).cast("double").alias("mean"), F.stddev(c).alias("deviation"), F.min(c).cast("double").alias("least"),
+        F.percentile_approx(F.col(c).cast("double"), [0.25, 0.5, 0.75], accuracy).alias("q"), F.max(c).cast("double").alias("most"),
+    )
+    rows = df.agg(F.array(*[one(c) for c in columns]).alias("rows")).select(F.inline("rows"))
+    q = [F.get("q", F.lit(i)).alias(k) for i, k in enumerate(("quarter", "half", "three_quarters"))]
+    return rows.select("name", "n", "mean", "deviation", "least", *q, "most")

@@ -101,7 +101,7 @@ def ext_fields_vitals(spark, sf_dir):
     return f.select(*KEYS, "category", "label", F.lower("value").alias("value"))
 
 
-@query(f"with {N} select {K}, nullif(regexp_extract(substr(note, position('sunitinib' in lower(note)) + 9, 90), '(?i){vocab.DOSE}', 0), '') as dose from notes where contains(lower(note), 'sunitinib')")
+@query(f"with {N} select {K}, coalesce(nullif(regexp_extract(substr(note, p, 90), '(?i){vocab.ORDER_DOSE}', 0), ''), nullif(regexp_extract(substr(note, greatest(p - 20, 1), p + 60 - greatest(p - 20, 1)), '(?i){vocab.ORDER_DOSE}', 0), '')) as dose from (select *, position('sunitinib' in lower(note)) as p from notes) n where p > 0")
 def spl_nearby_dose(spark, sf_dir):
     n = notes(spark, sf_dir).where(F.contains(F.lower("note"), F.lit("sunitinib")))
     return n.select(*KEYS, extract.nearby_dose(F.col("note"), "sunitinib").alias("dose"))
