@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notewright.functions import parsers, scores, text
-from notewright.operators import extract, hooks, segment
+from notewright.operators import extract, hooks, pages, segment
 
 
 def one(spark, column, value):
@@ -102,3 +102,54 @@ def test_hook_failures_are_rows(spark):
 def test_votes(spark):
     df = spark.sql("select array(named_struct('drug','a','score',82,'dose',''), named_struct('drug','b','score',90,'dose','1mg'), named_struct('drug','a','score',88,'dose','5mg')) as c")
     assert [tuple(x) for x in df.select(hooks.merge_votes(F.col("c")).alias("x")).first()["x"]] == [("a", 92, "5mg"), ("b", 90, "1mg")]
+
+
+def test_prompts_in_groups(spark):
+    class Counts:
+        def generate(self, prompts, max_tokens):
+            if len(prompts) > 1 and "odd" in prompts:
+                raise ValueError("one spoils the group")
+            if prompts == ["odd"]:
+                raise ValueError("no")
+            return ['{"of": %d}' % len(prompts) for _ in prompts]
+
+    rows = [("1", "a", 64), ("2", "b", 64), ("3", "odd", 32), ("4", "c", 32)]
+    df = spark.createDataFrame(rows, "k string, p string, b int").coalesce(1)
+    got = {r["key"]: (r["reply"], r["error"]) for r in hooks.run_generator(df, Counts, "k", "p", "b", size=2).collect()}
+    assert got == {"1": ('{"of": 2}', None), "2": ('{"of": 2}', None), "3": (None, "ValueError: no"), "4": ('{"of": 1}', None)}
+
+
+def test_parsers_and_validators_fail_by_row(spark):
+    files = spark.createDataFrame([("1", b"a\n\nb"), ("2", b""), ("3", None)], "k string, c binary")
+    rows = hooks.parse_documents(files, [hooks.BrokenParser, hooks.LineParser], "k", "c").collect()
+    assert sorted((r["key"], r["reading_order"] or 0, r["text"]) for r in rows) == [("1", 1, "a"), ("1", 2, "b"), ("2", 0, None), ("3", 0, None)]
+    assert {r["error"] for r in rows if r["key"] == "2"} == {"ValueError: not a document of this kind"}
+    r = spark.createDataFrame([("1", "p", ["few"], 0.9, ["lab"])], "k string, p string, flags array<string>, confidence double, missing array<string>")
+    v = hooks.validate_records(r, [("echo", hooks.EchoGenerator)], "k", "p").first()
+    assert (v["status"], v["confidence"], v["flags"], v["missing"]) == ("failed", 0.9, ["few", "validation_model_failed"], ["lab"])
+
+
+def test_artifacts_without_rows_or_values(spark):
+    pages_ = spark.createDataFrame([(1, "own", "native"), (2, None, "native")], "doc int, text string, source string")
+    images = spark.createDataFrame([(2, 1, 300, 200, " read "), (1, 1, 10, 10, "icon"), (1, 2, 300, 200, None)], "doc int, image_ix int, width int, height int, image_text string")
+    got = {r["doc"]: (r["text"], r["source"]) for r in pages.append_image_text(pages_, images, ["doc"]).collect()}
+    assert got == {1: ("own", "native"), 2: ("read", "native+img")}
+    assert pages.append_image_text(pages_, images.limit(0), ["doc"]).count() == 2
+    x = spark.range(1).select(pages.blank_crop(F.array().cast("array<int>")).alias("none"), pages.blank_crop(F.lit(None).cast("array<int>")).alias("null"), pages.blank_crop(F.array(F.lit(0), F.lit(14))).alias("tie")).first()
+    assert tuple(x) == (True, True, False)
+    empty = "array<struct<label:string,value:string>>"
+    o = "array<struct<drug:string,expanded_text:string,raw_text:string,text:string,drug_candidates:array<struct<normalized:string>>>>"
+    line = spark.range(1).select(pages.order_lines(F.lit(None).cast(o), F.lit(None).cast(empty), F.lit(None).cast(empty), F.lit(None).cast("string")).alias("t")).first()
+    assert line["t"] is None
+
+
+def test_layout_notes(spark):
+    words = " ".join(f"w{i}" for i in range(12))
+    rows = [
+        (1, 1, 1, "text_block", "body", 10.0, 20.0, 1, words), (1, 1, 2, "text_block", "body", 30.0, 40.0, 2, None), (1, 1, 3, "text_block", None, 90.0, 99.0, 3, "few"),
+        (1, 1, 4, "handwriting", "orders", 200.0, 210.0, 4, words), (1, 1, 5, "text_block", "footer", 260.0, 270.0, 5, words), (1, 1, 6, "image", "body", 300.0, 310.0, 6, words),
+        (2, 1, 7, "text_block", "body", None, None, 1, words),
+    ]
+    a = spark.createDataFrame(rows, "doc int, page int, block_id int, artifact_type string, role string, top double, bottom double, reading_order int, text string")
+    got = sorted((r["doc"], r["note_id"], r["n_blocks"], r["note"]) for r in segment.layout_notes(a, "doc", "page").collect())
+    assert got == [(1, "p0001_n001", 2, words), (2, "p0001_n001", 1, words)]
