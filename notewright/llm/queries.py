@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notewright.llm import decontamination, html_extraction, language_model, mixing, pii, quality_trees, simhash, suffix_dedup, toxicity, weak_supervision
+from notewright.llm import (
+    centroids,
+    decontamination,
+    filter_audit,
+    html_extraction,
+    language_model,
+    license_scan,
+    mixing,
+    pii,
+    quality_trees,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    weak_supervision,
+)
 from notewright.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -65,6 +79,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.find_personal_data(_docs(spark, sf_dir)))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that every document names or quotes."""
+    return license_scan.scan_licenses(_docs(spark, sf_dir))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster and distance after three rounds."""
+    return centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order of them, by language."""
+    return filter_audit.audit_filters(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
@@ -76,4 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_pii": op10_pii,
+    "op11_license_scan": op11_license_scan,
+    "op12_centroids": op12_centroids,
+    "op13_filter_audit": op13_filter_audit,
 }
