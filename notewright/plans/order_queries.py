@@ -60,13 +60,6 @@ def spl_prescription_tokens(spark, sf_dir):
     return _orders(spark, sf_dir).select(*KEYS, F.array_join(orders.prescription_tokens(F.col("order_note")), ",").alias("tokens"))
 
 
-@query()
-def spl_reader_candidates(spark, sf_dir):
-    """Candidates of a reader's names and text; the single-text form has an oracle above."""
-    r = _orders(spark, sf_dir).withColumn("names", F.array(F.lit("pan 40"), F.col("order_note")))
-    return orders.reader_candidates(r, KEYS, "names", "order_note")
-
-
 @query(f"""with m as ({MENTIONS_SQL}) select subject, '{schema.VERSION}' as version, count(distinct category) as sections, bool_or(category in ('diagnosis', 'pathology', 'lab', 'imaging')) as has_primary from m group by subject""")
 def agg_health_rows(spark, sf_dir):
     primary = F.col("category").isin(*schema.MAJOR["primary_finding"])
