@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import add
 
@@ -9,12 +10,52 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from notewright.functions import vocab
-from notewright.functions.text import alpha_ratio, filled, word_count
+from notewright.functions.text import alpha_ratio, filled, with_value, word_count
+
+#: What ends a word for the patterns' ``\\b``.
+WORD_BREAK = r"[^\p{L}\p{N}_]+"
+
+
+def literal_of(pattern: str) -> str:
+    """The longest run of plain characters that every match of a pattern holds; empty if none is sure."""
+    if "|" in pattern or "(" in pattern:
+        return ""
+    runs = [""]
+    for part in re.findall(r"\\.|\[[^\]]*\]|\{[^}]*\}|.", pattern, re.S):
+        if part == r"\b":
+            continue
+        if part in "?*" or part[0] == "{":  # what stands before it may be missing
+            runs[-1] = runs[-1][:-1]
+            runs.append("")
+        elif len(part) > 1 or part in "+.^$":
+            runs.append("")
+        else:
+            runs[-1] += part
+    return max(runs, key=len)
+
+
+def occurs(low: Column, pattern: str) -> Column:
+    """Whether a pattern of lower-case letters occurs in a lower-cased text: its literal is sought before the pattern is."""
+    literal = literal_of(pattern)
+    if literal == pattern:
+        return F.contains(low, F.lit(literal))
+    return F.contains(low, F.lit(literal)) & low.rlike(pattern) if literal else low.rlike(pattern)
 
 
 def hits(c: Column, patterns: list[str]) -> Column:
-    """How many of the patterns occur, in any case."""
-    return reduce(add, [c.rlike("(?i)" + p).cast("int") for p in patterns])
+    """How many of the patterns occur, in any case.
+
+    The text is lower-cased once and cut into words once: patterns that are one whole word are all looked up together
+    among the words, the others one by one, behind a search for their literal.
+    """
+    whole = [m.group(1) for p in patterns if (m := re.fullmatch(r"\\b(\w+)\\b", p))]
+    others = [p for p in patterns if not re.fullmatch(r"\\b\w+\\b", p)]
+
+    def count(low: Column) -> Column:
+        found = F.size(F.array_intersect(F.split(low, WORD_BREAK), F.array(*map(F.lit, whole)))) if whole else F.lit(0)
+        return reduce(add, [occurs(low, p).cast("int") for p in others], found)
+
+    return with_value(F.lower(c), count)
 
 
 def first_of(c: Column, table: list[tuple[str, str]], regex: bool = True) -> Column:
@@ -27,9 +68,11 @@ def weak_page(c: Column, chars: int = 120, words: int = 22, alpha: float = 0.28)
     return (F.length(filled(c)) < chars) | (word_count(c) < words) | (alpha_ratio(c) < alpha)
 
 
-def low_value(c: Column, words: int = 12) -> Column:
-    n = word_count(c)
-    return (n < words) | (hits(c, vocab.LOW_VALUE) >= 2) | (F.contains(F.lower(c), F.lit("prescription has been issued")) & (n < 45))
+def low_value(c: Column, words: int = 12, counted: Column | None = None) -> Column:
+    """Few words, two signs of no value, or a short text that only says a prescription was issued; ``counted`` is the
+    number of words where it is known."""
+    issued = lambda n: (n < words) | (F.contains(F.lower(c), F.lit("prescription has been issued")) & (n < 45))
+    return with_value(word_count(c) if counted is None else counted, issued) | (hits(c, vocab.LOW_VALUE) >= 2)
 
 
 def dates_in(c: Column) -> Column:

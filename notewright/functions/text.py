@@ -19,8 +19,12 @@ def nz(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+#: White space as the patterns' ``\\s`` knows it.
+SPACES = " \t\n\x0b\x0c\r"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def whitespace(c: Column) -> Column:
@@ -75,7 +79,7 @@ def clean_block(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(filled(c), F.lit(r"(?U)\b\w+\b"))
+    return F.regexp_count(filled(c), F.lit(r"(?U)\w+"))
 
 
 def alpha_ratio(c: Column) -> Column:

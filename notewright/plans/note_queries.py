@@ -192,7 +192,8 @@ STATE = f"""scored as (select {K}, note, ({W})::int as words, (least(length(note
  select {K}, signal, case when not needs_model then 'resolved' when n <= 3 then 'unresolved' else 'overflow' end as state from r""")
 def tri_topk_overflow(spark, sf_dir):
     t = F.col("note")
-    n = notes(spark, sf_dir).withColumns({"words": word_count(t), "signal": scores.signal(t, scores.dates_in(t)), "low": scores.low_value(t)})
+    n = notes(spark, sf_dir).withColumn("words", word_count(t))
+    n = n.withColumns({"signal": scores.signal(t, scores.dates_in(t)), "low": scores.low_value(t, counted=F.col("words"))})
     n = n.withColumn("needs_model", scores.needs_model(F.col("low"), F.col("signal"), F.lit(0), F.col("words"), least_signal=14))
     n = n.withColumn("note_ix", F.struct("line", "part", "subject"))
     return segment.triage(n, ["doc"], cap=3).select(*KEYS, "signal", "state")
