@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notewright.operators.replies import tolerant_json
+
 
 class Generator(Protocol):
     """Prompts to replies, in order."""
@@ -73,37 +75,42 @@ def strip_reply(c: Column) -> Column:
 
 
 def balanced_parts(text: str) -> Iterator[str]:
-    """Every outermost balanced {...} or [...] of a text, strings respected."""
-    depth, start, quoted, escape = 0, -1, False, False
+    """Every outermost balanced {...} or [...] of a text, strings respected; a closer of the other kind closes nothing."""
+    opened, start, quoted, escape = [], -1, False, False
     for i, ch in enumerate(text):
         if quoted:
             escape = ch == "\\" and not escape
             if ch == '"' and not escape:
                 quoted = False
             continue
-        if ch == '"' and depth:
+        if ch == '"' and opened:
             quoted = True
         elif ch in "{[":
-            if depth == 0:
+            if not opened:
                 start = i
-            depth += 1
-        elif ch in "}]" and depth:
-            depth -= 1
-            if depth == 0:
+            opened.append("}" if ch == "{" else "]")
+        elif opened and ch == opened[-1]:
+            opened.pop()
+            if not opened:
                 yield text[start : i + 1]
 
 
 def loose_json(text: str | None):
-    """The first value that parses: the whole, then each balanced part, then with single quotes made double."""
+    """The first object or list of a reply: the whole if it parses, then each balanced part, then whatever a tolerant
+    reader makes of each part and of the text from its first brace on. Linear in the text."""
     bare = re.sub(r",\s*([}\]])", r"\1", re.sub(r"(?i)```(?:json)?|</?json>", "", text or "")).strip()
-    for part in [bare, *balanced_parts(bare)]:
-        for form in (part, part.replace("'", '"')):
-            try:
-                value = json.loads(form)
-            except ValueError:
-                continue
-            if isinstance(value, (dict, list)):
-                return value
+    parts = list(balanced_parts(bare))
+    for part in [bare, *parts]:
+        try:
+            value = json.loads(part)
+        except (ValueError, RecursionError):
+            continue
+        if isinstance(value, (dict, list)):
+            return value
+    for part in [*parts, bare]:
+        value = tolerant_json(part)
+        if value:
+            return value
     return None
 
 

@@ -77,15 +77,6 @@ def triage(notes: DataFrame, keys: list[str], cap: int = 40) -> DataFrame:
     return ranked.withColumn("state", state)
 
 
-def adaptive_batches(notes: DataFrame, words: str, key: str, scope: list[str] | None = None) -> DataFrame:
-    """``notes`` with bucket and batch_no: notes of one length bucket, shortest first, in batches of its limit.
-    Batches are cut within ``scope``, so that no bucket is ordered in one task."""
-    bucketed = notes.withColumn("bucket", scores.length_bucket(F.col(words)))
-    w = Window.partitionBy(*(scope or []), "bucket").orderBy(words, key)
-    number = F.floor((F.row_number().over(w) - 1) / scores.batch_limit(F.col("bucket")))
-    return bucketed.withColumn("batch_no", number.cast("long"))
-
-
 def page_zones(pages: DataFrame, zones: list[tuple[str, float, float, float, float]]) -> DataFrame:
     """Each page's fixed relative zones as boxes; the zone list is a constant of a few rows, so it's an array."""
     table = F.array(*[F.struct(F.lit(n).alias("zone"), *[F.lit(float(v)).alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), b)]) for n, *b in zones])

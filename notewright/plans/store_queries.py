@@ -74,10 +74,12 @@ def st_export_order(spark, sf_dir):
     return g.select("subject", "n", F.md5(text.cast("binary")).alias("digest"))
 
 
-@query()
+@query(f"""with {M} select subject, row_number() over (partition by subject order by category, date_text, label, seq) - 1 as place, category, label, value, date_text from mentions""")
 def st_export_json(spark, sf_dir):
-    """The export documents; key order of JSON differs between engines, so the oracle above compares the rows."""
-    return store.export_json(mentions(spark, sf_dir), "subject", ["category", "label", "value", "date_text"], ["category", "date_text", "label", "seq"])
+    """The export documents, read back: their items in order."""
+    j = store.export_json(mentions(spark, sf_dir), "subject", ["category", "label", "value", "date_text"], ["category", "date_text", "label", "seq"])
+    items = F.from_json("json", "subject bigint, mentions array<struct<category:string,label:string,value:string,date_text:string>>")["mentions"]
+    return j.select("subject", F.posexplode(items).alias("place", "m")).select("subject", F.col("place").cast("long").alias("place"), *[F.col(f"m.{c}").alias(c) for c in ("category", "label", "value", "date_text")])
 
 
 @query("select 'full' as mode, count(*) as n, sha256(string_agg(distinct source, chr(10) order by source)) as codes from documents")
@@ -174,16 +176,10 @@ def json_clean_mentions(spark, sf_dir):
     return hooks.clean_replies(p, ["p_partkey"], "reply", "note_date").select("p_partkey", "category", "label", "value", "certainty", "date_text")
 
 
-@query()
-def udf_generator_hook(spark, sf_dir):
-    """The generation hook with its stand-in: replies or errors, one row for each prompt."""
-    c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text", F.lit(64).alias("budget"))
-    return hooks.run_generator(c, hooks.EchoGenerator, "key", "text", "budget")
-
-
-@query()
+@query("""with v as (select l_orderkey, 'd' || (l_partkey % 3) as drug, least(100, 80 + 4 * (count(*) - 1)) as score from lineitem group by all)
+ select l_orderkey, '[' || string_agg('{"drug":"' || drug || '","score":' || score || ',"dose":""}', ',' order by score desc, drug) || ']' as merged from v group by l_orderkey""")
 def agg_candidate_votes(spark, sf_dir):
-    """Votes in order; a sequential fold, so golden tests hold it."""
+    """Votes in order, folded one by one; the SQL knows that the nth vote of equal scores adds four."""
     c = F.struct(F.concat(F.lit("d"), (F.col("l_partkey") % 3).cast("string")).alias("drug"), F.lit(80).alias("score"), F.lit("").alias("dose"))
     votes = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", c.alias("c")))), lambda x: x["c"])
     g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(votes.alias("votes"))

@@ -211,13 +211,6 @@ def bat_buckets(spark, sf_dir):
     return d.withColumn("tokens", scores.token_budget(F.col("bucket"))).groupBy("bucket").agg(F.count("*").alias("n"), F.max("tokens").alias("tokens"))
 
 
-@query(f"""select doc_id, bucket, (row_number() over (partition by source, bucket order by words, doc_id) - 1) // case bucket when 'short' then 6 when 'medium' then 4 when 'long' then 2 else 1 end as batch_no
- from (select doc_id, source, {W} as words, {BUCKET_SQL} as bucket from documents) d""")
-def bat_batches(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", text.word_count(F.col("text")).alias("words"))
-    return segment.adaptive_batches(d, "words", "doc_id", ["source"]).select("doc_id", "bucket", "batch_no")
-
-
 @query(r"""with w as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) as token from documents) select token, count(*) as documents from w group by token having count(*) >= 20""")
 def txt_vocabulary(spark, sf_dir):
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0))
