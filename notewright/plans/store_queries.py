@@ -82,11 +82,6 @@ def st_export_json(spark, sf_dir):
     return j.select("subject", F.posexplode(items).alias("place", "m")).select("subject", F.col("place").cast("long").alias("place"), *[F.col(f"m.{c}").alias(c) for c in ("category", "label", "value", "date_text")])
 
 
-@query("select 'full' as mode, count(*) as n, sha256(string_agg(distinct source, chr(10) order by source)) as codes from documents")
-def st_manifest(spark, sf_dir):
-    return store.manifest(table(spark, sf_dir, "documents"), "full", "source", "source").drop("files")
-
-
 @query(f"with {M} select category, count(*) as n from mentions group by category")
 def qry_category_distribution(spark, sf_dir):
     return mentions(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))

@@ -59,9 +59,11 @@ def record_mentions(raw: DataFrame) -> DataFrame:
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The newest row of each key over both tables; of equal versions, the change's."""
+    """The newest row of each key over both tables; of equal versions the change's, of equal changes the one whose columns
+    hash highest, so that the result does not hang on the order of rows."""
     both = current.withColumn("__from", F.lit(0)).unionByName(changes.withColumn("__from", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("__from"))
+    rest = [F.to_json(F.struct(c)) for c in sorted(both.columns) if c != "__from"]
+    w = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("__from"), F.desc(F.xxhash64(*rest)))
     return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__from")
 
 
@@ -107,12 +109,6 @@ def write_inventory(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
-def manifest(documents: DataFrame, mode: str, code: str, file: str) -> DataFrame:
-    """One row: how many documents, and digests of the sorted codes and files."""
-    digest = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_set(c)), "\n").cast("binary"), 256)
-    return documents.agg(F.lit(mode).alias("mode"), F.count("*").alias("n"), digest(F.col(code).cast("string")).alias("codes"), digest(F.col(file).cast("string")).alias("files"))
-
-
 def union_adapters(parts: dict[str, DataFrame | None]) -> tuple[DataFrame | None, list[tuple[str, str]]]:
     """(blocks of all adapters, status of each): an adapter that isn't there is a status row, never a failure."""
     out, status = None, []

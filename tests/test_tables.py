@@ -1,6 +1,7 @@
 """Invariants of the merge, the store and the stream."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -66,10 +67,27 @@ def test_upsert_and_folder(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, small, tmp_path):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    docs.repartition(3).write.parquet(str(tmp_path / "in"))
-    q = ingest.ingest_stream(spark, str(tmp_path / "in"), docs.schema.simpleString()[7:-1].replace(":", " "), str(tmp_path / "out"), str(tmp_path / "check"))
-    q.awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "text_hash", "word_count").collect()
-    want = ingest.page_ledger(docs).select("doc_id", "text_hash", "word_count").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    """Three overlapping files, a micro-batch each, and one sent again give what one upsert gives."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", F.lit(1).alias("version"))
+    parts = [docs.where("doc_id < 120"), docs.where("doc_id between 60 and 160").withColumns({"version": F.lit(3), "text": F.concat("text", F.lit(" again"))}), docs.where("doc_id > 20").withColumn("version", F.lit(2))]
+    for i, p in enumerate(parts):
+        p.coalesce(1).write.parquet(str(tmp_path / f"w{i}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        next((tmp_path / f"w{i}").glob("part-*")).rename(tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1000 + i, 1000 + i))
+    target = str(tmp_path / "out")
+    ingest.ingest_stream(spark, str(tmp_path / "in"), "doc_id long, text string, version int", target, str(tmp_path / "check"), ["doc_id"], "version", 1).awaitTermination(120)
+    want = ingest.page_ledger(parts[0].limit(0))
+    for p in parts:
+        want = store.upsert(want, ingest.page_ledger(p), ["doc_id"], "version")
+    rows = lambda df: sorted(tuple(r) for r in df.select("doc_id", "version", "text_hash", "word_count").collect())
+    assert rows(ingest.read_snapshot(spark, target)) == rows(want)
+    ingest.merge_batch(ingest.page_ledger(spark.read.parquet(str(tmp_path / "in" / "2.parquet"))), 2, target, ["doc_id"], "version")
+    assert rows(ingest.read_snapshot(spark, target)) == rows(want)
+    assert rows(ingest.read_snapshot(spark, target, 1)) == rows(ingest.page_ledger(parts[0]))
+
+
+def test_upsert_is_settled(spark):
+    rows = [(1, "a", 1), (1, "b", 1), (1, "c", 1), (2, None, 1), (2, "x", 1)]
+    got = {tuple(sorted(tuple(r) for r in store.upsert(spark.createDataFrame([], "k int, v string, n int"), spark.createDataFrame(rows[i:] + rows[:i], "k int, v string, n int"), ["k"], "n").collect())) for i in range(5)}
+    assert len(got) == 1
