@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 from notewright.llm.common import durable, fresh_names, spread_join, text_bytes
 
 WIDTH = 8
-#: Items shorter than a window are matched as a whole, down to this many tokens. Yet shorter ones, which stand in any
+#: Items shorter than a window are matched as a whole, down to this many words. Yet shorter ones, which stand in any
 #: prose, are never matched.
 LEAST_TOKENS = 4
+#: What stands around a copy can change the first two template tokens and the last one (a name that begins a sentence, a
+#: run of names). Items of fewer tokens than this could fail for that, so they are sought word for word too.
+WORDWISE_TOKENS = 15
 #: Item tokens that consistent windows must cover, or this share of the item if that is less.
 COVER_TOKENS, COVER_SHARE = 13, 0.8
 #: Windows with a smaller share of literals are hashed with the values of their slots: they match word for word only.
@@ -108,9 +111,30 @@ def windows(table: DataFrame, id_col: str, text_col: str, widths: list[int], who
     """(id, pos, width, hash, slots, n_tokens) of template windows; ``keep``: a bit table that hashes must hit.
 
     With ``whole_short`` a text shorter than the greatest width gives one window of its own length instead. Positions
-    and lengths count tokens, of which a run of names is one.
+    and lengths count tokens, of which a run of names is one. Negative widths are windows of words as they stand,
+    whose positions and lengths count words; with ``whole_short`` texts of few tokens give those as well.
     """
 
+    def packed(names: np.ndarray, place: np.ndarray, width: int, h: np.ndarray, values: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+        each = len(values) // max(len(names), 1)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(names),
+                pa.array(place.astype(np.int32)),
+                pa.array(np.full(len(names), width, np.int32)),
+                pa.array(h.view(np.int64)),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32) * each), pa.array(values)),
+                pa.array(lengths.astype(np.int32)),
+            ],
+            ["id", "pos", "width", "hash", "slots", "n_tokens"],
+        )
+
+    def held(h: np.ndarray, good: np.ndarray) -> np.ndarray:
+        if keep is not None:
+            low = h & np.uint64(64 * len(keep) - 1)
+            good = good & ((keep[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1)
+        return np.flatnonzero(good)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon()
         pending: list[tuple[int, np.ndarray]] = []
@@ -121,6 +145,7 @@ def windows(table: DataFrame, id_col: str, text_col: str, widths: list[int], who
             lengths = np.array([len(x) for _, x in pending])
             ids = np.concatenate([x for _, x in pending])
             owner = np.repeat(np.arange(len(pending)), lengths)
+            word_owner, word_lengths = owner, lengths
             begins, tokens, slots = template(ids, np.concatenate(([True], owner[1:] != owner[:-1])), lexicon)
             owner = owner[begins]
             lengths = np.bincount(owner, minlength=len(pending))
@@ -128,7 +153,7 @@ def windows(table: DataFrame, id_col: str, text_col: str, widths: list[int], who
             valued = np.where(slots == 0, tokens, slots * _STEP)
             literal = np.concatenate(([0], np.cumsum(slots == 0)))
             names = np.array([k for k, _ in pending], np.int64)
-            for width in widths:
+            for width in (w for w in widths if w > 0):
                 n = len(owner) - width + 1
                 if n <= 0:
                     continue
@@ -137,24 +162,26 @@ def windows(table: DataFrame, id_col: str, text_col: str, widths: list[int], who
                 if whole_short:
                     good &= (lengths[owner[:n]] == width) | (width == max(widths))
                 h = np.where(told, window_hashes(tokens, width), window_hashes(valued, width))
-                if keep is not None:
-                    low = h & np.uint64(64 * len(keep) - 1)
-                    good &= (keep[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
-                hit = np.flatnonzero(good)
+                hit = held(h, good)
                 for at in range(0, len(hit), 20_000):
                     some = hit[at : at + 20_000]
                     values = slots[some[:, None] + np.arange(width)].view(np.int64).ravel()
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(names[owner[some]]),
-                            pa.array(place[some].astype(np.int32)),
-                            pa.array(np.full(len(some), width, np.int32)),
-                            pa.array(h[some].view(np.int64)),
-                            pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * width), pa.array(values)),
-                            pa.array(lengths[owner[some]].astype(np.int32)),
-                        ],
-                        ["id", "pos", "width", "hash", "slots", "n_tokens"],
-                    )
+                    yield packed(names[owner[some]], place[some], width, h[some], values, lengths[owner[some]])
+            wordwise = range(LEAST_TOKENS, WIDTH + 1) if whole_short else [-w for w in widths if w < 0]
+            for width in wordwise:
+                n = len(word_owner) - width + 1
+                if n <= 0:
+                    continue
+                good = word_owner[:n] == word_owner[width - 1 :]
+                if whole_short:
+                    good &= (lengths[word_owner[:n]] < WORDWISE_TOKENS) & (np.minimum(word_lengths[word_owner[:n]], WIDTH) == width)
+                h = window_hashes(lexicon.columns()[1][ids], width)
+                hit = held(h, good)
+                first = np.cumsum(word_lengths) - word_lengths
+                for at in range(0, len(hit), 20_000):
+                    some = hit[at : at + 20_000]
+                    who = word_owner[some]
+                    yield packed(names[who], some - first[who], -width, h[some], np.zeros(0, np.int64), word_lengths[who])
             pending.clear()
 
         n_words = 0
@@ -199,8 +226,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     slots_changed (true if a number, unit or name differs from the item's: a re-parameterised question).
 
     A pair counts if consistent windows cover COVER_TOKENS of the item's tokens, or COVER_SHARE of a shorter item. Items
-    under LEAST_TOKENS tokens match nothing. Windows that are mostly numbers and names match word for word only; so an
-    item made of such windows is found as a copy, not with new values. Null or empty texts and rows with a null id
+    under LEAST_TOKENS words match nothing. Items of few tokens, such as lists of names, are sought word for word as
+    well; then covered and item_tokens count words. Windows that are mostly numbers and names match word for word only;
+    so an item made of such windows is found as a copy, not with new values. Null or empty texts and rows with a null id
     match nothing; rows that share an id, equal or not, count as one document's parts; texts of any length are read
     whole; an empty table on either side gives an empty result; other columns, whatever their names, are not read.
     The benchmark, of any size, is joined by hash, a window that many documents hold being dealt to several tasks, and
@@ -228,12 +256,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     good = torn.select("doc_id", "item_id", "item_tokens", F.explode(kept).alias("w")).select("doc_id", "item_id", "item_tokens", "w.item_pos", "w.width", "w.changed")
     # one row for each window of the item first, so that a document that repeats it adds nothing to the lists
     hits = good.groupBy("doc_id", "item_id", "item_pos", "width", "item_tokens").agg(F.count("*").alias("n"), F.min("changed").alias("changed"))
-    spans = F.array_distinct(F.flatten(F.collect_list(F.sequence("item_pos", F.col("item_pos") + F.col("width") - 1))))
-    per_pair = hits.groupBy("doc_id", "item_id", "item_tokens").agg(
+    spans = F.array_distinct(F.flatten(F.collect_list(F.sequence("item_pos", F.col("item_pos") + F.abs("width") - 1))))
+    per_kind = hits.groupBy("doc_id", "item_id", "item_tokens", (F.col("width") < 0).alias("wordwise")).agg(
         F.sum("n").alias("n_windows"), F.size(spans).alias("covered"), F.max("changed").alias("slots_changed")
     )
     enough = F.col("covered") >= F.least(F.lit(COVER_TOKENS), F.ceil(F.col("item_tokens") * COVER_SHARE))
-    return per_pair.where(enough).select("doc_id", "item_id", "n_windows", F.col("covered").cast("long"), F.col("item_tokens").cast("long"), "slots_changed")
+    per_pair = per_kind.where(enough).groupBy("doc_id", "item_id").agg(F.min(F.struct("wordwise", "n_windows", "covered", "item_tokens", "slots_changed")).alias("k"))
+    return per_pair.select("doc_id", "item_id", "k.n_windows", F.col("k.covered").cast("long").alias("covered"), F.col("k.item_tokens").cast("long").alias("item_tokens"), "k.slots_changed")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,6 +34,29 @@ def test_short_items_match_whole(spark):
     assert set(got) == {(1, 1)}
 
 
+NAMES = "Alice Bob Carol Dave Erin Frank Grace Heidi Ivan Judy Mallory Niaj Olivia Peggy Rupert Sybil".split()
+DENSE = {
+    1: "we saw " + " ".join(NAMES[:10]),
+    2: "Name " + " ".join(NAMES),
+    3: "Alice Bob Carol Dave Erin",
+    4: "Sort 14 3 27 8 91 6 and 52",
+    5: "Alice gave Bob 3 kg of apples",
+    6: "Was Grace Heidi or Ivan the founder of Judy Mallory and Peggy",
+}
+
+
+def test_items_dense_in_names_are_found_as_copies(spark):
+    """Whatever stands around a copy, a name before or after it included, and whatever its number of tokens."""
+    around = [("", ""), ("it is said that ", " and so on and on"), ("yesterday Rupert Olivia ", " Niaj Peggy came"), ("One. ", ". Two."), ("at 12 ", " 13 kg of it")]
+    docs = [(100 * k + i, f"{a}{t}{b}", 1, "w") for k, t in DENSE.items() for i, (a, b) in enumerate(around)]
+    docs += [(9, "we saw Xaver Yann Zoe Walter Victor today", 1, "w"), (8, "Sort 15 3 28 8 91 7 and 53", 1, "w"), (7, "Name is nothing but a name", 1, "w")]
+    got = found(spark, docs, [*DENSE.items(), (50, "Alice Bob Carol")])
+    assert {(100 * k + i, k) for k in DENSE for i in range(len(around))} <= set(got)
+    assert not {d for d, _ in got} & {7, 8, 9} and not any(i == 50 for _, i in got)
+    left = d.without_leaks(spark.createDataFrame([(r[0], r[1]) for r in docs], "doc_id long, text string"), spark.createDataFrame(list(DENSE.items()), "item_id long, text string"))
+    assert {r["doc_id"] for r in left.collect()} == {7, 8, 9}
+
+
 def test_empty_tables_and_filter_stage(spark):
     docs = spark.createDataFrame([(1, ITEM), (2, "no"), (None, ITEM)], "doc_id long, text string")
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
