@@ -6,30 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.functions import scores, vocab
-from notewright.functions.text import filled, nz, section_title
+from notewright.functions.text import filled, nz, section_title, whitespace
 
 KEY = ["k_category", "k_label", "k_norm", "k_date"]
 
 
-def merge_keys() -> dict[str, Column]:
-    """The four parts of a mention's identity, lower-cased."""
-    c = F.col
-    return {
-        "k_category": F.lower(F.coalesce(nz(c("category")), F.lit("unknown"))),
-        "k_label": F.lower(filled("label")),
-        "k_norm": F.lower(F.coalesce(nz(c("normalized_value")), filled("value"))),
-        "k_date": F.lower(filled("date_text")),
-    }
+def normalized_mentions(mentions: DataFrame) -> DataFrame:
+    """``mentions`` with their text fields normalised and defaults filled, and the four parts of their identity, lower-cased.
+
+    The category is unknown by default, the normalised value the value, and the identity is taken from these; then
+    the label is the category by default, the value the normalised value, and the certainty, lower-cased, unknown.
+    """
+    text = lambda name: whitespace(F.col(name))
+    bare = mentions.withColumns({c: text(c) for c in ("category", "label", "value", "normalized_value", "date_text", "evidence_quote")})
+    bare = bare.withColumns({"category": F.coalesce(nz(F.col("category")), F.lit("unknown")), "normalized_value": F.coalesce(nz(F.col("normalized_value")), F.col("value"))})
+    keyed = bare.withColumns({k: F.lower(c) for k, c in zip(KEY, ("category", "label", "normalized_value", "date_text"))})
+    return keyed.withColumns(
+        {
+            "label": F.coalesce(nz(F.col("label")), F.col("category")),
+            "value": F.coalesce(nz(F.col("value")), F.col("normalized_value")),
+            "certainty": F.lower(F.coalesce(F.col("certainty").cast("string"), F.lit("unknown"))),
+        }
+    )
 
 
 def merge_mentions(mentions: DataFrame, subject: str = "subject", seq: str = "seq") -> DataFrame:
-    """One row per subject and identity. Spelling, certainty and date come from the first mention by ``seq``; the
-    quote, and the attributes (a map) if there are any, are the first that aren't empty; pages, evidence, artifacts (if
-    there are any) and origins are sorted unions. Equal keys combine map-side; lists are gathered only inside one
-    identity."""
+    """One row per subject and identity of ``normalized_mentions``. Spelling, certainty and date come from the first
+    mention by ``seq``; the quote, and the attributes (a map) if there are any, are the first that aren't empty; pages,
+    evidence, artifacts (if there are any) and origins are sorted unions. Equal keys combine map-side; lists are gathered
+    only inside one identity."""
     first = lambda name: F.min_by(name, seq).alias(name)
     union = lambda name, to: F.array_sort(F.collect_set(name)).alias(to)
-    keyed = mentions.withColumns(merge_keys())
+    keyed = normalized_mentions(mentions)
     more = []
     if "attributes" in mentions.columns:
         more.append(F.min_by("attributes", F.when(F.size("attributes") > 0, F.col(seq))).alias("attributes"))

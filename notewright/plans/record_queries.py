@@ -12,7 +12,7 @@ from notewright.session import table
 
 M = f"mentions as materialized ({MENTIONS_SQL})"
 KEYED = f"""{M}, keyed as (select *, lower(coalesce(nullif(category, ''), 'unknown')) as k_category, lower(label) as k_label, lower(coalesce(nullif(normalized_value, ''), value)) as k_norm, lower(date_text) as k_date from mentions),
- merged as materialized (select subject, k_category, k_label, k_norm, k_date, arg_min(label, seq) as label, arg_min(value, seq) as value, arg_min(normalized_value, seq) as normalized_value, arg_min(date_text, seq) as date_text,
+ merged as materialized (select subject, k_category, k_label, k_norm, k_date, arg_min(label, seq) as label, arg_min(value, seq) as value, arg_min(coalesce(nullif(normalized_value, ''), value), seq) as normalized_value, arg_min(date_text, seq) as date_text,
  arg_min(certainty, seq) as certainty, min(seq) as seq, count(*) as n_raw, list_sort(list_distinct(list(page))) as pages, list_sort(list_distinct(list(evidence_id))) as evidence, list_sort(list_distinct(list(origin))) as origins,
  arg_min(evidence_quote, seq) filter (where evidence_quote <> '') as quote from keyed group by all)"""
 IDENTITY = "lower(concat_ws('::', k_category, label, coalesce(nullif(normalized_value, ''), value), date_text))"
