@@ -200,19 +200,22 @@ def train(rows: list[tuple[bytes, int]], class_counts: dict[int, int], seed: int
         model.params["w"][:] = 0
         model.final = np.array([np.log(share / (1 - share)), 0, 0, 0, 0])
         return model
-    tokens = [[bare(w) for w in words_of_text(t)] for t, _ in rows]
-    seen: dict[bytes, int] = {}
-    for words in tokens:
-        for w in set(words):
-            seen[w] = seen.get(w, 0) + 1
-    vocab = {w: i + 1 for i, w in enumerate(sorted(w for w, n in seen.items() if n >= LEAST_DOCS))}
-    every = sorted(seen)
-    index = {w: i + 1 for i, w in enumerate(every)}
+    # words become numbers as they are read: a list of all tokens would be most of the driver's memory
+    met: dict[bytes, int] = {}
+    coded = [np.fromiter((met.setdefault(bare(w), len(met)) for w in words_of_text(t)), np.int32) for t, _ in rows]
+    texts_with = np.zeros(len(met), np.int64)
+    for numbers in coded:
+        texts_with[np.unique(numbers)] += 1
+    every = sorted(met)
+    vocab = {w: i + 1 for i, w in enumerate(w for w in every if texts_with[met[w]] >= LEAST_DOCS)}
+    place_of = np.empty(len(met), np.int32)
+    place_of[[met[w] for w in every]] = np.arange(1, len(every) + 1, dtype=np.int32)
+    coded = [place_of[numbers] for numbers in coded]
+    del met
     word_ids = np.array([0, *[vocab.get(w, 0) for w in every]], np.int64)
     grams, owner, count = gram_bags(every)
     begin = np.cumsum(count) - count
     model = Model(rnn.new_params(len(vocab) + 1, GRAMS, WIDTH, HIDDEN, seed), vocab)
-    coded = [np.fromiter((index[w] for w in words), np.int64, len(words)) for words in tokens]
     learn = [i for i in range(len(rows)) if i % 4]
     weight_of = {c: (class_counts[c] / total) / (have[c] / len(rows)) for c in (0, 1)}
     optimiser = rnn.Adam(model.params, RATE)
@@ -222,12 +225,13 @@ def train(rows: list[tuple[bytes, int]], class_counts: dict[int, int], seed: int
         starts = window_starts(len(coded[i]))
         at = starts[:, None] + place[None]
         ok = at < len(coded[i])
-        padded = np.concatenate((coded[i], np.zeros(WINDOW, np.int64)))
-        ids.append(np.where(ok, padded[at], 0).astype(np.int32))
+        padded = np.concatenate((coded[i], np.zeros(WINDOW, np.int32)))
+        ids.append(np.where(ok, padded[at], 0))
         present.append(ok)
         label.append(np.full(len(starts), rows[i][1], np.float32))
         weigh.append(np.full(len(starts), min(1.0, TEXT_WEIGHT / len(starts)), np.float32))
     ids_all, present_all, label_all, weight_all = map(np.concatenate, (ids, present, label, weigh))
+    del ids, present, label, weigh, coded
     for epoch in range(EPOCHS):
         order = rng.permutation(len(ids_all))
         optimiser.rate = RATE * (1.0, 0.5, 0.2, 0.1)[min(epoch, 3)]
