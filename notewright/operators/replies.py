@@ -53,7 +53,7 @@ def _quoted(text: str, i: int, closers: str) -> tuple[str, int]:
 def tolerant_json(text: str):
     """The object or list that starts at the first brace or bracket of ``text``, read in one pass; None without one.
 
-    Commas and colons may be missing or too many, a closer without its opener is skipped, one that closes an outer
+    Commas may be too many, or missing behind a string or a container; a closer without its opener is skipped, one that closes an outer
     container closes the inner ones too, and the end of the text closes all. A key without a value is null.
     """
     start = re.search(r"[{\[]", text)
