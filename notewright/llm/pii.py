@@ -2,12 +2,19 @@
 
 Four expressions find base spans. Their values are the seeds: the words around them are patterns, and a graph of
 patterns and the values they surround is scored in rounds. A pattern is trusted for a kind when most of the distinct
-values it surrounds are known to be of that kind; a value is taken up when the patterns around it make it likely.
-Trusted patterns so find identifiers that no expression describes.
+values it surrounds are known to be of that kind; a value is taken up when the patterns around it make it likely and its
+own shape can be of the kind. Trusted patterns so find identifiers that no expression describes.
+
+A pattern is made of words in lower case, without marks; tokens with a digit or an at sign are one placeholder. It is the
+two words before, the two after, the one before with the one after, the one before with the third before (what stands
+between is skipped), or a label with its colon or equals sign. One without any letter is no pattern.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +32,15 @@ EXPRESSIONS = {
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9]"}
 #: A possible identifier: a token with a digit or an at sign, and number groups that follow it after one space.
 CANDIDATE = r"(?<![^\s\"'<>,;=])[^\s\"'<>,;=]*[0-9@][^\s\"'<>,;=]*(?: \(?[0-9][0-9().-]*)*"
+#: What a value taken up for a kind must look like: an address three letters, an ip four groups, a number its digits.
+SHAPES = {
+    "email": r"^(?=(?:.*\p{L}){3}).{6,}$",
+    "ip": r"^(?=.*[0-9])[0-9a-f]*(?:[.:][0-9a-f]*){3,}$",
+    "card": r"^(?:[^\p{L}0-9]*[0-9]){12,19}[^\p{L}0-9]*$",
+    "phone": r"^(?:[^\p{L}0-9]*[0-9]){7,15}[^\p{L}0-9]*$",
+}
+#: A word with a colon or equals sign right before a value, and perhaps an opening mark.
+LABEL = r"(\p{L}[\p{L}\p{M}0-9_-]*)\s*[:=]\s*[\"'(\[]?$"
 #: Rounds go on until nothing is taken up or given up and the beliefs stand still; so many end them in any case.
 MOST_ROUNDS = 50
 #: A pattern is trusted with so many distinct known values of a kind, if they are this share of all it surrounds.
@@ -110,9 +126,31 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _words(text: Column) -> Column:
+    """The words of a text with one space between, tokens with a digit or an at sign as 0."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\S*[0-9@]\S*", " 0 "), r"[^\p{L}\p{M}0]+", " "))
+
+
+def _patterns(around: Column) -> Column:
+    """The patterns that the words around a value make: all their words are there, and one has a letter."""
+    before, after = around["l"], around["r"]
+    one, two, three, next_one, next_two = F.get(before, F.lit(0)), F.get(before, F.lit(1)), F.get(before, F.lit(2)), F.get(after, F.lit(0)), F.get(after, F.lit(1))
+
+    def made(mark: str, *words: Column) -> Column:
+        whole = F.concat(F.lit(mark), *[x for w in words for x in (F.lit("|"), F.nullif(w, F.lit("")))])
+        return F.when(F.substring(whole, len(mark) + 1, CONTEXT_CHARS * 2 + 2).rlike(r"\p{L}"), whole)
+
+    return F.array_compact(F.array(made("L", two, one), made("M", one, next_one), made("R", next_one, next_two), made("G", three, one), made("K", around["label"])))
+
+
+def shaped(value: Column, k: Column) -> Column:
+    """Whether a value can be of the kind with index k by its shape."""
+    return F.coalesce(*[F.when(k == i, value.rlike(SHAPES[kind])) for i, kind in enumerate(KINDS)])
+
+
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, base, others): the base spans of each text by kind and start, and the possible identifiers outside
-    them; each with its value, lower-cased, and the two context patterns around it."""
+    them; each with its value, lower-cased, and the context patterns around it."""
     s = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     s = s.withColumn("some", F.col("t").rlike("[0-9@]"))
     steps = {**EXPRESSIONS, "other": CANDIDATE}
@@ -157,22 +195,25 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         low = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
         left = F.lower(_between(F.col("parts"), low, x["start"]))
         right = F.lower(_between(F.col("parts"), x["end"], x["end"] + CONTEXT_CHARS))
-        two, one = F.regexp_extract(left, r"(\S+\s+\S+)\s*\S?$", 1), F.regexp_extract(left, r"(\S+)\s*$", 1)
-        after = F.regexp_extract(right, r"^\S*\s+(\S+)", 1)
-        return F.struct(
-            x["k"].alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"),
-            F.array(F.concat(F.lit("L|"), two), F.concat(F.lit("M|"), one, F.lit("|"), after)).alias("patterns"),
-        )
+        # a value's own token ends at white space
+        around = F.struct(
+            F.regexp_extract(left, LABEL, 1).alias("label"),
+            F.reverse(F.split(_words(left), " ")).alias("l"),
+            F.split(_words(F.regexp_replace(right, r"^\S+", "")), " ").alias("r"),
+        )
+        patterns = F.get(F.transform(F.array(around), _patterns), F.lit(0))
+        return F.struct(x["k"].alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), patterns.alias("patterns"))
 
     return s.select("doc_id", F.xxhash64("t").alias("text_hash"), F.transform("base", context).alias("base"), F.transform(trimmed, context).alias("others"))
 
 
-def score_graph(edges: DataFrame, known: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
-    """Values taken up beyond the ``known`` ones: (value, k, belief).
+def score_graph(edges: DataFrame, known: DataFrame, rounds: int = MOST_ROUNDS, fits: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Values taken up beyond the ``known`` ones: (value, k, belief). Only a value that ``fits`` a kind is taken up for it.
 
     ``edges``: distinct (pattern, value). ``known``: (value, k). Every round sums over distinct edges with map-side
     partial sums; the edges of a common value or pattern stream through joins with one row of the other side, which
-    adaptive execution splits where they are skewed. Rounds go on to the fixed point.
+    adaptive execution splits where they are skewed. Rounds go on to the fixed point; where kinds take values from each
+    other by turns there is none, and a warning says that the last round's result is returned.
     """
     patterns = edges.groupBy("pattern").agg(F.count("*").alias("n"))
     seeds = known.withColumn("belief", F.lit(1.0))
@@ -182,6 +223,8 @@ def score_graph(edges: DataFrame, known: DataFrame, rounds: int = MOST_ROUNDS) -
         trusted = held.where(F.col("f") >= LEAST_KNOWN).join(patterns, "pattern").withColumn("share", F.col("w") / F.col("n")).where(F.col("share") >= LEAST_SHARE)
         votes = edges.join(trusted.select("pattern", "k", "share"), "pattern")
         taken = votes.groupBy("value", "k").agg((1 - F.exp(F.sum(F.ln(1 - F.least("share", F.lit(0.999)))))).alias("belief"))
+        if fits is not None:
+            taken = taken.where(fits(F.col("value"), F.col("k")))
         best = taken.groupBy("value").agg(F.max(F.struct("belief", (-F.col("k")).alias("k"))).alias("b"))
         best = best.where(F.col("b.belief") >= LEAST_BELIEF).select("value", (-F.col("b.k")).alias("k"), F.col("b.belief").alias("belief"))
         new = durable(best.join(known.select("value").distinct(), "value", "left_anti"))
@@ -189,6 +232,8 @@ def score_graph(edges: DataFrame, known: DataFrame, rounds: int = MOST_ROUNDS) -
         if before is not None and (now["n"], now["h"]) == (before["n"], before["h"]) and abs(now["b"] - before["b"]) < 1e-3:
             break
         believed, before = seeds.unionByName(new), now
+    else:
+        warnings.warn(f"beliefs had not settled after {rounds} rounds", stacklevel=2)
     return new
 
 
@@ -203,14 +248,15 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A span is (k: index in KINDS, start, end, value), in code points, end exclusive. Null and empty texts have none;
     repeated rows each get their row, and count once as evidence; a null id is passed on; rows that share an id are told
     apart by their text. Texts of any length are read whole. Other columns, whatever their names, are not read; an empty
-    table gives an empty result. A value that two kinds of patterns claim alike is of the first kind.
+    table gives an empty result. A value that two kinds of patterns claim alike is of the first kind whose shape it has. A
+    text that is nothing but a value, or has no word near it, makes no pattern.
     """
     marked = durable(base_spans(docs, id_col, text_col))
     row = ["doc_id", "text_hash"]
     flat = marked.select(*row, F.explode(F.concat("base", "others")).alias("x")).select(*row, "x.*").where("value <> ''")
     edges = durable(flat.select(F.explode("patterns").alias("pattern"), "value").distinct())
     known = durable(flat.where("k >= 0").select("value", "k").distinct().groupBy("value").agg(F.min("k").alias("k")))
-    taken = score_graph(edges, known).select("value", F.col("k").alias("kind"))
+    taken = score_graph(edges, known, fits=shaped).select("value", F.col("k").alias("kind"))
     added = flat.where("k < 0").join(taken, "value").select(*row, F.struct(F.col("kind").alias("k"), "start", "end", "value").alias("x"))
     by_row = added.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.sort_array(F.collect_set("x")).alias("found"))
     plain = F.transform("base", lambda x: F.struct(x["k"].alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))

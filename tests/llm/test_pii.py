@@ -141,3 +141,79 @@ def test_redaction_and_edges(spark):
 def test_redaction_unites_overlapping_spans(spark):
     df = spark.createDataFrame([(1, "call +1 555 123 4567john@x.com now")], "doc_id long, text string")
     assert [r["text"] for r in pii.redact(df).collect()] == ["call [phone] now"]
+
+
+def test_contexts_without_words_teach_nothing(spark):
+    """Bare addresses, and addresses between bars or numbers, make no lone number an address."""
+    rows = [(i, f"user{i}@mail.com") for i in range(6)] + [(10 + i, f"| u{i}@mail.org | 12 |") for i in range(6)]
+    clean = {30: "4.0", 31: "2024", 32: "chapter 7", 33: "| 77 | 12 |", 34: "| 4.0 | 12 |"}
+    df = spark.createDataFrame(rows + sorted(clean.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.span_digest(pii.find_personal_data(df)).collect()}
+    assert all(got[d] == "" for d in clean) and all(got[d].startswith("email:") for d, _ in rows)
+
+
+def test_shapes_bar_values_of_another_type(spark):
+    """A trusted context takes up what can be of its kind, not the times, years and amounts that stand there too."""
+    rows = [(i, f"please write to user{i}@mail.com today") for i in range(9)]
+    rows += [(20, "please write to jane77(a)corp.example today"), (21, "please write to 4.0 today"), (22, "please write to 5pm today")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.span_digest(pii.find_personal_data(df)).collect()}
+    assert got[20] == "email:16:37" and got[21] == "" and got[22] == ""
+
+
+FRAMES = {
+    "email": ["send the files to {} before noon", "E-Mail: {}", "her address is {} since may", "contact = \"{}\""],
+    "ip": ["the login came from host {} last night", "server: {}", "blocked at {} by rule", "traffic of node {} rose"],
+    "card": ["paid with card number {} on friday", "Card: {}", "please charge my card {} twice", "the card {} was refused"],
+    "phone": ["call me under {} after five", "Tel: {}", "our office number is {} weekdays", "ring {} for help"],
+}
+
+
+def planted(seed):
+    """Texts in which known and unknown identifiers share contexts, and others with numbers that are none: (texts, unknown, number of others)."""
+    r = random.Random(seed)
+    filler = "light stone river seven walks under amber clouds while paper boats drift toward silent harbour lamps".split()
+
+    def number(n):
+        return "".join(r.choice("0123456789") for _ in range(n))
+
+    def card(good):
+        while True:
+            d = r.choice("45") + number(15)
+            if luhn(d) == good:
+                return d
+
+    seen = {"email": lambda: f"p{number(5)}@mail.example", "ip": lambda: ".".join(str(r.randrange(256)) for _ in range(4)), "card": lambda: card(True), "phone": lambda: f"+1 ({number(3)}) 555-{number(4)}"}
+    unseen = {"email": lambda: f"p{number(5)}(at)mail.example", "ip": lambda: f"{r.randrange(300, 900)}.{r.randrange(256)}.{r.randrange(256)}.7", "card": lambda: card(False), "phone": lambda: f"0{number(3)}-555-{number(4)}"}
+    texts, unknown, others = [], [], 0
+    for kind, frames in FRAMES.items():
+        for n in range(240):
+            hidden = n % 6 == 0
+            value = (unseen if hidden else seen)[kind]()
+            head = " ".join(r.choices(filler, k=r.randrange(3, 9))) + ". " + r.choice(frames).split("{}")[0]
+            frame = next(f for f in frames if head.endswith(f.split("{}")[0]))
+            tail = frame.split("{}")[1] + ". " + " ".join(r.choices(filler, k=5))
+            if hidden:
+                unknown.append((len(texts), f"{kind}:{len(head)}:{len(head) + len(value)}"))
+            texts.append(head + value + tail)
+    decoys = ["order {} was shipped", "in the year {} they met", "page {} of the book", "serial {} of lot", "version {} is out"]
+    for _ in range(300):
+        value = r.choice([lambda: number(4), lambda: number(16), lambda: f"{number(1)}.{number(1)}", lambda: number(9), lambda: f"A{number(6)}"])()
+        text = " ".join(r.choices(filler, k=6)) + " " + r.choice(decoys).format(value) + " " + " ".join(r.choices(filler, k=4))
+        others += not brute(text)
+        texts.append(text)
+    return texts, unknown, others
+
+
+def test_recall_and_precision_on_planted_identifiers(spark):
+    texts, unknown, others = planted(3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    added = set()
+    for row in pii.span_digest(pii.find_personal_data(df)).collect():
+        base = brute(texts[row["doc_id"]])
+        added |= {(row["doc_id"], x) for x in row["spans"].split(",") if x and x not in base}
+    hit = added & set(unknown)
+    print("planted", len(unknown), "added", len(added), "right", len(hit))
+    assert others > 250
+    assert len(hit) >= 0.9 * len(unknown)
+    assert len(hit) >= 0.95 * len(added)
