@@ -120,3 +120,18 @@ def union_adapters(parts: dict[str, DataFrame | None]) -> tuple[DataFrame | None
         out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
         status.append((name, "ok"))
     return out, status
+
+
+def dispatch_uploads(files: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(taken, refused): files with their route and their subject, the name without its ending; and the rows that are of
+    no known kind, with the error. A null path is refused."""
+    routed = files.withColumn("route", F.coalesce(upload_route(F.col(path)), F.lit("error")))
+    ending = F.coalesce(F.nullif(F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)), F.lit("")), F.lit("none"))
+    taken = routed.where("route <> 'error'").withColumn("subject", file_stem(F.col(path)))
+    return taken, routed.where("route = 'error'").drop("route").withColumn("error", F.concat(F.lit("unsupported file type: "), ending))
+
+
+def read_log(spark: SparkSession, path: str, stage: str | None = None) -> DataFrame:
+    """All rows appended to a log, or those of a stage."""
+    rows = spark.read.parquet(path)
+    return rows if stage is None else rows.where(F.col("stage") == stage)
