@@ -42,44 +42,100 @@ def exact_shares(weights: Mapping[str, float]) -> dict[str, int]:
     return {s: x // common for s, x in whole.items()}
 
 
-def edf_phase(share: Mapping[str, int], left: Mapping[str, int]) -> list[str]:
-    """Earliest deadline first: the source that runs in each slot, up to the slot in which the first source has run
-    all the blocks that it has left."""
-    if len(share) == 1:
-        (only,) = share
-        return [only] * left[only]
-    period = sum(share.values())
-    waiting = [(0, -(-period // k), s, 0) for s, k in sorted(share.items())]
-    heapq.heapify(waiting)
+class _Standing:
+    """Sources that still have blocks, heaviest first: runs of equal weight, by name within a run. A source or a run
+    leaves in constant time, so a phase costs what runs in it and not what stands by."""
+
+    def __init__(self, whole: Mapping[str, int]) -> None:
+        self.total = sum(whole.values())
+        self.weight = dict(whole)
+        self.after: dict[str, str | None] = {}
+        self.before: dict[str, str | None] = {}
+        self.head: dict[int, str | None] = {}
+        last: dict[int, str] = {}
+        for s in sorted(whole):
+            w = whole[s]
+            self.after[s], self.before[s] = None, last.get(w)
+            if w in last:
+                self.after[last[w]] = s
+            else:
+                self.head[w] = s
+            last[w] = s
+        runs = sorted(self.head, reverse=True)
+        self.lighter: dict[int, int | None] = dict(zip(runs, [*runs[1:], None], strict=True))
+        self.heavier: dict[int, int | None] = dict(zip(runs, [None, *runs[:-1]], strict=True))
+        self.heaviest = runs[0] if runs else None
+
+    def leave(self, s: str) -> None:
+        w, a, b = self.weight.pop(s), self.after.pop(s), self.before.pop(s)
+        self.total -= w
+        if a is not None:
+            self.before[a] = b
+        if b is not None:
+            self.after[b] = a
+        else:
+            self.head[w] = a
+        if self.head[w] is None:
+            del self.head[w]
+            lighter, heavier = self.lighter.pop(w), self.heavier.pop(w)
+            if lighter is not None:
+                self.heavier[lighter] = heavier
+            if heavier is not None:
+                self.lighter[heavier] = lighter
+            else:
+                self.heaviest = lighter
+
+
+def _phase(standing: _Standing, left: dict[str, int], order: list[str]) -> None:
+    """One phase onto ``order``, and the source that ends it leaves. All first blocks may run at once and are due by weight, so a run of
+    equal weights enters the heap by its first source, and only when nothing in the heap is due before it."""
+    period, weight, begin = standing.total, standing.weight, len(order)
     ready: list[tuple[int, str, int]] = []
-    order: list[str] = []
+    waiting: list[tuple[int, int, str, int]] = []
+    run = standing.heaviest
     while True:
-        now = len(order)
+        now = len(order) - begin
         while waiting and waiting[0][0] <= now:
             _, due, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (due, s, j))
+        while run is not None and (not ready or -(-period // run) <= ready[0][0]):
+            heapq.heappush(ready, (-(-period // run), standing.head[run], 0))
+            run = standing.lighter[run]
         due, s, j = heapq.heappop(ready)
         if due < now + 1:
             raise AssertionError("a block missed its deadline")
+        if j == 0 and standing.after[s] is not None:
+            heapq.heappush(ready, (due, standing.after[s], 0))
         order.append(s)
-        if j + 1 == left[s]:
-            return order
-        release, due = (j + 1) * period // share[s], -(-(j + 2) * period // share[s])
+        left[s] -= 1
+        if not left[s]:
+            standing.leave(s)
+            return
+        w = weight[s]
+        release, due = (j + 1) * period // w, -(-(j + 2) * period // w)
         heapq.heappush(waiting, (max(release, now + 1), due, s, j + 1))
 
 
+def edf_phase(share: Mapping[str, int], left: Mapping[str, int]) -> list[str]:
+    """Earliest deadline first: the source that runs in each slot, up to the slot in which the first source has run
+    all the blocks that it has left."""
+    order: list[str] = []
+    _phase(_Standing(share), dict(left), order)
+    return order
+
+
 def plan_order(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[str]:
     """The source that runs in each slot until every block has run: one phase after another, each ending with the last
-    block of one of its sources. Sources without a weight come last, in the shares of their blocks."""
-    left = {s: n for s, n in blocks.items() if n > 0}
+    block of one of its sources. Sources without a weight come last, in the shares of their blocks. A phase touches
+    the sources that run in it, so the time grows with the blocks and not with phases times sources."""
     order: list[str] = []
-    while left:
-        active = {s: weights.get(s, 0.0) for s in left if weights.get(s, 0.0) > 0} or {s: float(blocks[s]) for s in left}
-        phase = edf_phase(exact_shares(active), left)
-        for s in phase:
-            left[s] -= 1
-        left = {s: n for s, n in left.items() if n}
-        order += phase
+    weighted = {s: weights[s] for s, n in blocks.items() if n > 0 and weights.get(s, 0.0) > 0}
+    others = {s: float(n) for s, n in blocks.items() if n > 0 and s not in weighted}
+    for group in (weighted, others):
+        if group:
+            left, standing = {s: blocks[s] for s in group}, _Standing(exact_shares(group))
+            while standing.weight:
+                _phase(standing, left, order)
     return order
 
 
@@ -109,7 +165,8 @@ def mix_sources(
     is an ordinary row, an empty text too. Nothing is dropped or repeated; an empty table gives an empty result.
     Columns named like one of the three are replaced, all others stay, whatever their names. Otherwise ranks are taken
     in hash buckets of about ``bucket_rows`` rows, and added up over the counts of the buckets, so no source meets in
-    one task. The driver holds one number a source and the plan; its time grows with the square of the sources.
+    one task. The driver holds one number a source and the plan; its time grows with blocks and sources, not with their
+    product.
     """
     spark = docs.sparkSession
     kept = docs.drop("mix_block", "mix_slot", "mix_position")

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 from fractions import Fraction
 
@@ -61,6 +62,24 @@ def test_plan_is_linear_in_the_blocks():
     assert Counter(order) == Counter(blocks)
 
 
+@pytest.mark.parametrize("weigh", [lambda i: math.sqrt(1000 + i), lambda i: 1.0, lambda i: 1.0 + i % 7])
+def test_twenty_thousand_sources_are_planned_in_seconds(weigh):
+    """Phases by the thousand, of all different, all equal and few different weights: no phase visits every source."""
+    blocks = {f"=s{i}": 1 + i % 6 for i in range(20_000)}
+    began = time.process_time()
+    order = mixing.plan_order(blocks, {s: weigh(i) for i, s in enumerate(blocks)})
+    assert time.process_time() - began < 20
+    assert Counter(order) == Counter(blocks)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_order_of_many_sources_with_ties_against_a_plain_scan(seed):
+    r = random.Random(100 + seed)
+    blocks = {f"=s{i}": r.randint(1, 4) for i in range(60)}
+    weights = {s: r.choice([1.0, 1.0, 2.0, 3.0, r.random() + 0.5, 0.0]) for s in blocks}
+    assert mixing.plan_order(blocks, weights) == brute_order(blocks, weights)
+
+
 def test_positions_are_whole_and_follow_the_plan(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for weights, plan_blocks in ((None, 10**6), ({"src1": 3.0, "src2": 1.0, "nowhere": 5.0}, 10**6), (None, 40)):
