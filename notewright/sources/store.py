@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from notewright.functions.text import strip
+
 RECORD = (
     "patient_code string, source_pdf string, page_count int, note_count int, review_flags array<string>, "
     "mentions array<struct<category:string,label:string,value:string,normalized_value:string,date_text:string,certainty:string,"
@@ -135,3 +139,22 @@ def read_log(spark: SparkSession, path: str, stage: str | None = None) -> DataFr
     """All rows appended to a log, or those of a stage."""
     rows = spark.read.parquet(path)
     return rows if stage is None else rows.where(F.col("stage") == stage)
+
+
+def add_increments(current: DataFrame, increments: DataFrame, key: str, counters: list[str]) -> DataFrame:
+    """``current`` with each row's counters raised by all increments of its key. Increments of one key add up before the
+    join, in any order; a null one adds nothing, one of a key without a row is lost, as an update of no row is."""
+    added = increments.groupBy(key).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"__{c}") for c in counters])
+    raised = {c: F.coalesce(c, F.lit(0)) + F.coalesce(f"__{c}", F.lit(0)) for c in counters}
+    return current.join(added, key, "left").withColumns(raised).drop(*[f"__{c}" for c in counters])
+
+
+def dataset_rows(payloads: DataFrame, payload: str, keywords: list[str], limit: int, longest: int = 700) -> DataFrame:
+    """(row_idx, text) of dataset pages ``{"rows": [{"row_idx": ..., "row": {"text": ...}}]}``: texts that hold any keyword
+    in any case, bare of white space at their ends, their first ``longest`` characters; the first ``limit`` by row_idx
+    and text, which is the feature. What is no such JSON gives no row."""
+    kind = "struct<rows:array<struct<row_idx:bigint,row:struct<text:string>>>>"
+    rows = payloads.select(F.inline(F.from_json(payload, kind)["rows"])).select("row_idx", strip(F.coalesce("row.text", F.lit(""))).alias("text"))
+    low = F.lower("text")
+    hit = reduce(lambda a, b: a | b, [F.contains(low, F.lit(k.lower())) for k in keywords], F.lit(False))
+    return rows.where(hit).select("row_idx", F.left("text", F.lit(longest)).alias("text")).orderBy("row_idx", "text").limit(limit)
