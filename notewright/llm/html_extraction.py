@@ -22,6 +22,8 @@ from notewright.llm.html_training import Maker
 
 FEATURES = 1 << 14
 TRAIN_PAGES, TRAIN_SEED = 700, 11
+#: Pages of other kinds: short ones, threads of one message, table layouts, titles in headers.
+ODD_PAGES = 400
 ROUNDS, RATE, RIDGE = 120, 0.1, 2e-4
 
 
@@ -63,7 +65,7 @@ def block_features(blocks: list[Block]) -> list[list[int]]:
         parent = b.path[-1][0] if b.path else "none"
         shape = [
             f"size:{size}", f"link:{link}", f"stop:{stop}", f"size-link:{size}-{link}", f"size-parent:{size}-{parent}",
-            f"marks:{min(4, marks * 20 // max(words, 1))}", f"copyright:{'©' in text}", f"first:{i == 0}", f"last:{i == n - 1}", f"place:{5 * i // n}",
+            f"count:{min(n, 4)}", f"count-stop:{min(n, 4)}-{stop}", f"marks:{min(4, marks * 20 // max(words, 1))}", f"copyright:{'©' in text}", f"first:{i == 0}", f"last:{i == n - 1}", f"place:{5 * i // n}",
         ]
         out.append([*path_features(b.path), *map(_hash, shape)])
     return out
@@ -100,10 +102,11 @@ class Chain:
         return labels[::-1]
 
 
-def labelled_pages(n: int = TRAIN_PAGES, seed: int = TRAIN_SEED) -> Iterator[tuple[list[Block], list[int]]]:
+def labelled_pages(n: int = TRAIN_PAGES, seed: int = TRAIN_SEED, odd: int = ODD_PAGES) -> Iterator[tuple[list[Block], list[int]]]:
+    """``n`` pages of the usual kind and ``odd`` of the others."""
     maker = Maker(seed)
-    for _ in range(n):
-        blocks = leaf_blocks(maker.page())
+    for make in [maker.page] * n + [maker.odd_page] * odd:
+        blocks = leaf_blocks(make())
         yield blocks, [maker.labels.get(b.text, 0) for b in blocks]
         maker.labels.clear()
 
@@ -175,7 +178,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """(page_id, url, text, n_chars) for each row of ``pages``.
 
     Null and empty html give an empty text. A page is read whole, with no limit on its length or blocks; repeated
-    rows and null ids or urls are passed through. Malformed markup is read as far as it goes: an unknown tag ends a
+    rows and null ids or urls are passed through, equal rows alike; an empty table gives an empty one; other columns are
+    left out, whatever their names. Malformed markup is read as far as it goes: an unknown tag ends a
     block, a stray angle bracket is text.
     """
     sent = pages.sparkSession.sparkContext.broadcast(chain or train_chain())

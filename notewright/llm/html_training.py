@@ -19,6 +19,9 @@ AD_NAMES = "ad ads advert advertisement sponsored sponsor promo promotion ad-slo
 FORM_NAMES = "form search search-form newsletter signup subscribe login contact-form register".split()
 COMMENT_NAMES = "comments comment comment-list comment-body respond discussion replies reply disqus user-comments reader-comments".split()
 SHARE_NAMES = "share social social-links share-buttons follow".split()
+LAYOUT_NAMES = "layout wrapper container page outer frame".split()
+THREAD_NAMES = "thread topic forum-thread discussion-topic".split()
+MESSAGE_NAMES = "message post topic-post message-body post-body postcontent".split()
 
 
 class Maker:
@@ -184,3 +187,59 @@ class Maker:
             middle = f"<div class='{r.choice(['wrapper', 'container', 'row', 'layout', 'page'])}'>{middle}{self.side() if r.random() < 0.5 else ''}</div>"
         title = self.words(2, 8)
         return f"<!DOCTYPE html><html><head><title>{title}</title><script>var t='</p>';</script></head><body>{''.join(top)}{middle}{''.join(end)}</body></html>"
+
+    def paragraphs(self, low: int, high: int) -> str:
+        r = self.r
+        head = f"<h1>{self.text(1, 1, 12, 0.2)}</h1>" if r.random() < 0.4 else ""
+        return head + "".join(f"<p>{self.inside(self.text(1, 1, 6 if r.random() < 0.25 else 90, 0.95))}</p>" for _ in range(r.randint(low, high)))
+
+    def short_page(self) -> str:
+        """Few paragraphs and nothing else, or next to nothing: bare, in an article, in a named part."""
+        r = self.r
+        inner = self.paragraphs(1, 3)
+        k = r.random()
+        if k < 0.3:
+            inner = f"<article>{inner}</article>"
+        elif k < 0.45:
+            inner = self.named(r.choice(["main", "div", "section"]), MAIN_NAMES, inner, 0.7)
+        end = self.footer() if r.random() < 0.2 else ""
+        k = r.random()
+        if k < 0.4:
+            return inner + end
+        return f"<html><head><title>{self.words(1, 5)}</title></head><body>{inner}{end}</body></html>" if k < 0.8 else f"<body>{inner}{end}</body>"
+
+    def thread_page(self) -> str:
+        """A thread of one message: who wrote it is not its text."""
+        r = self.r
+        who = self.named(r.choice(["div", "p"]), ["author", "meta", "username", "poster", "user-info"], self.text(0, 1, 3, 0), 1)
+        body = "".join(f"<p>{self.inside(self.text(1, 3, 80, 0.95))}</p>" for _ in range(r.randint(1, 3))) if r.random() < 0.6 else self.text(1, 3, 80, 0.95)
+        message = self.named("div", MESSAGE_NAMES, (who if r.random() < 0.7 else "") + self.named("div", MESSAGE_NAMES, body, 0.6), 1)
+        title = f"<{r.choice(['h1', 'h2'])}>{self.text(1, 2, 10, 0.2)}</h1>" if r.random() < 0.8 else ""
+        thread = self.named(r.choice(["div", "section", "main"]), THREAD_NAMES, title + message, 0.8)
+        return f"<html><body>{self.menu() if r.random() < 0.5 else ''}{thread}{self.form() if r.random() < 0.4 else ''}{self.footer() if r.random() < 0.5 else ''}</body></html>"
+
+    def table_page(self) -> str:
+        """A page laid out as a table: a banner's row, a menu's cell, the text's cell, a row at the foot."""
+        r = self.r
+        links = [f"<a href='/{i}'>{self.text(0, 1, 3, 0)}</a>" for i in range(r.randint(2, 7))]
+        menu = r.choice(["<br>".join(links), "".join(f"<div>{x}</div>" for x in links), "".join(f"<p>{x}</p>" for x in links), " | ".join(links)])
+        cells = [f"<td>{menu}</td>", self.named("td", MAIN_NAMES, self.paragraphs(1, 6), 0.2)]
+        if r.random() < 0.3:
+            cells.append(f"<td>{self.side()}</td>")
+        banner = f"<tr><td colspan='2'>{r.choice(['<h1>{}</h1>', '<b>{}</b>', '{}']).format(self.text(0, 1, 4, 0))}</td></tr>" if r.random() < 0.6 else ""
+        foot = f"<tr><td colspan='2'>&copy; {self.text(0, 2, 10, 0.4)}</td></tr>" if r.random() < 0.6 else ""
+        return f"<html><body>{self.named('table', LAYOUT_NAMES, f'{banner}<tr>{"".join(cells)}</tr>{foot}', 0.4)}</body></html>"
+
+    def titled_page(self) -> str:
+        """The site's own title as a first heading of its header; notices that are named paragraphs."""
+        r = self.r
+        tag = r.choice(["h1", "h1", "h2"])
+        head = f"<{tag}>{self.text(0, 1, 4, 0)}</{tag}>" + (f"<p>{self.text(0, 3, 9, 0.4)}</p>" if r.random() < 0.5 else "") + (self.menu() if r.random() < 0.5 else "")
+        top = self.named("header", HEADER_NAMES, head, 0.4)
+        note = lambda: self.named("p", [*NOTICE_NAMES, "disclaimer", "disclaimer notice", "warning", "legal-notice"], self.text(0, 5, 30, 0.95), 1)
+        middle = self.article() if r.random() < 0.5 else self.named("article" if r.random() < 0.5 else "div", MAIN_NAMES, self.paragraphs(1, 6), 0.6)
+        return f"<html><body>{top}{note() if r.random() < 0.5 else ''}{middle}{note() if r.random() < 0.6 else ''}{self.footer() if r.random() < 0.6 else ''}</body></html>"
+
+    def odd_page(self) -> str:
+        """A page of a kind that ``page`` never makes."""
+        return self.r.choice([self.short_page, self.thread_page, self.table_page, self.titled_page])()
