@@ -212,6 +212,15 @@ def test_artifacts_first_then_pages(spark):
     assert got["medication_order", "Inj pan 40 mg stat", 1]["attributes"]["drug_name"] == "pantoprazole" and got["medication_order", "Inj pan 40 mg stat", 1]["evidence_artifact_id"] is None
 
 
+def test_mentions_of_a_page_meet_without_being_shuffled(spark):
+    p = spark.range(40).select("id", F.lit(1).alias("page"), F.lit("x").alias("backend"), F.lit("Temp 98 F\nTEMP 98 f\nInj PALONOS 5 mg\nAge 7").alias("text"))
+    a = spark.createDataFrame([], f"id long, artifact_id long, page int, artifact_type string, role string, backend string, text string, order_items array<{artifacts.ORDER_ITEM}>, vitals array<{artifacts.VITAL}>")
+    m = artifacts.artifact_mentions(a, p, ["id"])
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
+    assert {(r["label"], r["value"], r["normalized_value"], r["n"]) for r in m.groupBy("label", "value", "normalized_value").agg(F.count("*").alias("n")).collect()} == {("temperature", "98 F", "98 F", 40), ("age", "7", "7", 40), ("medication_order", "Inj PALONOS 5 mg", "palonosetron", 40)}
+
+
 def test_records_of_subjects_without_mentions(spark):
     merged = spark.createDataFrame([], "subject int, k_category string, label string, value string, normalized_value string, date_text string, certainty string")
     identity = spark.createDataFrame([(1, "a.pdf", 2, 0)], "subject int, source_pdf string, page_count long, note_count long")
