@@ -212,6 +212,24 @@ def test_artifacts_first_then_pages(spark):
     assert got["medication_order", "Inj pan 40 mg stat", 1]["attributes"]["drug_name"] == "pantoprazole" and got["medication_order", "Inj pan 40 mg stat", 1]["evidence_artifact_id"] is None
 
 
+@pytest.mark.parametrize("copied", [100_000, 0])
+def test_candidates_move_no_text_and_keep_no_row(spark, monkeypatch, copied):
+    monkeypatch.setattr(candidates, "COPIED", copied)
+    sizes = []
+    monkeypatch.setattr(candidates, "kept", lambda df: sizes.append(df.columns) or skew.kept(df))
+    texts = [(1, "Inj docetaxol and docetaxel"), (1, "Inj docetaxol and docetaxel"), (1, "cisplatim cisplatim"), (None, "pan 40 ondansetrom ondansetrn"), (2, None), (3, "rest")]
+    df = spark.createDataFrame(texts, "id int, t string").repartition(3, "id")
+    index = candidates.pair_index(candidates.drug_dictionary(spark))
+    out = candidates.text_candidates(df, ["id"], "t", index)
+    assert not any({"id", "t"} & set(c) for c in sizes)  # what is written holds words alone
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert copied == 0 or plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(id") <= 1
+    got = sorted((str(r["id"]), str(r["t"]), [(c["raw"], c["normalized"], c["score"], c["method"]) for c in r["candidates"]]) for r in out.collect())
+    doc = [("docetaxel", "docetaxel", 100, "exact")]
+    assert got == sorted([("1", texts[0][1], doc), ("1", texts[0][1], doc), ("1", texts[2][1], got[2][2]), ("None", texts[3][1], got[-1][2]), ("2", "None", []), ("3", "rest", [])])
+    assert [c[1] for c in got[2][2]] == ["cisplatin"] and {c[1] for c in got[-1][2]} == {"pantoprazole", "ondansetron"}
+
+
 def test_mentions_of_a_page_meet_without_being_shuffled(spark):
     p = spark.range(40).select("id", F.lit(1).alias("page"), F.lit("x").alias("backend"), F.lit("Temp 98 F\nTEMP 98 f\nInj PALONOS 5 mg\nAge 7").alias("text"))
     a = spark.createDataFrame([], f"id long, artifact_id long, page int, artifact_type string, role string, backend string, text string, order_items array<{artifacts.ORDER_ITEM}>, vitals array<{artifacts.VITAL}>")
