@@ -23,7 +23,7 @@ def _folder(spark, name: str) -> str:
 def src_file_pages(spark, sf_dir):
     """Documents written as text files, read back through three adapters: one reads, one fails, one is unknown."""
     folder = _folder(spark, "files")
-    table(spark, sf_dir, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(folder)
+    pages.write_files(table(spark, sf_dir, "documents"), "doc_id", "text", folder)
     pages.register_pages(spark)
     blocks, status = pages.read_pages(spark, folder, ["lines", "broken", "other"])
     doc = F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id")

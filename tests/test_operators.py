@@ -183,6 +183,20 @@ def test_page_files_of_several_adapters(spark, tmp_path):
     assert blocks.rdd.getNumPartitions() == 4
 
 
+def test_page_files_are_listed_by_tasks(spark, tmp_path):
+    rows = [(i, f"one {i}\ntwo") for i in range(300)] + [(7, "again"), (8, None), (None, "x")]
+    folder = f"file:{tmp_path}/out"
+    for _ in range(2):  # a task that runs again replaces its files
+        assert pages.write_files(spark.createDataFrame(rows, "doc int, t string").repartition(3, "doc"), "doc", "t", folder) == 303
+    reader = pages.pages_source(pages.ADAPTERS)({"path": folder}).reader(None)
+    groups = reader.partitions()
+    assert len(groups) <= 3 * pages.FOLDERS and not any(g.paths for g in groups)  # the driver names folders, no files
+    pages.register_pages(spark)
+    blocks, status = pages.read_pages(spark, folder, ["lines"])
+    found = [(r["path"].split("doc=")[1].split("-")[0], r["reading_order"], r["text"]) for r in blocks.collect()]
+    assert sorted(found) == sorted(("" if i is None else str(i), n, x) for i, t in rows for n, x in enumerate((t or "").split("\n"), 1) if x) and status.count() == 303
+
+
 def test_tree_digest_does_not_hang_on_order(spark):
     df = spark.createDataFrame([(f"v{i}",) for i in range(500)] + [("v1",), (None,)], "v string")
     roots = {profiles.tree_digest(d, F.col("v")).first()["digest"] for d in (df, df.repartition(9), df.orderBy(F.desc("v")))}
