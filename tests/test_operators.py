@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notewright.functions import scores, vocab
-from notewright.operators import artifacts, batches, candidates, correct, hooks, payloads, records, replies, skew
+from notewright.operators import artifacts, batches, candidates, correct, hooks, merge, payloads, records, replies, skew
 from notewright.operators.extract import plan_block
 from notewright.sources import pages, profiles
 
@@ -183,6 +183,26 @@ def test_page_files_of_several_adapters(spark, tmp_path):
     assert blocks.rdd.getNumPartitions() == 4
 
 
+def test_fields_of_a_page_are_told_apart_in_its_row(spark):
+    from notewright.operators.extract import field_mentions
+
+    df = spark.createDataFrame([(1, "Name: Ab Cd\nNAME: AB CD\nname - Ef Gh\nAge 7"), (1, "Age 7"), (2, None), (3, "Temp .")], "id int, text string")
+    m = field_mentions(df, ["id"])
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort " not in plan and "Window" not in plan
+    assert sorted((r["id"], r["label"], r["value"]) for r in m.collect()) == [(1, "age", "7"), (1, "age", "7"), (1, "patient_name", "Ab Cd"), (1, "patient_name", "Ef Gh")]
+
+
+def test_a_run_makes_each_mention_once(spark, small):
+    from notewright.plans import QUERIES
+
+    df = QUERIES["run_record"](spark, small)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 2  # artifacts with pages, and the three sources
+    merged = spark.createDataFrame([(1, "a", 3), (1, "a", 1), (1, "b", 1), (2, "a", 1)], "subject int, k_category string, n_raw long")
+    assert sorted(map(tuple, merge.merged_stats(merged).collect())) == [(1, 3, 5, 2), (2, 1, 1, 1)]
+
+
 def test_page_files_are_listed_by_tasks(spark, tmp_path):
     rows = [(i, f"one {i}\ntwo") for i in range(300)] + [(7, "again"), (8, None), (None, "x")]
     folder = f"file:{tmp_path}/out"
