@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notewright.functions import scores, vocab
-from notewright.operators import artifacts, batches, candidates, correct, hooks, merge, payloads, records, replies, skew
+from notewright.operators import artifacts, batches, candidates, correct, hooks, merge, orders, payloads, records, replies, skew
 from notewright.operators.extract import plan_block
 from notewright.sources import pages, profiles
 
@@ -101,6 +101,12 @@ def test_candidates_of_hot_and_empty_texts(spark):
     assert got[-3] == [("cisplatin", "cisplatin", 100, "exact"), ("pan", "pantoprazole", 96, "misread_map"), ("ondan", "ondansetron", 96, "misread_map")]
 
 
+def test_drugs_of_a_text_lower_it_once(spark):
+    df = spark.createDataFrame([("PAN 40, Ondan and CISPLATIN",), ("pandemic panto",), ("5 Pantopx",), (None,)], "t string").select(orders.drug_candidates(F.col("t")).alias("c"))
+    assert df._jdf.queryExecution().analyzed().toString().count("lower(") == 1
+    assert [[(c["drug"], c["score"]) for c in r["c"]] for r in df.collect()] == [[("cisplatin", 100), ("pantoprazole", 96), ("ondansetron", 96)], [], [("pantoprazole", 96)], []]
+
+
 def test_ranks_hold_one_group_with_all_rows(spark):
     df = spark.createDataFrame([(0, i % 5, i) for i in range(4000)] + [(1, 3, 9_000)], "g int, w int, k int").repartition(7)
     ranked = skew.exact_ranks(df, "g", ["w", "k"], partitions=16)
