@@ -25,3 +25,15 @@ def test_drug_candidates_order(spark):
     assert [[tuple(x) for x in r["c"]] for r in rows] == [
         [("trastuzumab", 100), ("cisplatin", 100), ("rituximab", 100), ("nivolumab", 100), ("pantoprazole", 96), ("docetaxel", 96)], [], []
     ]
+
+
+def test_short_forms_in_one_reading(spark):
+    """The same as the steps one by one, and one pattern in the plan."""
+    rows = ["Inj. x IV i/v od.tab bd; TAB.od sos,d5.dns ns im.i/v.", "tablet pc po. q4h/q12h Sc\nAC hs", "", None, "od", ".od.", "iv/i/v/iv od od", "cap.cap. stat."]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    steps = F.col("t")
+    for p, r in extract.short_form_steps():
+        steps = F.regexp_replace(steps, p, r)
+    out = df.select(extract.expand_short_forms(F.col("t")).alias("a"), steps.alias("b"))
+    assert all(r["a"] == r["b"] for r in out.collect())
+    assert "regexp_replace" not in df.select(extract.expand_short_forms(F.col("t")).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
