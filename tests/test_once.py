@@ -37,3 +37,20 @@ def test_short_forms_in_one_reading(spark):
     out = df.select(extract.expand_short_forms(F.col("t")).alias("a"), steps.alias("b"))
     assert all(r["a"] == r["b"] for r in out.collect())
     assert "regexp_replace" not in df.select(extract.expand_short_forms(F.col("t")).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_carry_the_last_ids(spark):
+    """Edges with ids are those that are resolved afterwards, keys that two categories share too; one merge is read."""
+    m = [("s", "diagnosis", "diagnosis", "a", 1, [1]), ("s", "diagnosis", "diagnosis", "a", 4, [2]), ("s", "lab", "lab", "x::v", 2, [1]), ("s", "lab::x", "LAB::x", "v", 9, [7]),
+         ("s", "imaging", "imaging", "x", 3, None), ("t", "lab", "lab", "x", 5, [1]), ("s", "diagnosis", "Diagnosis", "b", 6, [])]
+    schema = "subject string, k_category string, category string, label string, seq int, source_pages array<int>"
+    merged = spark.createDataFrame(m, schema).withColumns({"value": F.when(F.col("seq").isin(2, 9), "").otherwise("v"), "normalized_value": F.lit(""), "date_text": F.lit(None).cast("string")})
+    carried = graph.relation_edges(merged, id_col="seq")
+    resolved = graph.resolve_edges(graph.relation_edges(merged), merged, id_col="seq").select(*carried.columns)
+    assert carried.count() == 4 and carried.where("target_id = 9").count() == 2
+    assert sorted(map(str, carried.collect())) == sorted(map(str, resolved.collect()))
+
+
+def test_links_of_a_mention_from_one_reading(spark, small):
+    assert len(plan_lines(QUERIES["map_links"](spark, small), "Generate explode(concat(array(struct(target")) == 1
+    assert not plan_lines(QUERIES["rel_resolve_keys"](spark, small), "LeftOuter")  # the ids come with the edges, no mention is joined again
