@@ -1,12 +1,8 @@
 """Costly steps are computed once a row: what the plans hold, and plain-loop versions of the steps."""
 
-import re
-
-import pytest
 from pyspark.sql import functions as F
 
-from notewright.functions import scores, text, vocab
-from notewright.operators import extract, graph, orders
+from notewright.operators import extract, graph, orders, segment
 from notewright.plans import QUERIES
 
 
@@ -54,3 +50,8 @@ def test_edges_carry_the_last_ids(spark):
 def test_links_of_a_mention_from_one_reading(spark, small):
     assert len(plan_lines(QUERIES["map_links"](spark, small), "Generate explode(concat(array(struct(target")) == 1
     assert not plan_lines(QUERIES["rel_resolve_keys"](spark, small), "LeftOuter")  # the ids come with the edges, no mention is joined again
+
+
+def test_swept_text_is_cleaned_once(spark, small):
+    plan = QUERIES["src_zone_sweep"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[ \\t]+") == 1
