@@ -19,7 +19,9 @@ def note_id(page: Column, ix: Column) -> Column:
 def split_sections(pages: DataFrame, text: str = "text", min_words: int = 12) -> DataFrame:
     """One row per note: the columns of ``pages`` but the text, and note_ix, note. A header begins a note; the
     index counts the pieces dropped for having fewer than ``min_words`` words too."""
-    marked = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "(?i)(" + "|".join(vocab.SECTION_STARTS) + ")", MARK + "$1")
+    # what no header begins with is passed over before any header is tried
+    begins = "(?=[" + "".join(sorted({x for p in vocab.SECTION_STARTS for x in p.removeprefix(r"\b")[0].lower() + p.removeprefix(r"\b")[0].upper()})) + "])"
+    marked = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), begins + "(?i)(" + "|".join(vocab.SECTION_STARTS) + ")", MARK + "$1")
     pieces = F.filter(F.transform(F.split(marked, MARK), strip), lambda x: x != "")
     rest = [c for c in pages.columns if c != text]
     notes = pages.select(*rest, F.posexplode(pieces).alias("note_ix", "note"))

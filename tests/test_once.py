@@ -55,3 +55,12 @@ def test_links_of_a_mention_from_one_reading(spark, small):
 def test_swept_text_is_cleaned_once(spark, small):
     plan = QUERIES["src_zone_sweep"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[ \\t]+") == 1
+
+
+def test_places_without_a_header_are_passed_over(spark):
+    """Only what may begin a header is looked at, and the sections are the same."""
+    body = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(f"{body}\ndate: 1.2.2020 {body} Remarks Details {body} UPDATE: 1.2.2020 {body} joint-clinic details x",)]
+    df = segment.split_sections(spark.createDataFrame(rows, "text string"))
+    assert [r["note"].split()[0] for r in df.orderBy("note_ix").collect()] == ["one", "date:", "Remarks"]
+    assert "(?=[CDJPRcdjpr])(?i)" in df._jdf.queryExecution().optimizedPlan().toString()
