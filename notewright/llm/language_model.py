@@ -1,10 +1,11 @@
 """LM scoring: a causal self-attention model in numpy over subword ids, scored in overlapping context windows.
 
 Words are counted over all training texts; the counts give the unigram base and, through the tokenizer, the counts
-of all subwords. Pairs of an input row and the subword after it are counted over all training texts too; only the
-gradient-fitted weights come from a sample. The network predicts the class of the next subword: frequent ones are
-classes of their own, the rest share classes, inside which a subword has its share of the corpus counts. So the probabilities of all subwords
-and the end add up to one. Its inputs are the last subword (a table of class log-frequencies after it) and what one
+of all subwords. Pairs of an input row and the subword after it are counted over all training texts too. The network's
+weights begin with a bounded sample and then learn from every training text: each task takes one epoch of steps over
+its texts, and the tasks' weights are averaged. Texts are turned into subwords once and kept. The network predicts the
+class of the next subword: frequent ones are classes of their own, the rest share classes, inside which a subword has
+its share of the corpus counts. So the probabilities of all subwords and the end add up to one. Its inputs are the last subword (a table of class log-frequencies after it) and what one
 head of masked attention gathers from the window. Windows overlap, and each token is scored in the one where it has
 the longest context. A word's probability is the product over its subwords, interpolated with its share of
 the training tokens, by a weight fitted on texts that the network did not see.
@@ -12,23 +13,24 @@ the training tokens, by a weight fitted on texts that the network did not see.
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import crc_fold, durable, one_blas_thread, text_bytes
+from notewright.llm.common import crc_fold, durable, ensure_checkpoint_dir, one_blas_thread, text_bytes
 from notewright.llm.rnn import Adam
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 FOLDS, HELD_OUT = 5, 1
-#: Training texts that the network's weights are fitted on at most; all counts cover all training texts.
+#: Training texts that the network's weights begin with at most; all counts and the epoch cover all training texts.
 TRAIN_DOCS = 4000
 WINDOW, STRIDE = 32, 24
 WIDTH = 16
@@ -38,10 +40,14 @@ OWN_IN, SHARED_IN, OWN_OUT, SHARED_OUT = 1000, 24, 112, 15
 CLOSE = 2048
 SHARE_PRIOR = 3.0
 BATCH, RATE, STEPS = 96, 0.01, 1500
+#: The rate of the epoch over all training texts: that of the last steps on the sample.
+EPOCH_RATE = 0.1 * RATE
 #: Words of at least this share of all training tokens are sent to the tasks with their counts: 1 / share words at
 #: most. All others are looked up by a join.
 HEAD_SHARE = 5e-7
-CACHE_WORDS, FLUSH_WORDS, COUNT_WORDS = 350_000, 60_000, 300_000
+CACHE_WORDS, FLUSH_WORDS = 350_000, 60_000
+#: Bytes of stored subwords that a task reads at once.
+READ_BYTES = 1_000_000
 #: Windows scored at once: the buffers of more would not fit a core's cache.
 CHUNK = 32
 
@@ -59,27 +65,84 @@ class Subwords:
         return [x or [0] for x in self.model.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)]
 
 
-def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(word binary, c): words of all training texts, counted in each task before they are shuffled."""
+def _binary(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Consecutive runs of ``values``, ``lengths`` long, as binary values."""
+    ends = np.append(0, np.cumsum(lengths * values.itemsize)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def id_type(size: int) -> type:
+    """The type of stored subwords: the end has the number ``size``."""
+    return np.uint16 if size < 1 << 16 else np.uint32
+
+
+def encoded(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
+    """All texts as subwords, once, in the shared folder, and the words of the training texts with their counts.
+
+    Rows of texts: doc_id, learn (a training text), t (lower-cased), ids (its subwords and an end), units (subwords of
+    each word, one for the end). Rows of words, counted in each task: word and c."""
+    spark = docs.sparkSession
+    fields = ["doc_id", "learn", "t", "ids", "units", "word", "c"]
+    kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        encoder = Encoder(path, {})
+        end = encoder.tokenizer.size
+        tally = np.zeros(0, np.int64)
 
-        def out() -> pa.RecordBatch:
-            part = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
-            counts.clear()
-            return part
+        def counts() -> pa.RecordBatch:
+            used = np.flatnonzero(tally)
+            names = list(encoder.rows)
+            words = [pa.array([names[i] for i in used.tolist()], pa.binary()), pa.array(tally[used])]
+            return pa.RecordBatch.from_arrays([*[pa.nulls(len(used), k) for k in kinds[:5]], *words], fields)
 
         for batch in batches:
-            for text in text_bytes(batch.column(0)):
-                counts.update(text.lower().split())
-                if len(counts) > COUNT_WORDS:
-                    yield out()
-        if counts:
-            yield out()
-
-    training = docs.where(crc_fold(F.col(id_col), FOLDS) != HELD_OUT).select(F.col(text_col).cast("string").alias("t"))
-    return training.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+            learn = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            lows = [t.lower() for t in text_bytes(batch.column(2))]
+            texts, first, n = [], 0, 0
+            for at, low in enumerate(lows, 1):
+                texts.append(low.split())
+                n += len(texts[-1])
+                if n < FLUSH_WORDS and len(texts) < 2000 and at < batch.num_rows:
+                    continue
+                lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+                words = encoder.encode(list(chain.from_iterable(texts)))
+                ids, sizes, units = encoder.with_ends(words, lengths, end)
+                more = np.bincount(words[np.repeat(learn[first:at], lengths)], minlength=len(encoder.rows))
+                more[: len(tally)] += tally
+                tally = more
+                own = [batch.column(0).slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array(lows[first:at], pa.binary())]
+                kept = [_binary(ids.astype(id_type(end)), sizes), _binary(units.astype(np.uint32), lengths + 1)]
+                yield pa.RecordBatch.from_arrays([*own, *kept, *[pa.nulls(len(texts), k) for k in kinds[5:]]], fields)
+                texts, first, n = [], at, 0
+                if len(encoder.rows) > CACHE_WORDS:
+                    yield counts()
+                    encoder.clear()
+                    tally = np.zeros(0, np.int64)
+        yield counts()
+
+    learn = F.coalesce(crc_fold(F.col(id_col), FOLDS) != HELD_OUT, F.lit(False))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), learn.alias("learn"), F.col(text_col).cast("string").alias("t"))
+    place = f"{ensure_checkpoint_dir(spark)}/texts-{uuid.uuid4().hex}"
+    source.mapInArrow(run, "doc_id long, learn boolean, t binary, ids binary, units binary, word binary, c long").write.parquet(place)
+    return spark.read.parquet(place)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = READ_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch whose values in a binary column are ``most`` bytes, or one row."""
+    sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        past = sizes[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(sizes, past + most, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def stored(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers of a stored column as int64, how many there are in each row)."""
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), kind).astype(np.int64), np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(kind).itemsize
 
 
 def subword_counts(words: DataFrame, path: str) -> np.ndarray:
@@ -289,42 +352,125 @@ def layout_of(counts: np.ndarray, n_ends: int) -> Layout:
     return Layout(rows, klass, close, column_class, full, OWN_IN + SHARED_IN + 1, n_classes)
 
 
-def pair_counts(docs: DataFrame, id_col: str, text_col: str, layout: Layout, path: str) -> np.ndarray:
-    """Counts of all cells of ``layout`` in all training texts: as long as the table, whatever the input's size."""
-    sent = docs.sparkSession.sparkContext.broadcast(layout)
-    size, end = layout.n_rows * layout.width, len(layout.rows) - 1
+def pair_counts(learn: DataFrame, layout: Layout) -> np.ndarray:
+    """Counts of all cells of ``layout`` in the stored subwords of all training texts: as long as the table, whatever the
+    input's size."""
+    sent = learn.sparkSession.sparkContext.broadcast(layout)
+    size, kind = layout.n_rows * layout.width, id_type(len(layout.rows) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layout = sent.value
-        encoder, total = Encoder(path, {}), np.zeros(size, np.int64)
-
-        def add(texts: list[list[bytes]]) -> None:
-            words = encoder.encode(list(chain.from_iterable(texts)))
-            ids, lengths, _ = encoder.with_ends(words, np.fromiter(map(len, texts), np.int64, len(texts)), end)
-            np.add.at(total, layout.cells(ids, lengths), 1)
-            if len(encoder.rows) > CACHE_WORDS:
-                encoder.clear()
-
-        for batch in batches:
-            texts, n = [], 0
-            for at, text in enumerate(text_bytes(batch.column(0)), 1):
-                texts.append(text.lower().split())
-                n += len(texts[-1])
-                if n >= FLUSH_WORDS or len(texts) >= 2000 or at == batch.num_rows:
-                    add(texts)
-                    texts, n = [], 0
+        layout, total = sent.value, np.zeros(size, np.int64)
+        for part in chain.from_iterable(slices(b, 0) for b in batches):
+            np.add.at(total, layout.cells(*stored(part.column(0), kind)), 1)
         used = np.flatnonzero(total)
         for at in range(0, len(used), 50_000):
             part = used[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["cell", "n"])
 
-    training = docs.where(crc_fold(F.col(id_col), FOLDS) != HELD_OUT).select(F.col(text_col).cast("string").alias("t"))
-    found = training.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = learn.select("ids").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cells = np.zeros(size, np.int64)
     cells[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return cells
 
 
+#: What positions may not look at, as summands of their scores.
+FUTURE = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+
+
+def gradients(w: dict[str, np.ndarray], after: np.ndarray, r: np.ndarray, y: np.ndarray, ok: np.ndarray, room: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The gradient of the mean negative log probability of the classes ``y[ok]`` after windows of input rows ``r``.
+    ``room``: two buffers of a row a prediction and a column a class. Exponents are cut at 80."""
+    x = w["e"][r]
+    x += w["p"]
+    flat_x = x.reshape(-1, WIDTH)
+    q, k, v = (np.matmul(flat_x, w[name]).reshape(x.shape) for name in "qkv")
+    scale = np.float32(WIDTH**-0.5)
+    q *= scale
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    a += FUTURE
+    np.exp(np.minimum(a, 80.0, out=a), out=a)
+    a *= 1 / np.matmul(a, np.ones((WINDOW, 1), np.float32))
+    u = np.matmul(a, v)
+    flat, here = u[ok], r[ok]
+    n = len(flat)
+    prob, base = np.empty((2, n, w["o"].shape[1]), np.float32) if room is None else room[:, :n]
+    np.matmul(flat, w["o"], out=prob)
+    prob += np.take(after, here, axis=0, out=base, mode="clip")
+    prob += w["b"]
+    np.exp(np.minimum(prob, 80.0, out=prob), out=prob)
+    prob *= 1 / (np.float32(n) * np.matmul(prob, np.ones((prob.shape[1], 1), np.float32)))
+    prob[np.arange(n), y[ok]] -= np.float32(1 / n)
+    g = {"o": np.matmul(flat.T, prob), "b": np.matmul(np.ones((1, n), np.float32), prob)}
+    du = np.zeros_like(u)
+    du[ok] = np.matmul(prob, w["o"].T)
+    da = np.matmul(du, v.transpose(0, 2, 1))
+    dv = np.matmul(a.transpose(0, 2, 1), du)
+    da -= np.einsum("nij,nij->ni", da, a)[..., None]
+    da *= a
+    dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
+    dq *= scale
+    dx = np.zeros_like(flat_x)
+    for name, d in (("q", dq), ("k", dk), ("v", dv)):
+        flat_d = d.reshape(-1, WIDTH)
+        g[name] = np.matmul(flat_x.T, flat_d)
+        dx += np.matmul(flat_d, w[name].T)
+    spots = (r.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+    g["e"] = np.bincount(spots, dx.ravel(), w["e"].size).reshape(w["e"].shape).astype(np.float32)
+    g["p"] = dx.reshape(x.shape).sum(axis=0)
+    return g
+
+
+def epoch(w: dict[str, np.ndarray], layout: Layout, after: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = EPOCH_RATE) -> int:
+    """One epoch of steps on ``w`` over the texts of ``parts`` (``ids`` and ``lengths`` as in ``subword_logs``): every
+    subword and end is predicted once, in the window where it is scored. Gives the number of windows."""
+    optimiser, place, seen = Adam(w, rate, decay=0.0), np.arange(WINDOW), 0
+    rng, room = np.random.default_rng(7), np.empty((2, BATCH * WINDOW, layout.n_classes), np.float32)
+    for ids, lengths in parts:
+        offset = np.cumsum(lengths) - lengths
+        ids = np.concatenate((ids, np.zeros(WINDOW, np.int64)))
+        before = np.empty(len(ids), np.int64)
+        before[1:] = layout.rows[ids[:-1]]
+        before[offset] = layout.n_rows - 1
+        text, start, first = window_grid(lengths)
+        order = rng.permutation(len(text))
+        for at in range(0, len(order), BATCH):
+            part = order[at : at + BATCH]
+            spot = (offset[text[part]] + start[part])[:, None] + place
+            ok = (place >= first[part, None]) & (start[part, None] + place < lengths[text[part], None])
+            optimiser.step(w, gradients(w, after, before[spot], layout.klass[ids[spot]], ok, room))
+        seen += len(text)
+    return seen
+
+
+def learn_all(learn: DataFrame, model: Attention, layout: Layout) -> Attention:
+    """``model`` after an epoch over all training texts: each task goes over its own from the model's weights, the
+    tasks' weights are averaged by their windows. What reaches the driver is as long as the weights."""
+    sent = learn.sparkSession.sparkContext.broadcast((model.weights, model.after, layout))
+    names, kind = list(model.weights), id_type(len(layout.rows) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, after, layout = sent.value
+        w = {name: weights[name].copy() for name in names}
+        seen = epoch(w, layout, after, (stored(part.column(0), kind) for b in batches for part in slices(b, 0)))
+        if seen:
+            flat = np.append(np.concatenate([w[name].ravel() for name in names]).astype(np.float64), 1.0) * seen
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["i", "x"])
+
+    found = learn.select("ids").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    if not found.num_rows:
+        return model
+    flat = np.empty(found.num_rows)
+    flat[found.column("i").to_numpy()] = found.column("x").to_numpy()
+    flat, at, averaged = flat[:-1] / flat[-1], 0, {}
+    for name in names:
+        shape = model.weights[name].shape
+        averaged[name] = flat[at : at + int(np.prod(shape))].reshape(shape).astype(np.float32)
+        at += int(np.prod(shape))
+    learned = replace(model, weights=averaged)
+    learned.prepare()
+    return learned
+
+
 def fit(texts: list[np.ndarray], counts: np.ndarray, n_ends: int, seed: int = 5, steps: int = STEPS, cells: np.ndarray | None = None) -> Attention:
     """Classes from the corpus counts, tables from ``cells`` of the corpus (of ``texts`` if there are none), the
     network from the subwords of a bounded sample of training texts."""
@@ -358,46 +504,14 @@ def fit(texts: list[np.ndarray], counts: np.ndarray, n_ends: int, seed: int = 5,
     before[offset] = n_rows - 1
     text, start, _ = window_grid(lengths)
     place = np.arange(WINDOW)
-    hide = np.triu(np.ones((WINDOW, WINDOW), bool), 1)
     optimiser = Adam(w, RATE, decay=0.0)
-    scale = np.float32(WIDTH**-0.5)
     for step in range(steps):
         optimiser.rate = RATE * (1.0 if step < steps * 0.6 else 0.3 if step < steps * 0.85 else 0.1)
         part = rng.integers(0, len(text), BATCH)
         spot = (offset[text[part]] + start[part])[:, None] + place
         ok = start[part, None] + place < lengths[text[part], None]
         r, y = before[spot], klass[ids[spot]]
-        x = w["e"][r] + w["p"]
-        q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
-        s = np.matmul(q, k.transpose(0, 2, 1)) * scale
-        s[:, hide] = -1e9
-        s -= s.max(axis=2, keepdims=True)
-        a = np.exp(s)
-        a /= a.sum(axis=2, keepdims=True)
-        u = np.matmul(a, v)
-        flat = u[ok]
-        logits = flat @ w["o"] + after[r[ok]] + w["b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(axis=1, keepdims=True)
-        prob[np.arange(len(prob)), y[ok]] -= 1
-        prob /= len(prob)
-        g = {"o": flat.T @ prob, "b": prob.sum(axis=0, keepdims=True)}
-        du = np.zeros_like(u)
-        du[ok] = prob @ w["o"].T
-        da = np.matmul(du, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), du)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * scale
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        flat_x = x.reshape(-1, WIDTH)
-        dx = np.zeros_like(x)
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat_x.T @ d.reshape(-1, WIDTH)
-            dx += d @ w[name].T
-        g["e"] = np.zeros_like(w["e"])
-        np.add.at(g["e"], r.ravel(), dx.reshape(-1, WIDTH))
-        g["p"] = dx.sum(axis=0)
-        optimiser.step(w, g)
+        optimiser.step(w, gradients(w, after, r, y, ok))
     model.prepare()
     return model
 
@@ -473,15 +587,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Tokens are the words of the text, A to Z lower-cased, and one end; null and empty texts are just an end. The
     base and all counts come from every text outside the held-out fold; a null id counts as held out. Repeated rows
     each get their row. Texts are scored whole. Without any training text all subwords are alike, and N is zero.
-    Other columns, whatever their names, are not read; an empty table gives an empty result. The network's weights are
-    fitted on ``train_docs`` training texts at most, those of least hashed id; counts have no such bound. ``tokenizer``
+    Other columns, whatever their names, are not read; an empty table gives an empty result. The network's weights begin
+    with ``train_docs`` training texts at most, those of least hashed id, and learn from all of them after that; the
+    counts cover all as well. The mixing weight, one number, is found on a tenth of the first ones. ``tokenizer``
     is a file that the driver and every executor can read.
     Frequent words find their counts in the task, a bounded list; each occurrence of another word is
     joined with the counts, so that the count table may be of any size. It carries the network's logarithm with it, so
     that each word is interpolated with its count wherever that is found. No such word is frequent in the training texts.
     """
-    words = durable(word_counts(docs, id_col, text_col))
-    ends = docs.where(crc_fold(F.col(id_col), FOLDS) != HELD_OUT).count()
+    texts = encoded(docs, id_col, text_col, tokenizer)
+    words = durable(texts.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")))
+    known = texts.where("word is null and learn")
+    ends = known.count()
     row = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = row["n"] + ends, row["v"] + (ends > 0)
     head = {bytes(r["word"]): r["c"] for r in words.where(F.col("c") >= max(1.0, HEAD_SHARE * total)).collect()}
@@ -496,17 +613,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # one text in ten only finds the mixing weight, by counts without one occurrence of its own
     held, learned = sample[::10], [x for i, x in enumerate(sample) if i % 10]
     layout = layout_of(counts, ends)
-    cells = pair_counts(docs, id_col, text_col, layout, tokenizer)
+    cells = pair_counts(known, layout)
     learned = [np.append(encoder.subwords(x), len(counts)) for x in learned]
-    model = fit(learned, counts, ends, cells=cells)
+    begun = fit(learned, counts, ends, cells=cells)
+    model = learn_all(known, begun, layout)
     mix = 0.1
     if held:
         flat, lengths = np.concatenate(held), np.fromiter(map(len, held), np.int64, len(held))
         ids, sizes, units = encoder.with_ends(flat, lengths, len(counts))
-        # the same weights over the pairs of all other texts
+        # the weights before the epoch, which these texts are part of, over the pairs of all other texts
         others = cells - np.bincount(layout.cells(ids, sizes), minlength=len(cells))
         share, far, after = layout.tables(others)
-        apart = replace(model, share=share, far=far, after=after)
+        apart = replace(begun, share=share, far=far, after=after)
         apart.prepare()
         by_word = np.add.reduceat(subword_logs(apart, ids, sizes).astype(np.float64), np.cumsum(units) - units)
         real = np.ones(len(units), bool)
@@ -518,29 +636,29 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     log_den = float(np.log10(total + 0.5 * (distinct + 1)))
     end_log = float(np.log10(ends + 0.5))
     end_share = float(np.log10(ends / total)) if ends else float("nan")
-    end_id = len(counts)
+    kind = id_type(len(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, head = sent.value
-        encoder = Encoder(tokenizer, head)
         serial = TaskContext.get().partitionId() << 36
 
-        def score(keys: pa.Array, texts: list[list[bytes]]) -> pa.RecordBatch:
-            n = np.fromiter(map(len, texts), np.int64, len(texts))
-            every = list(chain.from_iterable(texts))
-            flat = encoder.encode(every)
-            counted = encoder.count[flat]
-            tail = np.isnan(counted)
+        def score(part: pa.RecordBatch) -> pa.RecordBatch:
+            every = list(chain.from_iterable(t.split() for t in part.column(1).to_pylist()))
+            ids, sizes = stored(part.column(2), kind)
+            units, n = stored(part.column(3), np.uint32)
+            n -= 1
+            counted = np.fromiter(map(head.get, every, repeat(-1)), np.float64, len(every))
+            tail = counted < 0
+            counted[tail] = np.nan
             owner = np.repeat(np.arange(len(n)), n)
             base = np.bincount(owner, np.where(tail, 0.0, np.log10(counted + 0.5)), len(n)) + end_log
             known = np.bincount(owner, ~tail, len(n)).astype(np.int64) + (ends > 0)
-            ids, sizes, units = encoder.with_ends(flat, n, end_id)
             by_word = np.add.reduceat(subword_logs(model, ids, sizes).astype(np.float64), np.cumsum(units) - units)
             log_share = np.full(len(units), end_share)
-            log_share[np.arange(len(flat)) + owner] = np.log10(np.maximum(counted, 1e-9) / max(1, total))
+            log_share[np.arange(len(every)) + owner] = np.log10(np.maximum(counted, 1e-9) / max(1, total))
             mixed = mixed_logs(by_word, log_share, mix)
             # tail words are mixed after the join
-            spots = (np.arange(len(flat)) + owner)[tail]
+            spots = (np.arange(len(every)) + owner)[tail]
             mixed[spots] = 0.0
             scores = np.add.reduceat(mixed, np.cumsum(n + 1) - (n + 1))
             # each occurrence of a tail word in a text with the network's logarithm of it
@@ -548,23 +666,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             offsets = np.append(0, np.cumsum(np.bincount(owner[tail], minlength=len(n))))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays([words, pa.array(by_word[spots])], ["word", "net"]))
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(serial, serial + len(n))), keys, pa.array(n + 1), pa.array(known), pa.array(base), pa.array(scores), lists],
+                [pa.array(np.arange(serial, serial + len(n))), part.column(0), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(scores), lists],
                 ["row", "doc_id", "n_tokens", "known", "base", "score", "tail"],
             )
 
-        for batch in batches:
-            texts, first, n = [], 0, 0
-            for at, text in enumerate(text_bytes(batch.column(1)), 1):
-                texts.append(text.lower().split())
-                n += len(texts[-1])
-                if n >= FLUSH_WORDS or len(texts) >= 2000 or at == batch.num_rows:
-                    yield score(batch.column(0).slice(first, len(texts)), texts)
-                    serial += len(texts)
-                    texts, first, n = [], at, 0
-                    if len(encoder.rows) > CACHE_WORDS:
-                        encoder.clear()
-
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+        for part in chain.from_iterable(slices(b, 2) for b in batches):
+            yield score(part)
+            serial += part.num_rows
+
+    source = texts.where("word is null").select("doc_id", "t", "ids", "units")
     scored = source.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, score double, tail array<struct<word:binary,net:double>>")
     own = ["doc_id", "n_tokens", "known", "base", "score"]
     spread = scored.select("row", *own, F.posexplode_outer("tail").alias("pos", "x"))

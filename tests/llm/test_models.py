@@ -157,3 +157,55 @@ def test_long_words_are_read_to_their_end():
     same, other = ("语" * 30 + x for x in ("好" * 400, "坏" * 400))
     one, two = scorer.scores([scorer.encode(t.encode()) for t in (same, other)])
     assert abs(one - two) > 1e-6
+
+
+def test_attention_gradients_against_differences():
+    rng = np.random.default_rng(0)
+    n, k = 9, 5
+    shapes = {"e": (n, lm.WIDTH), "p": (lm.WINDOW, lm.WIDTH), "q": (lm.WIDTH, lm.WIDTH), "k": (lm.WIDTH, lm.WIDTH), "v": (lm.WIDTH, lm.WIDTH), "o": (lm.WIDTH, k), "b": (1, k)}
+    w = {name: rng.normal(scale=0.4, size=shape) for name, shape in shapes.items()}
+    after = np.log(rng.dirichlet(np.ones(k), n))
+    r, y, ok = rng.integers(0, n, (2, lm.WINDOW)), rng.integers(0, k, (2, lm.WINDOW)), rng.random((2, lm.WINDOW)) < 0.6
+
+    def loss():
+        out = []
+        for i, t in zip(*np.nonzero(ok)):
+            x = w["e"][r[i, : t + 1]] + w["p"][: t + 1]
+            a = np.exp(x @ w["k"] @ (x[t] @ w["q"]) / lm.WIDTH**0.5)
+            logits = a / a.sum() @ (x @ w["v"]) @ w["o"] + after[r[i, t]] + w["b"][0]
+            out.append(np.log(np.exp(logits).sum()) - logits[y[i, t]])
+        return np.mean(out)
+
+    g = lm.gradients({name: v.astype(np.float32) for name, v in w.items()}, after.astype(np.float32), r, y, ok)
+    for name, v in w.items():
+        flat = v.ravel()
+        for i in rng.choice(flat.size, 4, replace=False):
+            old = flat[i]
+            flat[i] = old + 1e-4
+            up = loss()
+            flat[i] = old - 1e-4
+            down = loss()
+            flat[i] = old
+            assert g[name].ravel()[i] == pytest.approx((up - down) / 2e-4, abs=1e-5), name
+
+
+def test_weights_learn_from_all_training_texts(spark, small):
+    """A task's steps go over every stored training text, not over the first ones alone; the tasks' weights are averaged."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").coalesce(1)
+    stored = lm.encoded(docs, "doc_id", "text", lm.TOKENIZER)
+    known = stored.where("word is null and learn")
+    texts = [np.frombuffer(r["ids"], np.uint16).astype(np.int64) for r in known.collect()]
+    assert len(texts) == sum(zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1 for r in docs.select("doc_id").collect())
+    size = lm.Subwords(lm.TOKENIZER).size
+    counts = np.bincount(np.concatenate(texts), minlength=size + 1)
+    layout = lm.layout_of(counts[:-1], counts[-1])
+    begun = lm.fit(texts[:3], counts[:-1], counts[-1], steps=5, cells=layout.count(texts))
+    ends = []
+    for part in (texts, texts[:3]):
+        w = {name: v.copy() for name, v in begun.weights.items()}
+        lengths = np.array([len(t) for t in part])
+        assert lm.epoch(w, layout, begun.after, [(np.concatenate(part), lengths)]) == len(lm.window_grid(lengths)[0])
+        ends.append(w)
+    got = lm.learn_all(known, begun, layout).weights
+    gap = lambda w: max(np.abs(got[k] - w[k]).max() for k in got)
+    assert gap(ends[0]) < 1e-3 < gap(ends[1])
