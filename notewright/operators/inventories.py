@@ -15,14 +15,15 @@ def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return both.groupBy(*keys).agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in counts])
 
 
-def pass_inventory(pages: DataFrame, notes: DataFrame, keys: list[str], least_signal: int = 25) -> DataFrame:
+def pass_inventory(pages: DataFrame, notes: DataFrame | None, keys: list[str], least_signal: int = 25) -> DataFrame:
     """(keys, page_count, ocr_pages, note_count, low_value_notes, high_signal_notes, status) of page rows with
-    ``selected_source`` and note rows with ``low_value`` and ``signal``. A document without notes or pages keeps its row."""
-    p = pages.groupBy(*keys).agg(F.count("*").alias("page_count"), F.count_if(F.col("selected_source") == "ocr").alias("ocr_pages"))
-    n = notes.groupBy(*keys).agg(
-        F.count("*").alias("note_count"), F.count_if("low_value").alias("low_value_notes"), F.count_if(F.col("signal") >= least_signal).alias("high_signal_notes")
-    )
-    return _beside(p, n, keys).withColumn("status", F.lit("ok"))
+    ``selected_source`` and note rows with ``low_value`` and ``signal``. A document without notes or pages keeps its row.
+    Without ``notes`` each page row is its own note, with all three columns, and the rows are read once."""
+    of_pages = [F.count("*").alias("page_count"), F.count_if(F.col("selected_source") == "ocr").alias("ocr_pages")]
+    of_notes = [F.count("*").alias("note_count"), F.count_if("low_value").alias("low_value_notes"), F.count_if(F.col("signal") >= least_signal).alias("high_signal_notes")]
+    if notes is None:
+        return pages.groupBy(*keys).agg(*of_pages, *of_notes).withColumn("status", F.lit("ok"))
+    return _beside(pages.groupBy(*keys).agg(*of_pages), notes.groupBy(*keys).agg(*of_notes), keys).withColumn("status", F.lit("ok"))
 
 
 def counted_mentions(notes: DataFrame, mentions: DataFrame, keys: list[str]) -> DataFrame:

@@ -77,3 +77,7 @@ def test_mentions_are_counted_in_their_note(spark, small):
     empty = spark.createDataFrame([(1, None), (2, ""), (3, "Imp: a\nimp: b")], "k int, note string")
     assert {r["k"]: r["n_mentions"] for r in extract.mention_counts(empty, ["k"]).collect()} == {1: 0, 2: 0, 3: 1}
     assert not plan_lines(QUERIES["inv_triage"](spark, small), "Generate explode")
+
+
+def test_pages_and_notes_of_a_pass_are_read_once(spark, small):
+    assert len(plan_lines(QUERIES["inv_pass"](spark, small), "Relation [")) == 2  # lineitem and part
