@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from notewright.operators import extract, graph, orders, segment
+from notewright.operators import extract, graph, orders, records, segment
 from notewright.plans import QUERIES
 from notewright.plans.fixtures import notes
 from notewright.plans.note_queries import KEYS
@@ -81,3 +81,13 @@ def test_mentions_are_counted_in_their_note(spark, small):
 
 def test_pages_and_notes_of_a_pass_are_read_once(spark, small):
     assert len(plan_lines(QUERIES["inv_pass"](spark, small), "Relation [")) == 2  # lineitem and part
+
+
+def test_only_notes_without_mentions_are_looked_at(spark, small):
+    rows = spark.createDataFrame([(1, 99), (2, 99), (3, 1), (None, 99)], "subject int, signal int")
+    merged, subjects = spark.createDataFrame([(1,), (1,)], "subject int"), spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "subject int")
+    got = {r["subject"]: r["review_flags"] for r in records.review_flags(rows, merged, subjects).collect()}
+    none = ["no_mentions_after_merge"]
+    assert got == {1: [], 2: [*none, "clinical_signal_but_empty_output"], 3: none, 4: none, None: none}
+    lines = plan_lines(QUERIES["mrg_review_flags"](spark, small), "Join LeftSemi")
+    assert len(lines) == 1
