@@ -1,5 +1,7 @@
 """Costly steps are computed once a row: what the plans hold, and plain-loop versions of the steps."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from notewright.operators import extract, graph, orders, records, segment
@@ -91,3 +93,21 @@ def test_only_notes_without_mentions_are_looked_at(spark, small):
     assert got == {1: [], 2: [*none, "clinical_signal_but_empty_output"], 3: none, 4: none, None: none}
     lines = plan_lines(QUERIES["mrg_review_flags"](spark, small), "Join LeftSemi")
     assert len(lines) == 1
+
+
+def test_mention_patterns_are_tried_at_their_heads_alone(spark, small):
+    """The matches of a search of the whole text; no expression steps through a note for each pattern."""
+    rng = random.Random(5)
+    pieces = ["HPR", "hpr:", "histopath - ", "ihc", "pet ct", "CECT", "ect ", "nephrectomy", "mri", "ct study reveals", "tab", "stable", "t.", " Abc 5 mg", "c/o", "pain", "PS", "-2", "kps 80", "rt",
+              "Serum Creat 1.2", "NGS:", "review after", "r/s", "Follow-up", "followup", "ſ", "İ", "é", "PLAN:", "adv", " \n", "\n", "\n", " ", " one", ": ", "x-", "7", "|"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))
+        low = text.translate({c: c + 32 for c in range(65, 91)})
+        for i, heads, lead, pattern in extract._STEPS:
+            assert extract._matches(text, low, heads, lead, pattern) == [m.group(1) for m in pattern.finditer(text)], (extract.NOTE_PATTERNS[i], text)
+    rows = ["x\n plan \n\n a\nADV:\nb\nSeen by c\nd", "plan: x\n a", "tentative plan-\n1\n2\n3\n4\n5\n6\n7", "plan", "advice\nadv\n\n", "", "İplan\nadv:\n é"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    assert [extract._plan_of(r, r.lower() if r.isascii() else r) for r in rows] == [r["p"] for r in df.select(extract.plan_block(F.col("t")).alias("p")).collect()]
+    for name in ("ext_mentions", "inv_triage"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "hpr[" not in plan
