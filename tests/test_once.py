@@ -4,6 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from notewright.functions import scores
+from notewright.functions.text import first_sentence
 from notewright.operators import extract, graph, orders, records, segment
 from notewright.plans import QUERIES
 from notewright.plans.fixtures import notes
@@ -111,3 +113,25 @@ def test_mention_patterns_are_tried_at_their_heads_alone(spark, small):
     for name in ("ext_mentions", "inv_triage"):
         plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "hpr[" not in plan
+
+
+def test_profiles_move_no_text(spark, small):
+    """The numbers, kind and first words of the joined page texts, from what each page gives by itself."""
+    rng = random.Random(3)
+    pieces = ["", " ", "  ", "\n", "\t", "word", "CRP", "reference", " range", "Prescription", "cycle", "gy", "é", "x" * 130, "y z " * 70]
+    rows = [(s, p, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 4)))) for s in range(300) for p in range(rng.randint(1, 5))] + [(301, 1, None), (302, 2, None), (302, 3, " ")]
+    pages = spark.createDataFrame(rows, "subject int, page int, text string")
+    got = {r["subject"]: r for r in records._sources(pages, "subject", "text").collect()}
+    source = {}
+    for s, _, t in sorted(rows, key=lambda r: r[:2]):
+        source.setdefault(s, []).append(t or "")
+    source = {s: "\n".join(ts).strip(" ") for s, ts in source.items()}
+    whole = spark.createDataFrame([(s, t) for s, t in source.items()], "subject int, t string")
+    want = whole.select("subject", F.length("t").alias("chars"), F.size(F.filter(F.split("t", r"\s+"), lambda x: x != "")).alias("words"), scores.document_type(F.col("t")).alias("kind"), first_sentence(F.col("t")).alias("first_words"))
+    for r in want.collect():
+        g = got[r["subject"]]
+        kind = g["kind"] or "unknown_medical_document" if g["chars"] else "empty_or_unreadable_document"
+        assert (g["chars"], g["words"], kind, g["first_words"]) == (r["chars"], r["words"], r["kind"], r["first_words"]), source[r["subject"]]
+    assert len(got) == len(source)
+    for name in ("jsn_fallback_profile", "agg_record_health"):
+        assert not plan_lines(QUERIES[name](spark, small), "AS source#")  # no whole texts are put together
