@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notewright.functions import scores
-from notewright.functions.text import filled, whitespace
+from notewright.functions.text import SPACES, filled, whitespace, with_value
 from notewright.operators.orders import crop_priority, order_signal
 from notewright.operators.pages import CHART_ZONES, ORDER_ZONES
 
@@ -85,17 +85,21 @@ def order_crops(pages: DataFrame, artifacts: DataFrame, keys: list[str], order:
     """
     a = artifacts.join(pages.select(*keys, "width", "height"), keys).where("x1 > x0 and y1 > y0")
     a = a.withColumns({k: F.greatest(F.lit(0.0), F.least(F.col("width" if k[0] == "x" else "height"), F.col(k))) for k in BOX})
-    a = a.withColumns({"text": whitespace(F.col("text")), "role": F.lower(filled("role")), "artifact_type": filled("artifact_type")})
+    # a text that is nothing but space is told by its characters: the patterns would run once more for it
+    some = F.btrim(filled("text"), F.lit(SPACES + "\x00")) != ""
+    a = a.withColumns({"text": whitespace(F.col("text")), "__some": some, "role": F.lower(filled("role")), "artifact_type": filled("artifact_type")})
 
     w = Window.partitionBy(*keys).orderBy(*order)
-    read = a.where(F.col("text") != "").select(*keys, F.lower("text").alias("t"), F.lag(F.lower("text")).over(w).alias("before"))
-    split = F.coalesce(F.endswith("before", F.lit("staff")) & F.startswith("t", F.lit("nurse")), F.lit(False))
-    nurse = F.max(F.contains("t", F.lit("staff nurse")) | split)
-    given = F.max(F.contains("t", F.lit("medicine")) | F.contains("t", F.lit("injection")))
+    t = F.lower("text")
+    given = F.contains(t, F.lit("medicine")) | F.contains(t, F.lit("injection"))
+    # what is sought in a text is found before rows are moved and sorted: no text is in the window
+    said = a.where("__some").select(*keys, *order, F.contains(t, F.lit("staff nurse")).alias("whole"), F.endswith(t, F.lit("staff")).alias("staff"), F.startswith(t, F.lit("nurse")).alias("nurse"), given.alias("given"))
+    read = said.withColumn("split", F.coalesce(F.lag("staff").over(w) & F.col("nurse"), F.lit(False)))
+    nurse, given = F.max(F.col("whole") | F.col("split")), F.max("given")
     charts = read.groupBy(*keys).agg((nurse & given).alias("chart")).where("chart").select(*keys)
 
     gx, gy = grow
-    prose = (F.length("text") > LONG_TEXT) & ~order_signal(F.col("text"))
+    prose = with_value(F.col("text"), lambda x: (F.length(x) > LONG_TEXT) & ~order_signal(x))
     grown = a.where(~F.col("role").isin(NO_CROP) & F.col("artifact_type").isin(CROP_TYPES) & ~prose).withColumns({
         "x0": F.round(F.greatest(F.lit(0.0), F.col("x0") - gx), 2), "y0": F.round(F.greatest(F.lit(0.0), F.col("y0") - gy), 2),
         "x1": F.round(F.least(F.col("width"), F.col("x1") + gx), 2), "y1": F.round(F.least(F.col("height"), F.col("y1") + gy), 2),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from notewright.functions import scores
 from notewright.functions.text import first_sentence
-from notewright.operators import extract, graph, orders, records, segment
+from notewright.operators import crops, extract, graph, orders, records, segment
 from notewright.plans import QUERIES
 from notewright.plans.fixtures import notes
 from notewright.plans.note_queries import KEYS
@@ -135,3 +135,16 @@ def test_profiles_move_no_text(spark, small):
     assert len(got) == len(source)
     for name in ("jsn_fallback_profile", "agg_record_health"):
         assert not plan_lines(QUERIES[name](spark, small), "AS source#")  # no whole texts are put together
+
+
+def test_blank_texts_of_crops_are_told_without_patterns(spark, small):
+    """A filter on texts cleans them once, one on blank ones not at all; no text is in the window."""
+    df = QUERIES["seg_order_crops"](spark, small)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[ \\t]+") == 3, plan.count("[ \\t]+")  # for the words of charts, for the boxes and in their filter
+    assert not plan_lines(df, "lag(lower(")
+    rows = [(1, i, t) for i, t in enumerate(["the STAFF", "\x00 \t", None, "\r\n", "nurse gave medicines"])] + [(2, 0, "staff"), (2, 1, "x"), (2, 2, "nurse medicine")]
+    a = spark.createDataFrame(rows, "p int, o int, text string").selectExpr("*", "0D x0", "0D y0", "300D x1", "300D y1", "'body' role", "'table' artifact_type", "'b' backend")
+    pages = spark.createDataFrame([(1,), (2,)], "p int").selectExpr("p", "600D width", "800D height")
+    got = crops.order_crops(pages, a, ["p"], ["o"], cap=99).where("source_backend = 'chart_page_signal'").select("p").distinct().collect()
+    assert [r["p"] for r in got] == [1]
