@@ -32,9 +32,15 @@ def deletions(word: Column, prefix: int = PREFIX) -> Column:
     return F.array_distinct(F.concat(F.array(head), ones(head), F.flatten(F.transform(ones(head), ones))))
 
 
+def _tasks(df: DataFrame) -> int:
+    """How many tasks words are dealt to: few bytes of them make much work, so they aren't left to one task for their size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def deletion_index(dictionary: DataFrame, term: str = "term", n: str = "n") -> DataFrame:
     """(key, term, n): the dictionary under its deletions. Write it as a table bucketed by key to use it again."""
     terms = dictionary.groupBy(F.lower(F.col(term)).alias("term")).agg(F.sum(n).alias("n")).where("term <> ''")
+    terms = terms.repartition(_tasks(dictionary), "term")
     return terms.select(F.explode(deletions(F.col("term"))).alias("key"), "term", "n")
 
 
@@ -56,10 +62,13 @@ def edits(a: Column, b: Column) -> Column:
 def suggestions(words: DataFrame, index: DataFrame, word: str = "word", most: int = MOST_EDITS) -> DataFrame:
     """(word, suggestion, edits, n): for each distinct word the closest term, of equals the one with most counts, then the
     first by letters. Words that are terms themselves, or have none within reach, give no row."""
-    distinct = words.select(F.lower(F.col(word)).alias("word")).distinct()
+    distinct = words.select(F.lower(F.col(word)).alias("word")).distinct().repartition(_tasks(words), "word")
     keyed = distinct.select("word", F.explode(deletions(F.col("word"))).alias("key"))
-    met = keyed.join(index, "key").where(F.abs(F.length("word") - F.length("term")) <= most).select("word", "term", "n").distinct()
-    near = met.withColumn("edits", edits(F.col("word"), F.col("term"))).where(F.col("edits") <= most)
+    met = keyed.join(index, "key").where(F.abs(F.length("word") - F.length("term")) <= most)
+    # a pair is verified once, not once for each form that its words share: the condition hangs on the pair's count, or it
+    # would be moved ahead of the grouping
+    pairs = met.groupBy("word", "term", "n").agg(F.count("*").alias("__shared"))
+    near = pairs.withColumn("edits", F.when(F.col("__shared") > 0, edits(F.col("word"), F.col("term")))).where(F.col("edits") <= most)
     best = near.groupBy("word").agg(F.min(F.struct("edits", (-F.col("n")).alias("rarity"), "term")).alias("b"))
     return best.where("b.edits > 0").select("word", F.col("b.term").alias("suggestion"), F.col("b.edits").alias("edits"), (-F.col("b.rarity")).alias("n"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from notewright.functions import scores
 from notewright.functions.text import first_sentence
-from notewright.operators import crops, extract, graph, orders, records, segment
+from notewright.operators import correct, crops, extract, graph, orders, records, segment
 from notewright.plans import QUERIES
 from notewright.plans.fixtures import notes
 from notewright.plans.note_queries import KEYS
@@ -148,3 +148,14 @@ def test_blank_texts_of_crops_are_told_without_patterns(spark, small):
     pages = spark.createDataFrame([(1,), (2,)], "p int").selectExpr("p", "600D width", "800D height")
     got = crops.order_crops(pages, a, ["p"], ["o"], cap=99).where("source_backend = 'chart_page_signal'").select("p").distinct().collect()
     assert [r["p"] for r in got] == [1]
+
+
+def test_pairs_of_words_are_verified_once(spark):
+    """The edit distance stands above the grouping of pairs, and few words are dealt to all tasks."""
+    terms = spark.createDataFrame([("widget", 3), ("ladle", 2)], "term string, n int")
+    found = correct.suggestions(spark.createDataFrame([("wigdet",), ("widget",), ("ladlle",), ("zzz",)], "word string"), correct.deletion_index(terms))
+    assert sorted(map(tuple, found.select("word", "suggestion", "edits").collect())) == [("ladlle", "ladle", 1), ("wigdet", "widget", 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    pairs = plan.index("Aggregate [word", plan.index("Aggregate [word") + 1)  # that of the best term comes first
+    assert "levenshtein" not in plan[pairs:]
+    assert plan.count("RepartitionByExpression") == 2
