@@ -159,3 +159,27 @@ def test_pairs_of_words_are_verified_once(spark):
     pairs = plan.index("Aggregate [word", plan.index("Aggregate [word") + 1)  # that of the best term comes first
     assert "levenshtein" not in plan[pairs:]
     assert plan.count("RepartitionByExpression") == 2
+
+
+def test_field_patterns_are_tried_at_their_heads_alone(spark):
+    import re
+
+    from notewright.operators import artifacts, fields
+
+    rng = random.Random(5)
+    pieces = [
+        "Name", "name of consultant", "Name of ", "Consultant", "U.H.I.D.", "UHID", "IPD", "i.p.d.", "sex", "Age", "address", "Date of Admission", "Date of Discharge", "DISEASE / DIAGNOSIS", "diagnosis", "Category",
+        "Temp", "T", "Pulse", "P", "Resp", "RR", "BP", "B.P.", "SpO2", "spo 2", " ", ": ", "-", "\n", "98.6", "12", "M", "Female", "120/80", "é", "K", "_", "x", "No.", "|", "/min", "İ", "F", "pan", "Pantop", "inj.", "Cisplatin", "5 ml", ".",
+    ]
+    plain = [re.compile(p, re.I | re.A) for _, _, p in fields.FIELD_PATTERNS]
+    line = re.compile(artifacts.LINE, re.I | re.A)
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 25))) for _ in range(20_000)]
+    for t in texts:
+        low = fields.ascii_lower(t)
+        assert [(i, m.span(), m.span(1)) for i, m in fields.field_matches(low)] == [(i, m.span(), m.span(1)) for i, p in enumerate(plain) for m in p.finditer(t)]
+        bare = [x.strip() for x in re.split(r"[\n|]+", t)]
+        assert [(x, m.span(1)) for x in fields.drug_lines(t, low) for m in fields.line_matches(x)] == [(x, m.span(1)) for x in bare for m in line.finditer(x)]
+    df = spark.createDataFrame([(1, "Name: Ab\n|Inj pan 40 mg")], "id int, text string")
+    for out in (extract.field_mentions(df, ["id"]),):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "regexp_extract_all(t" not in plan and "Aggregate" not in plan
