@@ -161,7 +161,7 @@ def test_pairs_of_words_are_verified_once(spark):
     assert plan.count("RepartitionByExpression") == 2
 
 
-def test_field_patterns_are_tried_at_their_heads_alone(spark):
+def test_artifact_and_field_patterns_are_tried_at_their_heads_alone(spark):
     import re
 
     from notewright.operators import artifacts, fields
@@ -180,6 +180,27 @@ def test_field_patterns_are_tried_at_their_heads_alone(spark):
         bare = [x.strip() for x in re.split(r"[\n|]+", t)]
         assert [(x, m.span(1)) for x in fields.drug_lines(t, low) for m in fields.line_matches(x)] == [(x, m.span(1)) for x in bare for m in line.finditer(x)]
     df = spark.createDataFrame([(1, "Name: Ab\n|Inj pan 40 mg")], "id int, text string")
-    for out in (extract.field_mentions(df, ["id"]),):
+    a = spark.createDataFrame([], f"id long, artifact_id long, page int, artifact_type string, role string, backend string, text string, order_items array<{artifacts.ORDER_ITEM}>, vitals array<{artifacts.VITAL}>")
+    p = df.select("id", F.lit(1).alias("page"), F.lit("x").alias("backend"), "text")
+    for out in (extract.field_mentions(df, ["id"]), artifacts.artifact_mentions(a, p, ["id"])):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "regexp_extract_all(t" not in plan and "Aggregate" not in plan
+
+
+def test_first_of_equal_mentions_of_a_page_in_any_batch(spark):
+    from notewright.operators import artifacts
+
+    listed = [{"label": "Temperature", "value": "98 f"}]
+    schema = f"id int, artifact_id long, page int, artifact_type string, role string, backend string, text string, order_items array<{artifacts.ORDER_ITEM}>, vitals array<{artifacts.VITAL}>"
+    a = spark.createDataFrame([(i, n, 1, "t", "r", "b", f"Temp 98 F\nTab Ondansetron {n % 2} ml|rest", None, listed if n == 4 else None) for i in (1, None) for n in (5, 3, 4)] + [(2, 1, 1, "t", "r", "b", " \t", None, listed)], schema)
+    p = spark.createDataFrame([(1, 1, None, "TEMP 98 f"), (1, 2, None, "temp 98 f")], "id int, page int, backend string, text string")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(1, 1, "temperature", "98 F", "3"), (1, 1, "medication_order", "Tab Ondansetron 1 ml", "3"), (1, 1, "medication_order", "Tab Ondansetron 0 ml", "4"), (1, 2, "temperature", "98 f", None)}
+    want |= {(None, *w[1:]) for w in want if w[1] == 1}
+    try:
+        for n in ("1", "2", size):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            got = artifacts.artifact_mentions(a, p, ["id"]).select("id", "page", "label", "value", "evidence_artifact_id").collect()
+            assert set(map(tuple, got)) == want and len(got) == len(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
