@@ -5,10 +5,10 @@ import random
 from pyspark.sql import functions as F
 
 from notewright.functions import scores
-from notewright.functions.text import first_sentence
+from notewright.functions.text import first_sentence, whitespace, whitespace_of
 from notewright.operators import correct, crops, extract, graph, orders, records, segment
 from notewright.plans import QUERIES
-from notewright.plans.fixtures import notes
+from notewright.plans.fixtures import notes, spread_notes
 from notewright.plans.note_queries import KEYS
 
 
@@ -204,3 +204,15 @@ def test_first_of_equal_mentions_of_a_page_in_any_batch(spark):
             assert set(map(tuple, got)) == want and len(got) == len(want)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_a_run_deals_notes_to_all_tasks(spark, small):
+    df = QUERIES["run_record"](spark, small)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2  # of patterns and of replies: adaptive plans leave these as many as they are
+    dealt = spread_notes(spark, small)
+    assert dealt.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert dealt.exceptAll(notes(spark, small)).count() == notes(spark, small).exceptAll(dealt).count() == 0
+    odd = [None, "", "a", " a  b\t", "a\n\n\nb", "a\n\nb", "\x00x\r", "é  ü", "\x0b a\x0c"]
+    texts = spark.createDataFrame([(x,) for x in odd], "t string")
+    assert [r["a"] for r in texts.select(whitespace_of("t").alias("a")).collect()] == [r["a"] for r in texts.select(whitespace(F.col("t")).alias("a")).collect()]
